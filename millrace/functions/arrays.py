@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    An expression used inside an array lambda is evaluated for every item, even
+    when it was a column of an earlier select, because Spark merges selects.
+    Binding it to a lambda variable first avoids that.
+    """
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
+
+
 def array_total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0).cast("double"), lambda total, item: total + item)
 
@@ -14,22 +26,45 @@ def array_mean(values: Column) -> Column:
     return F.try_divide(array_total(values), F.size(values))
 
 
-def sorted_median(ordered: Column) -> Column:
-    """Median of an ascending array, linear between the two middle items; null when empty."""
+def _middle(ordered: Column) -> Column:
     n = F.size(ordered)
     low = F.get(ordered, F.floor((n - 1) / F.lit(2.0)).cast("int"))
     high = F.get(ordered, F.floor(n / F.lit(2.0)).cast("int"))
     return F.when(n > 0, (low + high) / F.lit(2.0))
 
 
+def sorted_median(ordered: Column) -> Column:
+    """Median of an ascending array, linear between the two middle items; null when empty."""
+    return let(ordered, _middle)
+
+
+def median_and_deviation(values: Column) -> Column:
+    """Struct of the median and the median absolute deviation of an unordered array."""
+
+    def spread(ordered: Column) -> Column:
+        return let(
+            _middle(ordered),
+            lambda m: F.struct(
+                m.alias("median"), sorted_median(F.array_sort(F.transform(ordered, lambda v: F.abs(v - m)))).alias("mad")
+            ),
+        )
+
+    return let(F.array_sort(values), spread)
+
+
 def largest_items(values: Column, count: int) -> Column:
     """The ``count`` largest items as (value, position), ascending.
 
     Among equal values the later positions are kept.
     """
-    tagged = F.array_sort(F.transform(values, lambda v, i: F.struct(v.alias("value"), i.alias("position"))))
-    keep = F.least(F.lit(count), F.size(tagged))
-    return F.slice(tagged, F.size(tagged) - keep + 1, keep)
+
+    def last(tagged: Column) -> Column:
+        keep = F.least(F.lit(count), F.size(tagged))
+        return F.slice(tagged, F.size(tagged) - keep + 1, keep)
+
+    return let(
+        F.array_sort(F.transform(values, lambda v, i: F.struct(v.alias("value"), i.alias("position")))), last
+    )
 
 
 def finite(value: Column) -> Column:

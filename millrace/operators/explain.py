@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.arrays import array_total
+from millrace.functions.arrays import array_total, let
 from millrace.functions.timeline import iso_utc
 from millrace.operators.channels import VALUE_STATISTICS
 
@@ -22,48 +22,46 @@ TOP_CHANNELS = 3
 
 def shares(errors: Column) -> Column:
     """Errors as shares of their sum."""
-    total = F.greatest(array_total(errors), F.lit(SHARE_FLOOR))
-    return F.transform(errors, lambda e: e / total)
+    return let(
+        errors,
+        lambda e: let(F.greatest(array_total(e), F.lit(SHARE_FLOOR)), lambda total: F.transform(e, lambda x: x / total)),
+    )
 
 
 def _entries(channels: Column, statistics: list[str], share: Column, vector: Column) -> Column:
     """Layout of a vector as structs (channel, statistic, share, value); entries beyond the channels are context."""
     width = len(statistics)
     stats = F.array(*[F.lit(s) for s in statistics])
-    inside = F.slice(share, 1, F.size(channels) * F.lit(width))
-    return F.transform(
-        inside,
-        lambda s, i: F.struct(
-            F.get(channels, F.floor(i / F.lit(width)).cast("int")).alias("channel"),
-            F.get(stats, (i % F.lit(width)).cast("int")).alias("statistic"),
-            s.alias("share"),
-            F.get(vector, i).alias("value"),
-        ),
-    )
+
+    def laid(share: Column, vector: Column) -> Column:
+        return F.transform(
+            F.slice(share, 1, F.size(channels) * F.lit(width)),
+            lambda s, i: F.struct(
+                F.get(channels, F.floor(i / F.lit(width)).cast("int")).alias("channel"),
+                F.get(stats, (i % F.lit(width)).cast("int")).alias("statistic"),
+                s.alias("share"),
+                F.get(vector, i).alias("value"),
+            ),
+        )
+
+    return let(share, lambda bound_share: let(vector, lambda bound_vector: laid(bound_share, bound_vector)))
 
 
 def channel_shares(entries: Column, channels: Column) -> Column:
     """Summed positive share of value statistics per channel, largest first, earlier channels first on ties."""
-    totals = F.transform(
-        channels,
-        lambda c, i: F.struct(
-            (
-                -array_total(
-                    F.transform(
-                        F.filter(
-                            entries,
-                            lambda e: (e["channel"] == c) & (e["share"] > 0) & e["statistic"].isin(*VALUE_STATISTICS),
-                        ),
-                        lambda e: e["share"],
-                    )
-                )
-            ).alias("negative"),
-            i.alias("place"),
-            c.alias("channel"),
+    counted = let(
+        F.filter(entries, lambda e: (e["share"] > 0) & e["statistic"].isin(*VALUE_STATISTICS)),
+        lambda kept: F.transform(
+            channels,
+            lambda c, i: F.struct(
+                (-array_total(F.transform(F.filter(kept, lambda e: e["channel"] == c), lambda e: e["share"]))).alias("negative"),
+                i.alias("place"),
+                c.alias("channel"),
+            ),
         ),
     )
     return F.transform(
-        F.array_sort(F.filter(totals, lambda t: t["negative"] < 0)),
+        F.array_sort(F.filter(counted, lambda t: t["negative"] < 0)),
         lambda t: F.struct(t["channel"].alias("channel"), (-t["negative"]).alias("share")),
     )
 
@@ -124,18 +122,23 @@ def prediction_records(
         rows = rows.withColumn("applicable", F.array().cast("array<string>"))
     rows = rows.withColumn("applicable", F.coalesce("applicable", F.array().cast("array<string>")))
     rows = rows.withColumn("_share", shares(F.col("errors")))
-    rows = rows.withColumn("_entries", _entries(F.col("channels"), statistics, F.col("_share"), F.col(raw_vector)))
-    rows = rows.withColumn("_ranked", channel_shares(F.col("_entries"), F.col("channels")))
     regime = F.col("operating_regime") if "operating_regime" in scored.columns else F.lit(None).cast("string")
     unknown = F.col("context_regime_unknown") if "context_regime_unknown" in scored.columns else F.lit(False)
     alert = F.col("irregularity") >= F.lit(float(threshold))
+    found = let(
+        _entries(F.col("channels"), statistics, F.col("_share"), F.col(raw_vector)),
+        lambda entries: let(
+            channel_shares(entries, F.col("channels")),
+            lambda ranked: observations(alert, entries, ranked, F.col("applicable"), unknown, regime),
+        ),
+    )
     return rows.select(
         "run_id",
         "asset_id",
         iso_utc("window_start").alias("window_start"),
         iso_utc("window_end").alias("window_end"),
         F.struct("autoencoder", "isolation_forest", "irregularity").alias("scores"),
-        observations(alert, F.col("_entries"), F.col("_ranked"), F.col("applicable"), unknown, regime).alias("observations"),
+        found.alias("observations"),
         F.map_from_arrays("names", "_share").alias("feature_contributions"),
         F.lit(model_version).alias("model_version"),
         *[column.alias(name) for name, column in (extra or {}).items()],

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.arrays import finite, sorted_median
+from millrace.functions.arrays import finite, median_and_deviation
 from millrace.functions.timeline import SECOND_US, epoch_us
 from millrace.operators.channels import STATISTICS, chosen_statistics, continuous_only, with_channel
 from millrace.operators.ranks import exact_quantiles
@@ -200,10 +200,8 @@ def order_statistics(rows: DataFrame, cells: DataFrame, plan: WindowPlan, limit:
     cool = blocked.join(hot, block_keys, "left_anti") if hot_exists else blocked
     # Hashing by block keeps all copies of a window in one partition; the expansion follows the shuffle.
     placed = blocks_to_windows(cool.repartition(*block_keys), plan)
-    ordered = placed.groupBy(*block_keys, "window_start").agg(F.sort_array(F.collect_list("u")).alias("_values"))
-    centre = ordered.withColumn("median", sorted_median(F.col("_values")))
-    spread = F.sort_array(F.transform(F.col("_values"), lambda v: F.abs(v - F.col("median"))))
-    small = centre.select(*keys, "median", sorted_median(spread).alias("mad"))
+    gathered = placed.groupBy(*block_keys, "window_start").agg(F.collect_list("u").alias("_values"))
+    small = gathered.select(*keys, median_and_deviation(F.col("_values")).alias("_m")).select(*keys, "_m.*")
     if not hot_exists:
         return small
     large = blocks_to_windows(blocked.join(hot, block_keys, "left_semi"), plan).select(*keys, "u")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.arrays import array_mean, array_total, largest_items
+from millrace.functions.arrays import array_mean, array_total, largest_items, let
 from millrace.operators.bymodel import apply_models
 from millrace.operators.ranks import exact_quantiles
 from millrace.operators.vectors import CLASS, _packed, exploded
@@ -110,13 +110,17 @@ def tail_score(errors: Column, scale: Column, top_k: int = TOP_K) -> Column:
     """Struct of ``score`` (mean of the largest normalised errors) and additive ``contributions``."""
     if top_k < 1:
         raise ValueError("top_k must be positive")
-    ratio = F.zip_with(errors, scale, lambda e, s: e / s)
-    top = largest_items(ratio, top_k)
-    places = F.transform(top, lambda item: item["position"])
-    share = F.transform(
-        ratio, lambda v, i: F.when(F.array_contains(places, i), v / F.size(top)).otherwise(F.lit(0.0))
-    )
-    return F.struct(array_total(share).alias("score"), share.alias("contributions"))
+
+    def mark(ratio: Column) -> Column:
+        return let(
+            F.transform(largest_items(ratio, top_k), lambda item: item["position"]),
+            lambda places: F.transform(
+                ratio, lambda v, i: F.when(F.array_contains(places, i), v / F.size(places)).otherwise(F.lit(0.0))
+            ),
+        )
+
+    share = let(F.zip_with(errors, scale, lambda e, s: e / s), mark)
+    return let(share, lambda s: F.struct(array_total(s).alias("score"), s.alias("contributions")))
 
 
 def apply_tail(rows: DataFrame, scales: DataFrame, key: str = CLASS, top_k: int = TOP_K) -> DataFrame:

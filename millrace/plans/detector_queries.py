@@ -257,7 +257,7 @@ EXPLAIN_SQL = [
     f"""per_channel AS (SELECT run_id, asset_id, window_start, channel, sum(share) AS share FROM shares WHERE share > 0
   AND statistic IN ({', '.join(repr(s) for s in VALUE_STATISTICS)}) GROUP BY ALL)""",
     """ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id, asset_id, window_start ORDER BY share DESC, channel) AS rn FROM per_channel)""",
-    """flags AS (SELECT s.run_id, s.asset_id, s.window_start, sum(CASE WHEN statistic = 'mean' THEN value END) / 400.0::DOUBLE AS score,
+    """flags AS (SELECT s.run_id, s.asset_id, s.window_start, sum(CASE WHEN statistic = 'mean' THEN value END) / 397.0::DOUBLE AS score,
   bool_or(statistic = 'missing' AND value > 0) AS loss, bool_or(statistic = 'coverage_ratio' AND value < 0.8) AS sparse,
   bool_or(statistic IN ('bad_ratio', 'uncertain_ratio') AND share > 0 AND value > 0) AS quality FROM shares s GROUP BY ALL)""",
     """tops AS (SELECT run_id, asset_id, window_start, min(rn) FILTER (WHERE channel = 'vibration') AS v, min(rn) FILTER (WHERE channel = 'temperature') AS t
@@ -284,7 +284,7 @@ def explained(spark, sf):
         v.withColumn("channels", F.array(*[F.lit(c) for c in channels]))
         .withColumn("raw_vector", F.col("vector"))
         .withColumn("errors", F.transform("vector", lambda x: F.abs(x)))
-        .withColumn("irregularity", total / F.lit(400.0))
+        .withColumn("irregularity", total / F.lit(397.0))
         .withColumn("autoencoder", F.col("irregularity"))
         .withColumn("isolation_forest", F.col("irregularity"))
         .withColumn("asset_class", F.lit("any"))
