@@ -124,7 +124,8 @@ def verified_runs(spark: SparkSession, root: str) -> DataFrame:
     wrong = digest_mismatches(expected, digests).first()
     if wrong is not None:
         raise ValueError(f"Telemetry digest mismatch or missing file: {wrong['name']}")
-    truths = run_truths(spark, root)
+    names = sorted(r[0] for r in listed.select("partition").distinct().collect())
+    truths = run_truths(spark, root, names)
     unnamed = truths.filter(F.col("run_id") != F.col("run_directory")).first()
     if unnamed is not None:
         raise ValueError(f"Ground truth names another run: {unnamed['run_directory']}")
