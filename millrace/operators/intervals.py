@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.timeline import HOUR_US, floor_div
 from millrace.operators.ranks import earlier_blocks
+from millrace.session import settle
 
 ASSET = ["run_id", "asset_id"]
 EVENT_KEY = ["run_id", "asset_id", "event_id"]
@@ -126,7 +127,8 @@ def annotate(rows: DataFrame, events: DataFrame, bucket_us: int = BUCKET_US) ->
     ``rows`` has ``us``. Overlaps go to the event that starts first, then to the
     smaller id. An event without any observation marks the nearest one instead.
     """
-    times = rows.select(*ASSET, "us").distinct()
+    # Many tags share a time: reduced before the shuffle, and written once for its three readers.
+    times = settle(rows.select(*ASSET, "us").distinct(), "times")
     owned = owned_intervals(events).withColumn("_bucket", F.explode(_buckets(F.col("owned_from"), F.col("end_us"), bucket_us)))
     first = F.min(F.struct(F.col("start_us"), F.col("event_id"))).alias("_point")
     points = nearest_observations(events, times, bucket_us).groupBy(*ASSET, "us").agg(first)
