@@ -55,6 +55,14 @@ def feature_names(columns: Iterable[str]) -> list[str]:
     return [c for c in columns if c not in NOT_FEATURES]
 
 
+def check_feature_schema(columns: Iterable[str], trained: Sequence[str]) -> None:
+    """Refuse a wide window table that lacks trained features or brings others."""
+    produced = set(feature_names(columns))
+    missing, extra = sorted(set(trained) - produced), sorted(produced - set(trained))
+    if missing or extra:
+        raise ValueError(f"Feature mismatch: missing={missing}, extra={extra}")
+
+
 def exclude_inputs(
     df: DataFrame, signal_classes: Sequence[str] = (), measurement_roles: Sequence[str] = ()
 ) -> DataFrame:

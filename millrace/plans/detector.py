@@ -21,6 +21,7 @@ from millrace.operators.calibration import (
     calibrated_threshold,
     ensemble,
     ensemble_weights,
+    fused,
     normal_only,
     score_summary,
 )
@@ -38,6 +39,7 @@ from millrace.operators.explain import prediction_records
 from millrace.operators.features import contains_anomaly, window_features
 from millrace.operators.forest import fit_forest, isolation_scores
 from millrace.operators.intervals import event_details, event_summary, label_windows, refuse_bad_intervals
+from millrace.operators.joins import complete_lookup
 from millrace.operators.metrics import by_detector, evaluate_windows
 from millrace.operators.ranks import exact_quantiles
 from millrace.operators.reconstruction import apply_tail, fit_subspace, reconstruction_errors, residual_scales, row_error
@@ -261,6 +263,17 @@ def score_windows(windows: DataFrame, model: Model) -> DataFrame:
     return calibrated(raw, model.tables["references"], model.options)
 
 
+def with_supplement(scored: DataFrame, supplement: DataFrame, name: str = "fused") -> DataFrame:
+    """Add the larger of the main score and a second model's reconstruction score, window by window.
+
+    A supplement fitted on value statistics only is a model whose options switch
+    the quality and sampling families off. Every window must be in both.
+    """
+    other = supplement.withColumnRenamed("autoencoder", "_supplement")
+    joined = complete_lookup(scored, other, WINDOW_ID, "_supplement")
+    return joined.withColumn(name, fused(F.col("irregularity"), F.col("_supplement"))).drop("_supplement")
+
+
 def predict(rows: DataFrame, model: Model, tail: str | None = None) -> DataFrame:
     """Explained prediction records of new telemetry."""
     scored = score(rows, model, tail)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions.hashing import run_bucket
 from millrace.operators.calibration import calibrate, ensemble, ensemble_weights, fused, normal_only, normal_quantile
 from millrace.operators.channels import STATISTICS, VALUE_STATISTICS, class_channels, with_channel
 from millrace.operators.context import encode_contexts
@@ -74,7 +75,11 @@ def new_classes(spark, sf):
     return unknown_classes(v, v.filter(F.col("asset_class").isin("class-0", "class-2")).select("asset_class").distinct())
 
 
-FIT_STOP = """residual AS (SELECT *, z * z AS e, vec_id % 5 = 0 AS stop FROM scaled),
+def bucket_sql(modulo: int, column: str = "run_id") -> str:
+    return f"('0x' || substr(sha256({column}), 1, 8))::BIGINT % {modulo}"
+
+
+FIT_STOP = f"""residual AS (SELECT *, z * z AS e, {bucket_sql(5)} = 0 AS stop FROM scaled),
 scales AS (SELECT asset_class, position, greatest(quantile_cont(e, 0.95), 1e-8) AS scale FROM residual WHERE stop GROUP BY ALL),
 ratios AS (SELECT r.asset_class, r.vec_id, r.run_id, r.position, r.e / s.scale AS ratio FROM residual r JOIN scales s USING (asset_class, position)),
 top AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ratio DESC, position DESC) AS rn FROM ratios),
@@ -88,7 +93,7 @@ def squared(spark, sf):
 
 def tail_rows(spark, sf):
     e = settle(squared(spark, sf), "errors")
-    return apply_tail(e, residual_scales(e.filter(F.col("vec_id") % 5 == 0)))
+    return apply_tail(e, residual_scales(e.filter(run_bucket("run_id", 5) == 0)))
 
 
 @registered(
@@ -96,7 +101,7 @@ def tail_rows(spark, sf):
     with_sql([VECTORS, ROBUST, FIT_STOP], f"SELECT asset_class, position, {sql_rounded('scale')} AS scale FROM scales"),
 )
 def residuals(spark, sf):
-    found = residual_scales(squared(spark, sf).filter(F.col("vec_id") % 5 == 0))
+    found = residual_scales(squared(spark, sf).filter(run_bucket("run_id", 5) == 0))
     return found.select("asset_class", F.posexplode("scale").alias("position", "_s")).select(
         "asset_class", F.col("position").cast("bigint").alias("position"), rounded("_s").alias("scale")
     )
@@ -116,10 +121,10 @@ def tail_contributions(spark, sf):
     return out.select("vec_id", F.col("position").cast("bigint").alias("position"), rounded("_c").alias("contribution"))
 
 
-VARIANTS = """mean_rows AS (SELECT asset_class, run_id, vec_id, avg(e) AS score FROM residual GROUP BY ALL),
-variants AS (SELECT asset_class, vec_id, 'mean' AS detector, score FROM mean_rows UNION ALL SELECT asset_class, vec_id, 'tail', score FROM tails),
-calibrated AS (SELECT v.*, (SELECT count(*) FROM variants r WHERE r.asset_class = v.asset_class AND r.detector = v.detector AND r.vec_id % 2 = 0 AND round(r.score, 9) <= round(v.score, 9))
-  / (SELECT count(*) FROM variants r WHERE r.asset_class = v.asset_class AND r.detector = v.detector AND r.vec_id % 2 = 0) AS cdf FROM variants v)"""
+VARIANTS = f"""mean_rows AS (SELECT asset_class, run_id, vec_id, avg(e) AS score FROM residual GROUP BY ALL),
+variants AS (SELECT asset_class, vec_id, {bucket_sql(2)} = 0 AS held, 'mean' AS detector, score FROM mean_rows UNION ALL SELECT asset_class, vec_id, {bucket_sql(2)} = 0, 'tail', score FROM tails),
+calibrated AS (SELECT v.*, (SELECT count(*) FROM variants r WHERE r.asset_class = v.asset_class AND r.detector = v.detector AND r.held AND round(r.score, 9) <= round(v.score, 9))
+  / (SELECT count(*) FROM variants r WHERE r.asset_class = v.asset_class AND r.detector = v.detector AND r.held) AS cdf FROM variants v)"""
 
 
 @registered(
@@ -128,10 +133,10 @@ calibrated AS (SELECT v.*, (SELECT count(*) FROM variants r WHERE r.asset_class
 )
 def variants(spark, sf):
     rows = tail_rows(spark, sf).select(
-        "asset_class", "vec_id", F.round(row_error(F.col("errors")), 9).alias("mean"), F.round("tail.score", 9).alias("tail")
+        "asset_class", "run_id", "vec_id", F.round(row_error(F.col("errors")), 9).alias("mean"), F.round("tail.score", 9).alias("tail")
     )
     long = settle(by_detector(rows, ["mean", "tail"]), "variants")
-    out = calibrate(long, long.filter(F.col("vec_id") % 2 == 0), ["asset_class", "detector"], "score", "cdf")
+    out = calibrate(long, long.filter(run_bucket("run_id", 2) == 0), ["asset_class", "detector"], "score", "cdf")
     return out.select("vec_id", "detector", rounded("cdf").alias("cdf"))
 
 
@@ -199,7 +204,7 @@ def fusion(spark, sf):
     with_sql(
         [
             VECTORS,
-            "fit AS (SELECT * FROM entries WHERE vec_id % 4 <> 0)",
+            f"fit AS (SELECT * FROM entries WHERE {bucket_sql(5)} <> 0)",
             "per_regime AS (SELECT asset_class, operating_regime, position, median(x) AS c FROM fit GROUP BY ALL HAVING count(*) >= 20)",
             "fallback AS (SELECT asset_class, position, median(x) AS c FROM fit GROUP BY ALL)",
         ],
@@ -209,7 +214,7 @@ LEFT JOIN per_regime r USING (asset_class, operating_regime, position) JOIN fall
 )
 def regimes(spark, sf):
     v = vectors(spark, sf)
-    found, fallback = fit_regimes(v.filter(F.col("vec_id") % 4 != 0))
+    found, fallback = fit_regimes(v.filter(run_bucket("run_id", 5) != 0))
     out = exploded(center_by_regime(v, found, fallback), ["vec_id", "regime_fallback"])
     return out.select("vec_id", F.col("position").cast("bigint").alias("position"), rounded("x").alias("x"), "regime_fallback")
 
@@ -349,8 +354,6 @@ def class_layout(spark, sf):
 def end_to_end(spark, sf):
     """Fit on three fifths of the assets' normal days, calibrate on the rest, and explain every window of all assets."""
     t = telemetry(spark, sf)
-    from millrace.functions.hashing import run_bucket
-
     rows = t.withColumn("run_id", F.concat_ws("/", "run_id", "asset_id"))
     train = rows.filter(run_bucket("asset_id", 5) < 3).withColumn("is_anomaly", F.lit(False)).withColumn("event_id", F.lit(None).cast("string"))
     validation = rows.filter(run_bucket("asset_id", 5) >= 3)

@@ -12,7 +12,7 @@ from millrace.operators.explain import prediction_records
 from millrace.operators.forest import average_path, draw_samples, fit_forest, grow_tree, isolation_scores
 from millrace.operators.reconstruction import apply_tail, fit_subspace, reconstruction_errors, residual_scales
 from millrace.operators.vectors import apply_scaler, center_by_regime, fit_regimes, fit_scaler, non_finite_vectors
-from millrace.plans.detector import Options, evaluate_against_events, fit_model, load_model, predict, save_model, score
+from millrace.plans.detector import Options, evaluate_against_events, fit_model, load_model, predict, save_model, score, with_supplement
 from millrace.session import scratch_path, settle
 from millrace.streaming.scoring import score_stream
 
@@ -155,6 +155,8 @@ def test_contextual_model_from_fit_to_stream(spark, tmp_path):
     loaded = load_model(spark, str(tmp_path / "model"))
     scored = settle(score(test, loaded), "scored")
     assert scored.filter("autoencoder < 0 OR autoencoder > 1 OR isolation_forest < 0 OR isolation_forest > 1").isEmpty()
+    both = with_supplement(scored, scored.select("run_id", "asset_id", "window_start", "autoencoder"))
+    assert both.filter("fused < irregularity OR fused < autoencoder").isEmpty() and both.count() == scored.count()
     records = predict(test, loaded).collect()
     again = {(r.run_id, r.asset_id, r.window_start): r for r in predict(test, loaded).collect()}
     assert all(again[r.run_id, r.asset_id, r.window_start] == r for r in records)

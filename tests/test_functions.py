@@ -10,7 +10,7 @@ from millrace.functions.hashing import run_bucket
 from millrace.functions.timeline import MINUTE_US, duration_us, floor_div, iso_utc
 from millrace.functions.units import fold_text
 from millrace.operators.calibration import calibrated_threshold, ensemble_weights
-from millrace.operators.channels import channel_of, chosen_statistics, feature_names
+from millrace.operators.channels import channel_of, check_feature_schema, chosen_statistics, feature_names
 from millrace.operators.convert import convert_units, unit_problems
 from millrace.operators.study import t_quantile
 
@@ -62,6 +62,10 @@ def test_feature_names():
     assert channel_of("in_out_last_mean") == "in_out_last"
     assert channel_of("context_regime_unknown") is None
     assert feature_names(["run_id", "a_mean", "window_end", "event_id"]) == ["a_mean"]
+    check_feature_schema(["run_id", "a_mean"], ["a_mean"])
+    for columns in (["run_id"], ["a_mean", "b_mean"]):
+        with pytest.raises(ValueError, match="mismatch"):
+            check_feature_schema(columns, ["a_mean"])
     assert "slope" not in chosen_statistics({"slopes": False})
     assert chosen_statistics({"statistical": False, "slopes": False, "quality": False, "sampling": False}) == ()
 
