@@ -127,11 +127,13 @@ def annotate(rows: DataFrame, events: DataFrame, bucket_us: int = BUCKET_US) ->
     ``rows`` has ``us``. Overlaps go to the event that starts first, then to the
     smaller id. An event without any observation marks the nearest one instead.
     """
+    events = settle(events.select(*EVENT_KEY, "start_us", "end_us"), "events")
     # Many tags share a time: reduced before the shuffle, and written once for its three readers.
     times = settle(rows.select(*ASSET, "us").distinct(), "times")
     owned = owned_intervals(events).withColumn("_bucket", F.explode(_buckets(F.col("owned_from"), F.col("end_us"), bucket_us)))
     first = F.min(F.struct(F.col("start_us"), F.col("event_id"))).alias("_point")
-    points = nearest_observations(events, times, bucket_us).groupBy(*ASSET, "us").agg(first)
+    # Written, so that Spark knows its size and need not shuffle the rows to meet a small table.
+    points = settle(nearest_observations(events, times, bucket_us).groupBy(*ASSET, "us").agg(first), "points")
     a = rows.withColumn("_bucket", floor_div("us", bucket_us)).alias("a")
     b = owned.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*ASSET, "_bucket")]
