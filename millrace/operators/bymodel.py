@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import settle
+
 # Fitted state up to this many array entries (8 bytes each) is sent to every executor.
 BROADCAST_ENTRIES = 16_000_000
 SALT_ROWS = 50_000
@@ -69,7 +71,7 @@ def apply_models(
 
         return rows.withColumn(output, run(F.col(key), F.col(vector)))
 
-    salts = rows.groupBy(key).agg(F.ceil(F.count("*") / F.lit(salt_rows)).cast("int").alias("_salts"))
+    salts = settle(rows.groupBy(key).agg(F.ceil(F.count("*") / F.lit(salt_rows)).cast("int").alias("_salts")), "salts")
     placed = rows.join(salts, key).withColumn(
         "_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.col("_salts")).cast("int")
     ).drop("_salts")

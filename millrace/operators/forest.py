@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.bymodel import apply_models
 from millrace.operators.vectors import CLASS
+from millrace.session import settle
 
 TREES = 300
 SAMPLE = 256
@@ -47,7 +48,8 @@ def draw_samples(
         .withColumn("_rounds", F.ceil(F.lit(trees) / F.col("_per_round")).cast("int"))
         .withColumn("_front", F.lit(float(_OVERSAMPLE)) * F.col("_per_round") * F.col("_size") / F.col("_n"))
     )
-    spread = rows.join(plan, key).withColumn("_round", F.explode(F.sequence(F.lit(0), F.col("_rounds") - 1)))
+    # One row per key, written so that its size is known and the rows need not be shuffled by a few keys.
+    spread = rows.join(settle(plan, "sampling"), key).withColumn("_round", F.explode(F.sequence(F.lit(0), F.col("_rounds") - 1)))
     place = F.xxhash64(F.lit(seed), F.col("_round"), *[F.col(c) for c in identity])
     front = spread.withColumn("_place", place).filter(
         F.shiftrightunsigned(F.col("_place"), 11) / F.lit(float(2**53)) < F.col("_front")
