@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,17 +15,19 @@ REQUIRED_SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Recording the Python call site of every expression costs milliseconds each.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# Settings that only a session's builder can give. Recording the Python call
+# site of every expression costs milliseconds each.
+BUILDER_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 _fallback_dir: str | None = None
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
     """Apply the settings every operator relies on to an existing session."""
     for key, value in REQUIRED_SETTINGS.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
     return spark
 
@@ -39,7 +42,7 @@ def local_session(cores: int | str = 8, app: str = "millrace", memory: str = "12
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for key, value in REQUIRED_SETTINGS.items():
+    for key, value in {**REQUIRED_SETTINGS, **BUILDER_SETTINGS}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -49,13 +52,17 @@ def local_session(cores: int | str = 8, app: str = "millrace", memory: str = "12
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only when the cluster names none (tests on one machine) is a temporary
-    folder made, once per process.
+    Only when the cluster names none and driver and tasks share one machine is
+    a temporary folder made, once per process; elsewhere executors could not
+    see it, so the job is refused.
     """
     global _fallback_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.conf.get("spark.master", "local")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
     if _fallback_dir is None:
         _fallback_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _fallback_dir
