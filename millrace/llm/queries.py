@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality
+from millrace.llm import decontaminate, quality
 from millrace.session import prepare_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,33 @@ FROM judged
 @registered("op6_quality_rules", QUALITY_SQL)
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+# A-Z in lower case and nothing else, then the alphanumeric words of a text.
+ALNUM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATE_SQL = f"""
+WITH d AS (SELECT doc_id, {ALNUM_WORDS} AS words FROM documents),
+b AS (SELECT item_id, {ALNUM_WORDS} AS words FROM benchmark),
+item_windows AS (
+  SELECT item_id, list_slice(words, i, i + 12) AS win
+  FROM (SELECT item_id, words, unnest(range(1, len(words) - 11)) AS i FROM b WHERE len(words) >= 13)
+  UNION
+  SELECT item_id, words FROM b WHERE len(words) BETWEEN 1 AND 12),
+lengths AS (SELECT DISTINCT len(win) AS n FROM item_windows),
+doc_windows AS (
+  SELECT doc_id, i, n, list_slice(words, i, i + n - 1) AS win
+  FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, lengths WHERE len(words) >= n)),
+hits AS (SELECT doc_id, i, n, item_id FROM doc_windows JOIN item_windows USING (win)),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@registered("op4_benchmark_decontamination", DECONTAMINATE_SQL)
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
