@@ -60,3 +60,12 @@ def add_columns(df: DataFrame, inputs: list[str], added: T.StructType, make: Cal
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return df.mapInArrow(run, schema)
+
+
+def fresh_name(schema: T.StructType, wanted: str) -> str:
+    """A column name that the table does not use, in any case."""
+    taken = {f.name.lower() for f in schema.fields}
+    name = wanted
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
