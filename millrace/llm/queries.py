@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, packing, quality, simhash
+from millrace.llm import decontaminate, licenses, packing, quality, simhash
 from millrace.session import prepare_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +114,53 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def template_regex(markup: str) -> str:
+    """A template as a regular expression over words that each have a space after them."""
+
+    def worded(text: str) -> str:
+        return "".join(w + " " for w in re.findall(r"[a-z0-9]+", text.lower()))
+
+    out = ""
+    for part in re.split(r"(\[\[|\]\]|\{\{.*?\}\})", markup, flags=re.S):
+        if part == "[[":
+            out += "(?:"
+        elif part == "]]":
+            out += ")?"
+        elif part.startswith("{{*"):
+            out += f"(?:[^ ]+ ){{0,{part[3:-2]}}}"
+        elif part.startswith("{{"):
+            out += "(?:" + "|".join(worded(w) for w in part[2:-2].split("|")) + ")"
+        else:
+            out += worded(part)
+    return out
+
+
+def _phrase_places() -> str:
+    tests = []
+    for phrase in licenses.PHRASES:
+        words = phrase.markup.split()
+        tests.append("(" + " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(words)) + ")")
+    return "list_filter(range(1, len(words) + 1), lambda i: coalesce(" + " OR ".join(tests) + ", false))"
+
+
+def _label_list(templates) -> str:
+    cases = ", ".join(f"CASE WHEN regexp_matches(joined, ' {template_regex(t.markup)}') THEN '{t.label}' END" for t in templates)
+    return f"list_sort(list_filter([{cases}], lambda l: l IS NOT NULL))"
+
+
+LICENSE_SQL = f"""
+WITH worded AS (SELECT doc_id, {ALNUM_WORDS} AS words FROM documents),
+placed AS (SELECT *, {_phrase_places()} AS places, ' ' || array_to_string(words, ' ') || ' ' AS joined FROM worded),
+labelled AS (SELECT *, {_label_list(licenses.PHRASES)} AS base, {_label_list(licenses.PHRASES + licenses.TEMPLATES)} AS every FROM placed)
+SELECT doc_id, len(words) AS n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+       array_to_string(base, ',') AS base_labels, array_to_string(every, ',') AS labels,
+       CASE WHEN len(every) > len(base) THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM labelled
+"""
+
+
+@registered("op1_license_templates", LICENSE_SQL)
+def op1_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
