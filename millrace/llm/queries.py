@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, licenses, packing, quality, simhash
+from millrace.llm import decontaminate, licenses, packing, quality, sanitise, simhash
 from millrace.session import prepare_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,8 @@ FROM labelled
 @registered("op1_license_templates", LICENSE_SQL)
 def op1_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+@registered("op2_personal_data")
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.private_report(table(spark, sf_dir, "documents"))
