@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, licenses, packing, quality, sanitise, simhash
+from millrace.llm import archives, decontaminate, licenses, packing, quality, sanitise, simhash
 from millrace.session import prepare_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,23 @@ def op1_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op2_personal_data")
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.private_report(table(spark, sf_dir, "documents"))
+
+
+# Base32 of a SHA-1: each five hexadecimal digits are four characters.
+ARCHIVE_SQL = """
+WITH digests AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+numbered AS (SELECT *, list_transform(range(0, 8), lambda g: ('0x' || substr(hex, 5 * g + 1, 5))::INTEGER) AS parts FROM digests),
+encoded AS (
+  SELECT page_id, strlen(html) AS payload_bytes, list_aggregate(flatten(list_transform(parts, lambda v: list_transform([15, 10, 5, 0],
+         lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::INTEGER + 1, 1)))), 'string_agg', '') AS payload_digest
+  FROM numbered),
+firsts AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM encoded)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM firsts
+"""
+
+
+@registered("op5_arc_to_warc", ARCHIVE_SQL)
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archive_report(table(spark, sf_dir, "pages"))
