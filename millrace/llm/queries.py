@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import archives, decontaminate, licenses, packing, quality, sanitise, simhash
+from millrace.llm import archives, decontaminate, html_blocks, licenses, packing, quality, sanitise, simhash
 from millrace.session import prepare_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,8 @@ FROM firsts
 @registered("op5_arc_to_warc", ARCHIVE_SQL)
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archive_report(table(spark, sf_dir, "pages"))
+
+
+@registered("op3_html_main_text")
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_text_report(table(spark, sf_dir, "pages"))
