@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import archives, decontaminate, html_blocks, licenses, packing, quality, sanitise, simhash
+from millrace.llm import archives, decontaminate, html_blocks, licenses, lm_score, packing, quality, sanitise, simhash
 from millrace.session import prepare_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,28 @@ def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op3_html_main_text")
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.main_text_report(table(spark, sf_dir, "pages"))
+
+
+LM_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {ALNUM_WORDS} AS words FROM documents),
+tokens AS (SELECT r, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS v, len(words) AS n
+           FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM d)),
+total AS (SELECT count(*) AS n FROM tokens),
+singles AS (SELECT r, w, count(*) AS own, sum(count(*)) OVER (PARTITION BY w) AS c FROM tokens GROUP BY r, w),
+pairs AS (SELECT r, v, w, count(*) AS own, sum(count(*)) OVER (PARTITION BY v, w) AS c FROM tokens WHERE v IS NOT NULL GROUP BY r, v, w),
+counted AS (
+  SELECT t.r, t.n, s.c - s.own AS single, coalesce(p.c - p.own, 0) AS pair, b.c - b.own AS before, greatest(1, total.n - t.n) AS others
+  FROM tokens t CROSS JOIN total JOIN singles s ON s.r = t.r AND s.w = t.w
+  LEFT JOIN singles b ON b.r = t.r AND b.w = t.v LEFT JOIN pairs p ON p.r = t.r AND p.v = t.v AND p.w = t.w),
+scored AS (
+  SELECT r, log10(CASE WHEN pair > 0 THEN pair::DOUBLE / before::DOUBLE WHEN single > 0 THEN 0.4::DOUBLE * single::DOUBLE / others ELSE 0.4::DOUBLE * 0.4::DOUBLE / others END) AS s
+  FROM counted)
+SELECT d.doc_id, len(d.words) AS n_words, round(sum(s) / len(d.words), 6) AS score
+FROM d LEFT JOIN scored ON scored.r = d.r GROUP BY d.r, d.doc_id, d.words
+"""
+
+
+@registered("op9_lm_scores", LM_SQL)
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score_documents(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("score", 6).alias("score"))
