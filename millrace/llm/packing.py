@@ -22,7 +22,6 @@ other columns are not carried.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -39,20 +38,17 @@ from millrace.session import settle
 CAPACITY = 1024
 END_ID = 2
 # Distinct words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 # Pieces that are numbered together in one task.
 NUMBERED_TOGETHER = 200_000
-# White space, a space, then white space or the end: only there do the ids of a
-# word depend on more than the space before it.
-_ODD_SPACING = re.compile(r"\s (?:\s|$)|[\x1c-\x1f]")
-
 
 class WordCache:
-    """Token ids of texts by the words between single spaces, as little-endian unsigned 32-bit numbers.
+    """Token ids of texts word by word, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer splits before a space that stands between two words, so the
-    ids of a text are those of its words, each with its space. Texts where that
-    does not hold are encoded whole.
+    The tokenizer always splits before a single space and around a single line
+    feed, so the ids of a text are those of its words, each with its space. A
+    word that ends in a full stop or comma has the ids of the word and the
+    mark. Texts with any other white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -60,28 +56,89 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {"": b""}
+        self.spaced: dict[str, bytes] = {}
+        self.marks = {m: self.direct(m) for m in ".,"}
+        self.feed = self.direct("\n")
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD_SPACING.search(text):
-            return self.direct(text)
-        first, *rest = text.split(" ")
-        known = self.words
-        fresh = set(rest).difference(known)
-        if fresh:
-            listed = list(fresh)
-            if len(known) + len(listed) > REMEMBERED:
-                known = {w: known[w] for w in set(rest).intersection(known)}
-            encoded = self.tokenizer.encode_batch([" " + w for w in listed], add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(listed, encoded, strict=True))
-            if len(known) <= REMEMBERED:
-                self.words = known
-        return self.direct(first) + b"".join([known[w] for w in rest])
+    def _encoded(self, words: list[str], space: str) -> list[bytes]:
+        """Ids of each word, encoded many to a line feed-separated text."""
+        out: list[bytes] = []
+        texts = ["\n".join([space + w for w in words[i : i + 256]]) for i in range(0, len(words), 256)]
+        (feed,) = np.frombuffer(self.feed, dtype="<u4").tolist()
+        for encoded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(encoded.ids, dtype="<u4")
+            data = ids.tobytes()
+            cuts = (4 * np.flatnonzero(ids == feed)).tolist()
+            out += [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
+        return out
+
+    def _learn(self, known: dict[str, bytes], words: set[str], space: str) -> None:
+        ends = [w for w in words if w[-1] in self.marks and w[-2:-1].isalpha()]
+        whole = [w for w in words.difference(ends).union([w[:-1] for w in ends]) if w not in known]
+        known.update(zip(whole, self._encoded(whole, space), strict=True))
+        marks = self.marks
+        known.update([(w, known[w[:-1]] + marks[w[-1]]) for w in ends])
+
+    @staticmethod
+    def _split(text: str) -> list[list[str]] | None:
+        """Words by line, or None if any white space is not a single space or line feed."""
+        lines = text.split("\n")
+        split = []
+        for i, line in enumerate(lines):
+            words = line.split()
+            if len(words) != line.count(" ") + 1:
+                if line or 0 < i < len(lines) - 1:
+                    return None
+                words = [""]
+            split.append(words)
+        return split
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.spaced) > REMEMBERED:
+            self.first, self.spaced = {"": b""}, {}
+        first, spaced = self.first, self.spaced
+        found: list[list[tuple[list[str], list[bytes | None]]] | None] = []
+        new_first: set[str] = set()
+        new_spaced: set[str] = set()
+        for text in texts:
+            split = self._split(text)
+            if split is None:
+                found.append(None)
+                continue
+            lines = []
+            for words in split:
+                ids = list(map(spaced.get, words))
+                ids[0] = first.get(words[0])
+                if ids[0] is None:
+                    new_first.add(words[0])
+                if None in ids:
+                    new_spaced.update([w for w, known in zip(words[1:], ids[1:], strict=True) if known is None])
+                lines.append((words, ids))
+            found.append(lines)
+        self._learn(first, new_first, "")
+        self._learn(spaced, new_spaced, " ")
+        out = []
+        for text, lines in zip(texts, found, strict=True):
+            if lines is None:
+                out.append(self.direct(text))
+                continue
+            for words, ids in lines:
+                if None in ids:
+                    ids[1:] = map(spaced.__getitem__, words[1:])
+                    ids[0] = first[words[0]]
+            out.append(self.feed.join([b"".join(ids) for _, ids in lines]))
+        return out
+
+
+def default_tokenizer() -> str:
+    """The installed byte-level vocabulary; executors have it at the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 _caches: dict[str, WordCache] = {}
@@ -110,9 +167,10 @@ def tokenised(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
+                encoded = cache.encode([t or "" for t in part.column(1).to_pylist()])
                 owners, pieces, starts, lengths, sums, bodies = [], [], [], [], [], []
-                for owner, body in enumerate(part.column(1).to_pylist()):
-                    ids = cache.encode(body or "") + end
+                for owner, ids in enumerate(encoded):
+                    ids += end
                     n = len(ids) // 4
                     cut = n % capacity or capacity
                     bounds = [0, *range(cut, n + 1, capacity)]
