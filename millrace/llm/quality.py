@@ -198,6 +198,12 @@ def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) ->
     return docs.withColumn("rejected_by", verdict(order, measured(F.col(text))))
 
 
+def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The documents that no rule rejects, unchanged."""
+    order = ordered_rules(profile_rules(docs, text, rules))
+    return docs.where(verdict(order, measured(F.col(text))).isNull())
+
+
 def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All measures of every text, the fixed base verdict and the cascade's."""
     order = ordered_rules(profile_rules(docs, text))

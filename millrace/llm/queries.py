@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +26,6 @@ def registered(name: str, sql: str | None = None):
     return add
 
 
-def tokenizer_path() -> str:
-    """The installed byte-level vocabulary; executors have it at the same place."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -112,7 +106,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), packing.default_tokenizer())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -219,3 +213,6 @@ FROM d LEFT JOIN scored ON scored.r = d.r GROUP BY d.r, d.doc_id, d.words
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_score.score_documents(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", F.round("score", 6).alias("score"))
+
+
+registered("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
