@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import archives, decontaminate, html_blocks, licenses, lm_score, packing, quality, sanitise, simhash
+from millrace.llm import archives, decontaminate, html_blocks, licenses, lm_score, packing, quality, sanitise, simhash, suffix_dedup
 from millrace.session import prepare_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,4 +215,9 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("score", 6).alias("score"))
 
 
+@registered("op7_repeated_passages")
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 registered("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
