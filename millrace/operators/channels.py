@@ -87,7 +87,8 @@ def channel_source(df: DataFrame) -> str:
 
 
 def with_channel(df: DataFrame) -> DataFrame:
-    return df.withColumn("channel", F.col(channel_source(df)).cast("string"))
+    """Name the channel of every row; rows without a name share the channel "None"."""
+    return df.withColumn("channel", F.coalesce(F.col(channel_source(df)).cast("string"), F.lit("None")))
 
 
 def unknown_channels(df: DataFrame, trained: Sequence[str]) -> DataFrame:

@@ -16,7 +16,6 @@ from millrace.session import settle
 
 TREES = 300
 SAMPLE = 256
-_OVERSAMPLE = 4
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
@@ -34,8 +33,10 @@ def draw_samples(
 
     A round is one hash order of a key's rows, cut into consecutive samples; as
     many rounds are used as the trees need. For large keys only the front of the
-    order is ranked, so ranking touches a bounded number of rows. A row's place
-    depends on its identity alone.
+    order is ranked, so ranking touches a bounded number of rows. The front is
+    wide enough that the rows wanted are in it but for a chance below 1e-12
+    (Chernoff's bound), whatever their number. A row's place depends on its
+    identity alone.
     """
     counted = rows.groupBy(key).agg(F.count("*").alias("_n"))
     if isinstance(sample, float):
@@ -46,7 +47,9 @@ def draw_samples(
         counted.withColumn("_size", size)
         .withColumn("_per_round", F.least(F.lit(trees), F.floor(F.col("_n") / F.col("_size"))).cast("int"))
         .withColumn("_rounds", F.ceil(F.lit(trees) / F.col("_per_round")).cast("int"))
-        .withColumn("_front", F.lit(float(_OVERSAMPLE)) * F.col("_per_round") * F.col("_size") / F.col("_n"))
+        .withColumn("_wanted", F.col("_per_round").cast("double") * F.col("_size"))
+        .withColumn("_front", (F.col("_wanted") + 12.0 * F.sqrt("_wanted") + 60.0) / F.col("_n"))
+        .drop("_wanted")
     )
     # One row per key, written so that its size is known and the rows need not be shuffled by a few keys.
     spread = rows.join(settle(plan, "sampling"), key).withColumn("_round", F.explode(F.sequence(F.lit(0), F.col("_rounds") - 1)))

@@ -24,6 +24,18 @@ def _buckets(low: Column, high: Column, bucket_us: int) -> Column:
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _clipped_buckets(low: Column, high: Column, bucket_us: int) -> Column:
+    """Buckets of a range inside an asset's observed time (``_low``, ``_high``).
+
+    An open end would otherwise stand for millions of buckets that nothing is in.
+    """
+    return _buckets(F.greatest(low, F.col("_low")), F.least(high, F.col("_high")), bucket_us)
+
+
+def _observed_time(points: DataFrame, time: str) -> DataFrame:
+    return points.groupBy(*ASSET).agg(F.min(time).alias("_low"), F.max(time).alias("_high"))
+
+
 def interval_problems(events: DataFrame) -> DataFrame:
     """Duplicate identities and inverted intervals."""
     return (
@@ -64,7 +76,8 @@ def owned_intervals(events: DataFrame, block_us: int = 24 * HOUR_US) -> DataFram
 
 def observed_events(events: DataFrame, times: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     """Events with at least one observation time (``run_id, asset_id, us``) in their closed interval."""
-    spread = events.withColumn("_bucket", F.explode(_buckets(F.col("start_us"), F.col("end_us"), bucket_us)))
+    bounded = events.join(_observed_time(times, "us"), ASSET)
+    spread = bounded.withColumn("_bucket", F.explode(_clipped_buckets(F.col("start_us"), F.col("end_us"), bucket_us)))
     placed = times.withColumn("_bucket", floor_div("us", bucket_us))
     a, b = spread.alias("a"), placed.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*ASSET, "_bucket")]
@@ -130,7 +143,8 @@ def annotate(rows: DataFrame, events: DataFrame, bucket_us: int = BUCKET_US) ->
     events = settle(events.select(*EVENT_KEY, "start_us", "end_us"), "events")
     # Many tags share a time: reduced before the shuffle, and written once for its three readers.
     times = settle(rows.select(*ASSET, "us").distinct(), "times")
-    owned = owned_intervals(events).withColumn("_bucket", F.explode(_buckets(F.col("owned_from"), F.col("end_us"), bucket_us)))
+    bounded = owned_intervals(events).join(_observed_time(times, "us"), ASSET)
+    owned = bounded.withColumn("_bucket", F.explode(_clipped_buckets(F.col("owned_from"), F.col("end_us"), bucket_us)))
     first = F.min(F.struct(F.col("start_us"), F.col("event_id"))).alias("_point")
     # Written, so that Spark knows its size and need not shuffle the rows to meet a small table.
     points = settle(nearest_observations(events, times, bucket_us).groupBy(*ASSET, "us").agg(first), "points")
@@ -158,9 +172,10 @@ def _window_hits(windows: DataFrame, events: DataFrame, bucket_us: int, columns:
     (start - W, end]. Every window sits in one bucket only.
     """
     widest = windows.agg(F.max(F.col("window_end") - F.col("window_start"))).first()[0] or 1
-    spread = events.withColumn(
-        "_bucket", F.explode(_buckets(F.col("start_us") - F.lit(int(widest)) + 1, F.col("end_us"), bucket_us))
-    )
+    bounded = events.join(_observed_time(windows, "window_start"), ASSET)
+    spread = bounded.withColumn(
+        "_bucket", F.explode(_clipped_buckets(F.col("start_us") - F.lit(int(widest)) + 1, F.col("end_us"), bucket_us))
+    ).drop("_low", "_high")
     placed = windows.select(*columns).withColumn("_bucket", floor_div("window_start", bucket_us))
     w, e = placed.alias("w"), spread.alias("e")
     condition = (F.col("w.window_start") <= F.col("e.end_us")) & (F.col("w.window_end") > F.col("e.start_us"))

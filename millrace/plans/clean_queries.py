@@ -102,7 +102,7 @@ def exclusion(spark, sf):
     with_sql(
         [TELEMETRY, ROLED],
         """SELECT 'signal_class' AS source, channel, count(*) AS rows FROM telemetry GROUP BY ALL
-UNION ALL SELECT 'measurement_role', measurement_role, count(*) FROM roled GROUP BY ALL""",
+UNION ALL SELECT 'measurement_role', coalesce(measurement_role, 'None'), count(*) FROM roled GROUP BY ALL""",
     ),
 )
 def resolution(spark, sf):

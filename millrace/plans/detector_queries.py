@@ -229,7 +229,7 @@ def reconstruction(spark, sf):
 @registered("isolation_forest_scores")
 def forest(spark, sf):
     rows = settle(scaled_rows(spark, sf), "scaled")
-    trees = settle(fit_forest(rows, ["vec_id"], trees=50), "forest")
+    trees = settle(fit_forest(rows, ["vec_id"]), "forest")
     return isolation_scores(rows, trees).select("vec_id", rounded("isolation").alias("isolation"))
 
 
@@ -355,10 +355,13 @@ def end_to_end(spark, sf):
     """Fit on three fifths of the assets' normal days, calibrate on the rest, and explain every window of all assets."""
     t = telemetry(spark, sf)
     rows = t.withColumn("run_id", F.concat_ws("/", "run_id", "asset_id"))
-    train = rows.filter(run_bucket("asset_id", 5) < 3).withColumn("is_anomaly", F.lit(False)).withColumn("event_id", F.lit(None).cast("string"))
+    day = F.date_trunc("day", "timestamp")
+    eventful = settle(rows.filter("is_anomaly").select("run_id", "asset_id", day.alias("day")).distinct(), "eventful-days")
+    normal = rows.withColumn("day", day).join(eventful, ["run_id", "asset_id", "day"], "left_anti").drop("day")
+    train = normal.filter(run_bucket("asset_id", 5) < 3)
     validation = rows.filter(run_bucket("asset_id", 5) >= 3)
     options = Options(
-        family="pooled", size="24h", stride="24h", trees=40, latent=6,
+        family="pooled", size="24h", stride="24h", latent=16,
         exclude_signal_classes=[], early_stop_modulo=2, min_partition_windows=5,
     )
     model = fit_model(train, validation, options)

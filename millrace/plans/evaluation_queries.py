@@ -322,13 +322,14 @@ def sweep(spark, sf):
     return out.withColumn("recall", rounded("recall"))
 
 
-REPEATS = 50
+REPEATS = 500
+EVENT_REPEATS = 2000
 
 
-def draws_sql(seed: int = 20261005) -> list[str]:
+def draws_sql(seed: int = 20261005, repeats: int = REPEATS) -> list[str]:
     return [
         "numbered AS (SELECT run_id, row_number() OVER (ORDER BY run_id) - 1 AS slot, count(*) OVER () AS runs FROM (SELECT DISTINCT run_id FROM scored))",
-        f"""picked AS (SELECT replicate, ('0x' || substr(sha256('{seed}:' || replicate || ':' || slot), 1, 8))::BIGINT % runs AS slot FROM numbered, range({REPEATS}) r(replicate))""",
+        f"""picked AS (SELECT replicate, ('0x' || substr(sha256('{seed}:' || replicate || ':' || slot), 1, 8))::BIGINT % runs AS slot FROM numbered, range({repeats}) r(replicate))""",
         "draws AS (SELECT replicate, run_id, count(*) AS times FROM picked JOIN numbered USING (slot) GROUP BY ALL)",
     ]
 
@@ -380,7 +381,7 @@ def bootstrap_windows(spark, sf):
             TELEMETRY,
             SCORED,
             INTERVALS,
-            *draws_sql(),
+            *draws_sql(repeats=EVENT_REPEATS),
             f"""outcome AS (SELECT i.run_id, i.event_id, coalesce(bool_or(s.autoencoder >= 0.6), false) AS a, coalesce(bool_or(s.isolation >= 0.5), false) AS b
   FROM intervals i LEFT JOIN scored s ON {OVERLAP} GROUP BY ALL)""",
             "per_run AS (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE a) AS a, count(*) FILTER (WHERE b) AS b FROM outcome GROUP BY ALL)",
@@ -394,7 +395,7 @@ def bootstrap_events(spark, sf):
     arms = details(spark, sf).withColumn("arm", F.lit("baseline")).unionByName(
         details(spark, sf, "isolation", 0.5).withColumn("arm", F.lit("candidate"))
     )
-    out = event_rate_interval(arms, draw_runs(w, REPEATS), w)
+    out = event_rate_interval(arms, draw_runs(w, EVENT_REPEATS), w)
     return out.select("replicates", rounded("lower").alias("lower"), rounded("upper").alias("upper"))
 
 
@@ -405,7 +406,7 @@ def bootstrap_events(spark, sf):
             TELEMETRY,
             SCORED,
             BOUNDED,
-            *draws_sql(),
+            *draws_sql(repeats=EVENT_REPEATS),
             """per_run AS (SELECT run_id, count(*) FILTER (WHERE autoencoder >= 0.6 AND NOT is_anomaly AND retained) - count(*) FILTER (WHERE autoencoder >= 0.6 AND NOT is_anomaly) AS delta
   FROM bounded GROUP BY ALL)""",
             "sums AS (SELECT replicate, sum(delta * times)::DOUBLE AS delta FROM draws JOIN per_run USING (run_id) GROUP BY ALL)",
@@ -416,7 +417,7 @@ def bootstrap_events(spark, sf):
 def bootstrap_change(spark, sf):
     w = with_bounds(scored_windows(spark, sf), telemetry(spark, sf))
     false_alert = (F.col("autoencoder") >= 0.6) & ~F.col("is_anomaly")
-    out = count_change_interval(w, draw_runs(w, REPEATS), false_alert, false_alert & F.col("retained"))
+    out = count_change_interval(w, draw_runs(w, EVENT_REPEATS), false_alert, false_alert & F.col("retained"))
     return out.select("replicates", rounded("lower").alias("lower"), rounded("upper").alias("upper"))
 
 

@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,7 @@ REQUIRED_SETTINGS = {
 BUILDER_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 _fallback_dir: str | None = None
+_open_scopes: list[list[str]] = []
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
@@ -70,7 +73,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
-    return os.path.join(shared_dir(spark), "millrace", f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), "millrace", f"{label}-{uuid.uuid4().hex}")
+    for scope in _open_scopes:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables made inside the block when it ends.
+
+    Results are lazy, so write or collect them before leaving the block.
+    """
+    made: list[str] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(made)
+        for path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def settle(df: DataFrame, label: str = "stage") -> DataFrame:

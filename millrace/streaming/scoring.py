@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from millrace.plans.detector import Model, score_windows
+from millrace.session import scratch_scope
 from millrace.sources.sinks import write_scored
 
 
@@ -13,15 +14,15 @@ def score_stream(windows: DataFrame, model: Model, path: str, checkpoint: str) -
 
     Each micro-batch is a table, so it goes through the batch scoring job; its
     output directory is named by the batch, which makes a retried batch visible
-    instead of appending it twice.
+    instead of appending it twice. Its intermediate tables go when it is written.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        scored = score_windows(batch, model)
         columns = ["autoencoder", "isolation_forest", "irregularity"]
-        write_scored(scored, f"{path}/batch={number}", columns, mode="overwrite")
+        with scratch_scope(batch.sparkSession):
+            write_scored(score_windows(batch, model), f"{path}/batch={number}", columns, mode="overwrite")
 
     query = (
         windows.writeStream.foreachBatch(handle)

@@ -174,3 +174,17 @@ def test_experiment_tables(spark):
     assert ranks == {"b": 1.0, "baseline": 2.0}
     gate = spark.createDataFrame([("baseline", 3, 5, 0.6, 4), ("ok", 4, 5, 0.5, 4), ("noisy", 9, 9, 0.9, 5)], "candidate_id string, physical_detected int, detected_events int, precision double, false_positive_windows int")
     assert [r.candidate_id for r in eligible_candidates(gate).collect()] == ["ok"]
+
+
+OPEN_END = 253_402_300_799_000_000
+
+
+def test_an_open_ended_event_costs_no_more_than_the_data(spark):
+    schema = "run_id string, asset_id string, event_id string, start_us bigint, end_us bigint"
+    events = spark.createDataFrame([("r1", "a", "open", 2 * MINUTE, OPEN_END), ("r1", "a", "past", -OPEN_END, -1)], schema)
+    w = windows_of(spark, [("r1", "a", k * MINUTE, (k + 1) * MINUTE, 0.1) for k in range(5)])
+    assert {r.window_start // MINUTE for r in label_windows(w, events).filter("overlaps_event").collect()} == {2, 3, 4}
+    rows = spark.createDataFrame([("r1", "a", k * MINUTE) for k in range(5)], "run_id string, asset_id string, us bigint")
+    got = {r.us // MINUTE: r.event_id for r in annotate(rows, events).collect()}
+    # The past event met no observation, so it marks the nearest.
+    assert got == {0: "past", 1: None, 2: "open", 3: "open", 4: "open"}

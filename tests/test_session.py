@@ -34,3 +34,15 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(ValueError, match="shared folder"):
         session.shared_dir(Session())
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    folder = os.path.join(session.shared_dir(spark), "millrace")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with session.scratch_scope(spark):
+        kept = session.settle(spark.range(5), "numbers")
+        assert kept.count() == 5
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before

@@ -150,3 +150,10 @@ def test_equal_times_follow_the_tag(spark):
     rows = [row(0, 1, "t", tag="a"), row(10, 7, "t", tag="b"), row(10, 5, "t", tag="a")]
     r = by_start(window_features(frame(spark, rows), WindowPlan.of("1m", "1m")), ["t"])[0]
     assert (r["t_last"], r["t_delta"]) == (7, 6)
+
+
+def test_rows_without_a_role_share_a_channel(spark):
+    rows = [row(0, 1, "temp", "inlet"), row(1, 2, "temp", None), row(2, 4, "temp", None)]
+    features = window_features(frame(spark, rows, "measurement_role string"), WindowPlan.of("1m", "1m"))
+    r = by_start(features, ["inlet", "None"])[0]
+    assert (r["inlet_mean"], r["None_mean"], r["None_sample_count"]) == (1.0, 3.0, 2)
