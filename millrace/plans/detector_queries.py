@@ -350,25 +350,37 @@ def class_layout(spark, sf):
     return v.select("run_id", "asset_id", "window_start", F.size("vector").cast("bigint").alias("width"), rounded(total, 4).alias("checksum"))
 
 
-@registered("detector_end_to_end")
-def end_to_end(spark, sf):
-    """Fit on three fifths of the assets' normal days, calibrate on the rest, and explain every window of all assets."""
+def fitted_and_explained(spark, sf, run_days=None, **chosen):
+    """Fit on the normal days of three fifths of the assets, calibrate on those of the rest, explain every window of all assets.
+
+    With ``run_days`` a run is that many days of an asset, and runs are split instead of assets.
+    """
     t = telemetry(spark, sf)
-    rows = t.withColumn("run_id", F.concat_ws("/", "run_id", "asset_id"))
+    part = [F.floor(F.col("us") / F.lit(run_days * 86_400_000_000)).cast("string")] if run_days else []
+    rows = t.withColumn("run_id", F.concat_ws("/", "run_id", "asset_id", *part))
     day = F.date_trunc("day", "timestamp")
     eventful = settle(rows.filter("is_anomaly").select("run_id", "asset_id", day.alias("day")).distinct(), "eventful-days")
-    normal = rows.withColumn("day", day).join(eventful, ["run_id", "asset_id", "day"], "left_anti").drop("day")
-    train = normal.filter(run_bucket("asset_id", 5) < 3)
-    validation = rows.filter(run_bucket("asset_id", 5) >= 3)
-    options = Options(
-        family="pooled", size="24h", stride="24h", latent=16,
-        exclude_signal_classes=[], early_stop_modulo=2, min_partition_windows=5,
-    )
+    split = run_bucket("run_id" if run_days else "asset_id", 5)
+    train = rows.withColumn("day", day).join(eventful, ["run_id", "asset_id", "day"], "left_anti").drop("day").filter(split < 3)
+    validation = rows.filter(split >= 3)
+    options = Options(size="24h", stride="24h", exclude_signal_classes=[], early_stop_modulo=2, min_partition_windows=5, **chosen)
     model = fit_model(train, validation, options)
     out = predict(rows, model)
     return out.select("run_id", "asset_id", "window_start", rounded("scores.irregularity").alias("irregularity"), F.concat_ws(",", "observations").alias("observations"))
 
 
+@registered("detector_end_to_end")
+def end_to_end(spark, sf):
+    """One pair of detectors for all asset classes together."""
+    return fitted_and_explained(spark, sf, family="pooled")
+
+
+@registered("contextual_detector_end_to_end")
+def contextual_end_to_end(spark, sf):
+    """One pair of detectors per asset class, tail scores, and a threshold calibrated on normal windows."""
+    return fitted_and_explained(spark, sf, run_days=3, family="contextual", calibration_quantile=0.9)
+
+
 DAILY_CLOSED = with_sql(
     [
         TELEMETRY,
