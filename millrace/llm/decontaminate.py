@@ -10,7 +10,8 @@ by comparing the words.
 Defined results: null and empty texts have no words and no hits; null ids are
 kept; an item listed twice counts once, one without an id counts as ''; an
 empty benchmark hits nothing; equal rows are judged each on its own; other
-columns stay, and ones named as an added column are replaced by it.
+columns stay. ``scan_windows`` replaces columns named as an added one; the
+operators that add none keep them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.text import ALNUM_WORD, add_columns, alnum_words, lowered
+from millrace.llm.text import ALNUM_WORD, add_columns, alnum_words, lowered, sheltered
 from millrace.session import settle
 
 WINDOW = 13
@@ -187,11 +188,13 @@ def is_contaminated() -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """The documents that are not contaminated, unchanged."""
-    return scan_windows(docs, benchmark, **names).where(~is_contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    docs, back = sheltered(docs, ADDED.fieldNames())
+    return scan_windows(docs, benchmark, **names).where(~is_contaminated()).select(*back)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **names) -> DataFrame:
     """All documents, with the hit spans cut out of their texts."""
+    docs, back = sheltered(docs, ADDED.fieldNames())
     found = scan_windows(docs, benchmark, text=text, **names)
     whole = F.col(text)
     pieces = F.transform(
@@ -201,7 +204,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **names
     )
     rest = F.substring(whole, (F.element_at("hit_spans", -1)["end"] + 1).cast("int"), F.length(whole))
     cleaned = F.when(F.size("hit_spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(whole)
-    return found.withColumn(text, cleaned).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.withColumn(text, cleaned).select(*back)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ one line are no evidence. Counts cover every line of the corpus.
 
 Defined results: null and empty texts have no spans; equal rows get equal
 spans; null ids are kept; an empty table gives an empty table; other columns
-stay, and ones named as an added column are replaced by it.
+stay. ``find_spans`` replaces a column named pii_spans; ``sanitise`` keeps it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import let
-from millrace.llm.text import fresh_name
+from millrace.llm.text import fresh_name, sheltered
 from millrace.session import settle
 
 GENERALISE_AT = 0.9
@@ -111,20 +111,28 @@ def _entity(span: Column) -> Column:
 
 def _mentions(scanned: DataFrame) -> DataFrame:
     """Rows (row, line, line_hash, entity, term, start, end): terms that share a line with an entity, outside of spans."""
-    spread = scanned.where(F.size("spans") > 0).select("row", "text", "spans", F.explode("spans").alias("span"))
-    before = F.substring_index(F.substring(F.col("text"), F.lit(1), F.col("span.start")), "\n", -1)
-    after = F.substring_index(F.substring(F.col("text"), F.col("span.end") + 1, F.length("text")), "\n", 1)
+
+    def bounds(span: Column) -> Column:
+        before = F.substring_index(F.substring(F.col("text"), F.lit(1), span["start"]), "\n", -1)
+        after = F.substring_index(F.substring(F.col("text"), span["end"] + 1, F.length("text")), "\n", 1)
+        return F.struct((span["start"] - F.length(before)).alias("start"), (span["end"] + F.length(after)).alias("end"))
+
+    spread = scanned.where(F.size("spans") > 0).select("row", "text", "spans", F.explode(F.array_distinct(F.transform("spans", bounds))).alias("held"))
     lines = spread.select(
-        "row", "spans", _entity(F.col("span")).alias("entity"),
-        (F.col("span.start") - F.length(before)).alias("line"), F.concat(before, F.col("span.value"), after).alias("words"),
-    ).distinct()
-    terms = lines.select("row", "spans", "entity", "line", F.xxhash64("words").alias("line_hash"), F.explode(located(F.col("words"), TERM)).alias("t"))
-    placed = terms.select(
-        "row", "line", "line_hash", "entity", "spans", F.lower("t.value").alias("term"),
+        "row", F.col("held.start").alias("line"),
+        F.substring(F.col("text"), F.col("held.start") + 1, F.col("held.end") - F.col("held.start")).alias("words"),
+        F.filter("spans", lambda s: (s["start"] >= F.col("held.start")) & (s["start"] < F.col("held.end"))).alias("spans"),
+    )
+    # The terms of a line are found once, whatever number of entities it has.
+    terms = lines.select(
+        "row", "line", F.xxhash64("words").alias("line_hash"), "spans",
+        F.array_distinct(F.transform("spans", _entity)).alias("entities"), F.explode(located(F.col("words"), TERM)).alias("t"),
+    ).select(
+        "row", "line", "line_hash", "spans", "entities", F.lower("t.value").alias("term"),
         (F.col("line") + F.col("t.start")).alias("start"), (F.col("line") + F.col("t.end")).alias("end"),
     )
-    outside = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    return placed.where(outside).drop("spans")
+    outside = terms.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
+    return outside.select("row", "line", "line_hash", F.explode("entities").alias("entity"), "term", "start", "end")
 
 
 def corpus_lines(docs: DataFrame, text: str) -> DataFrame:
@@ -203,8 +211,9 @@ def sanitised_text(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, text: str = "text", **thresholds) -> DataFrame:
     """All documents with entities replaced and disclosing terms generalised or removed."""
+    docs, back = sheltered(docs, ["pii_spans"])
     found = find_spans(docs, text, **thresholds)
-    return found.withColumn(text, sanitised_text(F.col(text), F.col("pii_spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.withColumn(text, sanitised_text(F.col(text), F.col("pii_spans"))).select(*back)
 
 
 def _written(spans: Column) -> Column:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -69,3 +70,9 @@ def fresh_name(schema: T.StructType, wanted: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def sheltered(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """Rename columns that clash with ``names``; the second value selects all columns under their old names."""
+    clashing = {c: fresh_name(df.schema, f"kept_{c}") for c in df.columns if c in set(names)}
+    return df.withColumnsRenamed(clashing), [F.col(f"`{clashing.get(c, c)}`").alias(c) for c in df.columns]

@@ -117,6 +117,6 @@ def test_terms_that_always_stand_with_an_entity_are_removed(spark):
 
 
 def test_clashing_columns_and_empty_tables(spark):
-    docs = spark.createDataFrame([(1, "me@x.org", 7, 8)], "doc_id long, text string, row int, term_spans int")
-    assert sanitise.sanitise(docs).collect() == [(1, "[EMAIL]", 7, 8)]
+    docs = spark.createDataFrame([(1, "me@x.org", 7, 8, 9)], "doc_id long, text string, row int, term_spans int, pii_spans int")
+    assert sanitise.sanitise(docs).collect() == [(1, "[EMAIL]", 7, 8, 9)]
     assert sanitise.sanitise(docs.where(F.lit(False))).collect() == []

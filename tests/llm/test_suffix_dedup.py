@@ -74,7 +74,7 @@ def made_up():
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 3000, "part_bytes": 4000, "spread_blocks": 3}, {"block_bytes": 2000, "part_bytes": 9000, "spread_blocks": 1}])
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 3000, "part_bytes": 4000, "sort_bytes": 1500, "spread_blocks": 3}, {"block_bytes": 2000, "part_bytes": 9000, "spread_blocks": 1, "chunk": 100}])
 def test_made_up_documents_equal_brute_force(spark, sizes):
     rows = made_up()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
