@@ -357,9 +357,12 @@ def framed(pages: list[tuple[list[Block], list[int]]], seed: int = 11, copies: i
 def labelled_sample(pages: DataFrame, html_column: str, key: list[str], rows: int = SAMPLE_PAGES) -> list[tuple[list[Block], list[int]]]:
     """At most ``rows`` pages whose markup labels every block."""
     page = F.col(html_column).cast("string")
+    draw = F.xxhash64(*[F.col(k).cast("string") for k in key])
+    # About four times the wanted rows are looked at, so that tasks send few to the driver.
+    one_in = max(1, pages.count() // (4 * rows))
     drawn = (
         pages.where(F.length(page).between(1, SAMPLE_CHARS) & F.rlike(page, F.lit("(?i)<(?:article|main)\\b")))
-        .select(page.alias("page"), F.xxhash64(*[F.col(k).cast("string") for k in key]).alias("draw"))
+        .where(F.pmod(draw, F.lit(one_in)) == 0).select(page.alias("page"), draw.alias("draw"))
         .orderBy("draw", F.xxhash64("page")).limit(rows).collect()
     )
     out = []
