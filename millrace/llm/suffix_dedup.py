@@ -36,11 +36,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.decontaminate import runs
 from millrace.llm.lm_score import from_planes, packed, planes, unpacked
 from millrace.llm.text import utf8
 
@@ -48,8 +48,12 @@ WINDOW = 50
 GRAM = 20
 BLOCK_BYTES = 8_000_000
 PART_BYTES = 6_000_000
+# Text per partition of suffix sorting, which needs some hundred bytes of memory for each byte of a stretch.
+SORT_BYTES = 1_000_000
 # Blocks that share an anchor before its windows are dealt out one by one.
 SPREAD_BLOCKS = 64
+# Windows that are hashed together.
+CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -168,70 +172,95 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Block:
-    """The distinct texts of a block, end to end, with the anchors of their windows."""
+    """The distinct texts of a block, end to end, with the anchors of their windows.
 
-    def __init__(self, ids: list, texts: list[str | None], window: int, gram: int):
-        self.window, self.gram = window, gram
+    A stretch is a run of windows with one anchor inside a document: ``first``
+    is where its first window starts, ``count`` its windows, ``document`` the
+    number of its text. Windows are read ``chunk`` at a time, so only stretches
+    are held for the whole block.
+    """
+
+    def __init__(self, ids: list, texts: list[str | None], window: int, gram: int, chunk: int = CHUNK):
+        self.window, self.chunk = window, chunk
         self.rows = list(zip(ids, [utf8(t) for t in texts], strict=True))
         # Of equal texts, the smallest id stands for all; rows without an id take no part.
         self.least: dict[bytes, object] = {}
         for owner, body in self.rows:
             if owner is not None and len(body) >= window and (body not in self.least or owner < self.least[body]):
                 self.least[body] = owner
-        bodies = list(self.least)
-        self.data = b"".join(bodies)
-        sizes = np.array([len(b) for b in bodies], dtype=np.int64)
-        self.begin = dict(zip(bodies, (np.cumsum(sizes) - sizes).tolist(), strict=True))
-        self.document = np.repeat(np.arange(len(bodies)), sizes)
-        n = len(self.data) - window + 1
-        if n < 1:
-            self.starts, self.anchor = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            return
-        inside = self.document[:n] == self.document[window - 1 :]
-        anchor = _sliding_min(_hashes(np.frombuffer(self.data, dtype=np.uint8), gram), window - gram + 1)
-        self.starts = np.flatnonzero(inside)
-        self.anchor = anchor[self.starts]
-
-    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
-        """First window (index into ``starts``) and length of each run of one anchor within a document."""
-        if not len(self.starts):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        new = np.concatenate([[True], (self.anchor[1:] != self.anchor[:-1]) | (np.diff(self.starts) != 1)])
-        first = np.flatnonzero(new)
-        return first, np.diff(np.append(first, len(self.starts)))
+        # In an order of their own, for rows come in any order and a block is read more than once.
+        self.least = dict(sorted(self.least.items()))
+        self.data = b"".join(self.least)
+        sizes = np.array([len(b) for b in self.least], dtype=np.int64)
+        self.ends = np.cumsum(sizes)
+        self.number = {body: k for k, body in enumerate(self.least)}
+        found = [self._chunk(at, gram) for at in range(0, len(self.data) - window + 1, chunk)]
+        self.first, self.count, self.anchor = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        self.document = self.documents(self.first)
+
+    def documents(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, places, side="right")
+
+    def _chunk(self, at: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data = np.frombuffer(self.data, dtype=np.uint8)[at : at + self.chunk + self.window - 1]
+        anchor = _sliding_min(_hashes(data, gram), self.window - gram + 1)
+        inside = np.ones(len(anchor), dtype=bool)
+        low, high = np.searchsorted(self.ends, [at, at + len(anchor) + self.window])
+        for end in self.ends[low:high].tolist():
+            inside[max(0, end - self.window + 1 - at) : max(0, end - at)] = False
+        starts = np.flatnonzero(inside)
+        anchor = anchor[starts]
+        new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (np.diff(starts) != 1)])) if len(starts) else np.zeros(0, np.int64)
+        return at + starts[new], np.diff(np.append(new, len(starts))), anchor[new]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors, ascending, and how many documents have each (2 stands for more)."""
-        first, _ = self.stretches()
-        pairs = np.unique(np.stack([self.anchor[first], self.document[self.starts[first]].astype(np.uint64)], axis=1), axis=0) if len(first) else np.zeros((0, 2), np.uint64)
-        values, counts = np.unique(pairs[:, 0], return_counts=True)
-        return values, np.minimum(counts, 2)
-
-    def shared(self, answers: dict[int, np.ndarray], parts: int, spread: bool = True) -> Stretches:
+        # Stretches are in document order, and a stable sort keeps them so within an anchor.
+        order = np.argsort(self.anchor, kind="stable")
+        anchor, document = self.anchor[order], self.document[order]
+        if not len(anchor):
+            return anchor, np.zeros(0, np.int64)
+        begins = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        ends = np.append(begins[1:], len(anchor)) - 1
+        return anchor[begins], 1 + (document[ends] != document[begins])
+
+    def shared(self, answers: dict[int, np.ndarray], parts: int, sort_parts: int) -> Stretches:
         """Distinct stretches with shared anchors; answer 2 asks for single windows."""
         values, _ = self.anchors()
-        where = _parts(values, parts)
-        flags = np.concatenate([answers[p] for p in np.unique(where).tolist()]) if len(values) else np.zeros(0, np.int64)
-        first, count = self.stretches()
-        flag = flags[np.searchsorted(values, self.anchor[first])] if len(first) else np.zeros(0, np.int64)
-        return Stretches(self, first, count, flag, parts)
+        flags = np.concatenate([answers[p] for p in np.unique(_parts(values, parts)).tolist()]) if len(values) else np.zeros(0, np.int64)
+        flag = flags[np.searchsorted(values, self.anchor)] if len(values) else flags
+        kept = np.flatnonzero(flag)
+        return Stretches(self, self.first[kept], self.count[kept], flag[kept], self.anchor[kept], sort_parts)
+
+    def spans(self, hits: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Bytes under the windows that start at ``hits``, as runs from each document's start."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        if not len(hits):
+            return out
+        hits = np.unique(hits)
+        document = self.documents(hits)
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(hits) > self.window) | (document[1:] != document[:-1])]))
+        last = np.append(new[1:], len(hits)) - 1
+        begins = np.concatenate([[0], self.ends])
+        for k, a, b in zip(document[new].tolist(), hits[new].tolist(), hits[last].tolist(), strict=True):
+            begin = int(begins[k])
+            out.setdefault(k, []).append((a - begin, b + self.window - begin))
+        return out
 
 
 class Stretches:
     """The stretches of a block that travel, each once, by partition."""
 
-    def __init__(self, block: Block, first: np.ndarray, count: np.ndarray, flag: np.ndarray, parts: int):
+    def __init__(self, block: Block, first: np.ndarray, count: np.ndarray, flag: np.ndarray, anchor: np.ndarray, parts: int):
         ids = list(block.least.values())
         window = block.window
-        self.windows: list[np.ndarray] = []
         index: dict[tuple[int, bytes], int] = {}
         self.keys: list[tuple[int, bytes]] = []
         self.owner: list = []
 
-        def add(part: int, begin: int, size: int) -> None:
-            at = int(block.starts[begin])
-            key = (part, block.data[at : at + size + window - 1])
-            owner = ids[block.document[at]]
+        def add(part: int, begin: int, size: int, document: int) -> None:
+            key = (part, block.data[begin : begin + size + window - 1])
+            owner = ids[document]
             k = index.setdefault(key, len(index))
             if k == len(self.keys):
                 self.keys.append(key)
@@ -242,17 +271,16 @@ class Stretches:
             self.members[k].append(begin)
 
         self.members: list[list[int]] = []
-        part_of = _parts(block.anchor[first], parts).astype(np.int64) if len(first) else first
-        for begin, size, kind, part in zip(first.tolist(), count.tolist(), flag.tolist(), part_of.tolist(), strict=True):
+        columns = (first, count, flag, _parts(anchor, parts), block.documents(first))
+        for begin, size, kind, part, document in zip(*(c.tolist() for c in columns), strict=True):
             if kind == 1:
                 # An answer has 63 bits, so stretches travel in pieces of that many windows.
                 for step in range(0, size, 63):
-                    add(part, begin + step, min(63, size - step))
+                    add(part, begin + step, min(63, size - step), document)
             elif kind == 2:
                 for step in range(size):
-                    at = int(block.starts[begin + step])
-                    own = xxhash.xxh64_intdigest(block.data[at : at + window])
-                    add(((own >> 32) * parts) >> 32, begin + step, 1)
+                    own = xxhash.xxh64_intdigest(block.data[begin + step : begin + step + window])
+                    add(((own >> 32) * parts) >> 32, begin + step, 1, document)
         self.order = sorted(range(len(self.keys)), key=self.keys.__getitem__)
 
 
@@ -266,6 +294,26 @@ def _steps(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def _classes(bodies: list[bytes], starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+    """Class numbers of all windows of distinct stretches.
+
+    Only stretches with a window whose hash another window has are sorted; no
+    window of the rest can have an equal.
+    """
+    hashes = _hashes(np.frombuffer(b"".join(bodies), dtype=np.uint8), window)[starts]
+    _, place, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    begins = np.cumsum(counts) - counts
+    sorted_ones = np.logical_or.reduceat(times[place] > 1, begins)
+    classes = np.arange(len(starts))
+    if sorted_ones.any():
+        chosen = [b for b, wanted in zip(bodies, sorted_ones.tolist(), strict=True) if wanted]
+        sizes = np.array([len(b) for b in chosen], dtype=np.int64)
+        of, step = _steps(counts[sorted_ones])
+        found = equal_windows(b"".join(chosen), (np.cumsum(sizes) - sizes)[of] + step, window)
+        classes[np.repeat(sorted_ones, counts)] = len(starts) + found
+    return classes
+
+
 def smaller_owner(bodies: list[bytes], owners: list, window: int) -> np.ndarray:
     """For each stretch a bit per window: another stretch has it with a smaller id."""
     distinct: dict[bytes, int] = {}
@@ -281,7 +329,7 @@ def smaller_owner(bodies: list[bytes], owners: list, window: int) -> np.ndarray:
     counts = sizes - window + 1
     of, step = _steps(counts)
     starts = begins[of] + step
-    classes = equal_windows(b"".join(distinct), starts, window)
+    classes = _classes(list(distinct), starts, counts, window)
     best = np.full(int(classes.max(initial=-1)) + 1, len(ranks), dtype=np.int64)
     np.minimum.at(best, classes, np.repeat(least, counts))
     offsets = (np.cumsum(counts) - counts)[which]
@@ -290,15 +338,15 @@ def smaller_owner(bodies: list[bytes], owners: list, window: int) -> np.ndarray:
     return np.add.reduceat(smaller.astype(np.int64) << step, np.flatnonzero(step == 0))
 
 
-def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, spread_blocks: int = SPREAD_BLOCKS) -> DataFrame:
+def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, sort_bytes: int = SORT_BYTES, spread_blocks: int = SPREAD_BLOCKS, chunk: int = CHUNK) -> DataFrame:
     """Rows (doc_id, n_bytes, removed): the byte spans (start, end) to take out of every document."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, parts = max(1, math.ceil(size / block_bytes)), max(1, math.ceil(size / part_bytes))
+    blocks, parts, sort_parts = (max(1, math.ceil(size / most)) for most in (block_bytes, part_bytes, sort_bytes))
     dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long")).repartition("block")
 
     def read(table: pa.Table) -> Block:
-        return Block(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), window, gram)
+        return Block(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), window, gram, chunk)
 
     def anchors(key: tuple, table: pa.Table) -> pa.Table:
         values, counts = read(table).anchors()
@@ -324,12 +372,13 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     def stretches(left: pa.Table, right: pa.Table) -> tuple[Block, Stretches]:
         block = read(left)
         answers = dict(zip(right.column("part").to_pylist(), [np.frombuffer(a, np.uint8).astype(np.int64) for a in right.column("answers").to_pylist()], strict=True))
-        return block, block.shared(answers, parts)
+        return block, block.shared(answers, parts, sort_parts)
 
     id_field = source.schema["doc_id"]
 
     def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         _, found = stretches(left, right)
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         rows: dict[int, list[int]] = {}
         for k in found.order:
             rows.setdefault(found.keys[k][0], []).append(k)
@@ -338,14 +387,15 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             "part": pa.array(list(rows), pa.int64()),
             "block": pa.array([key[0].as_py()] * len(rows), pa.int64()),
             "sizes": pa.array([np.array([len(found.keys[k][1]) for k in v], dtype="<u2").tobytes() for v in rows.values()], pa.binary()),
-            "bodies": pa.array([b"".join(found.keys[k][1] for k in v) for v in rows.values()], pa.binary()),
+            "bodies": pa.array([squeeze(b"".join(found.keys[k][1] for k in v)) for v in rows.values()], pa.binary()),
             "owners": pa.array([[found.owner[k] for k in v] for v in rows.values()], pa.list_(type_)),
         })
 
     def sort(key: tuple, table: pa.Table) -> pa.Table:
         bodies, owners, cuts = [], [], [0]
+        unsqueeze = zstandard.ZstdDecompressor().decompress
         for sizes, data, ids in zip(table.column("sizes").to_pylist(), table.column("bodies").to_pylist(), table.column("owners").to_pylist(), strict=True):
-            at = 0
+            at, data = 0, unsqueeze(data)
             for n in np.frombuffer(sizes, "<u2").tolist():
                 bodies.append(data[at : at + n])
                 at += n
@@ -363,28 +413,25 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         # A stretch's bits hold for its smallest id; for any other id of the block all its windows do.
         ids = list(block.least.values())
         rows: list[tuple[int, int, int]] = []
+        number = block.documents(np.array([m for k in found.order for m in found.members[k]], dtype=np.int64)).tolist()
+        number.reverse()
         for k in found.order:
             part, body = found.keys[k]
             at = taken.get(part, 0)
             taken[part] = at + 1
             bits, count = int(sorted_bits[part][at]), len(body) - window + 1
             for begin in found.members[k]:
-                start = int(block.starts[begin])
-                rows.append((start, count, -1 if ids[block.document[start]] > found.owner[k] else bits))
+                rows.append((begin, count, -1 if ids[number.pop()] > found.owner[k] else bits))
         begins, counts, flags = np.array(rows, dtype=np.int64).reshape(-1, 3).T
         of, step = _steps(counts)
         hit = begins[of] + step
         hit = hit[(flags[of] >> step & 1) == 1]
-        size = len(block.data) + 1
-        edges = np.bincount(hit, minlength=size) - np.bincount(hit + window, minlength=size)
-        covered = np.cumsum(edges[:-1]) > 0
+        gone = block.spans(hit)
         removed, sizes, digests = [], [], []
         for owner, body in block.rows:
             spans: list[tuple[int, int]] = []
             if owner is not None and len(body) >= window:
-                begin = block.begin[body]
-                whole = owner > block.least[body]
-                spans = [(0, len(body))] if whole else runs(covered[begin : begin + len(body)])
+                spans = [(0, len(body))] if owner > block.least[body] else gone.get(block.number[body], [])
             kept, at = [], 0
             for a, b in spans:
                 kept.append(body[at:a])
