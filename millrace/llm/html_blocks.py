@@ -10,7 +10,9 @@ The model is fitted in the job on at most ``SAMPLE_PAGES`` pages of at most
 ``SAMPLE_CHARS`` characters. Their labels come from markup that says what a
 block is (article, main, nav, footer, ...); made-up page frames around the
 same blocks show it layouts that the sample lacks. The fit is seeded, and its
-sample is a fixed draw by hash, so equal tables give equal models.
+sample is a fixed draw of distinct pages by hash, so equal tables give equal
+models. Where no page of the sample has marked content, the model is fitted on
+made-up pages alone (``prior_pages``) and knows names of tags and classes only.
 
 Defined results: a null or empty page, and one without content blocks, has the
 empty text; equal rows are labelled each on its own; null ids and urls are
@@ -293,11 +295,13 @@ def fit(pages: list[tuple[list[Block], list[int]]], epochs: int = EPOCHS, seed:
     data = sorted(((features.matrix(blocks), np.array(labels, dtype=np.float32)) for blocks, labels in pages if blocks), key=lambda d: len(d[1]))
     model = BidirectionalLSTM(PATH_SIZE + WORD_SIZE + RATIOS, seed=seed)
     rng = np.random.default_rng(seed)
+    if not data:
+        raise ValueError("no page with blocks to fit on")
     groups = [data[i : i + 24] for i in range(0, len(data), 24)]
     means = {k: np.zeros_like(w) for k, w in model.weights.items()}
     squares = {k: np.zeros_like(w) for k, w in model.weights.items()}
     step = 0
-    for _ in range(epochs if groups else 0):
+    for _ in range(epochs):
         losses = []
         for g in rng.permutation(len(groups)).tolist():
             x, mask = _padded([m for m, _ in groups[g]])
@@ -354,17 +358,24 @@ def framed(pages: list[tuple[list[Block], list[int]]], seed: int = 11, copies: i
     return out
 
 
-def labelled_sample(pages: DataFrame, html_column: str, key: list[str], rows: int = SAMPLE_PAGES) -> list[tuple[list[Block], list[int]]]:
-    """At most ``rows`` pages whose markup labels every block."""
+def prior_pages(pages: int = 60, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
+    """Made-up articles of meaningless words in made-up frames."""
+    rng = np.random.default_rng(seed)
+
+    def sentence() -> str:
+        return " ".join("w" + "abcdefghij"[rng.integers(10)] * rng.integers(1, 8) for _ in range(rng.integers(5, 40))) + "."
+
+    bodies = [[Block(("<article>", "<p>"), sentence(), 0.0) for _ in range(rng.integers(2, 12))] for _ in range(pages)]
+    return framed([(b, [1] * len(b)) for b in bodies], seed, copies=4)
+
+
+def labelled_sample(pages: DataFrame, html_column: str, rows: int = SAMPLE_PAGES) -> list[tuple[list[Block], list[int]]]:
+    """``rows`` distinct pages whose markup labels every block, or all if there are fewer."""
     page = F.col(html_column).cast("string")
-    draw = F.xxhash64(*[F.col(k).cast("string") for k in key])
+    marked = pages.where(F.length(page).between(1, SAMPLE_CHARS) & F.rlike(page, F.lit("(?i)<(?:article|main)\\b"))).select(page.alias("page"), F.xxhash64(page).alias("draw"))
     # About four times the wanted rows are looked at, so that tasks send few to the driver.
-    one_in = max(1, pages.count() // (4 * rows))
-    drawn = (
-        pages.where(F.length(page).between(1, SAMPLE_CHARS) & F.rlike(page, F.lit("(?i)<(?:article|main)\\b")))
-        .where(F.pmod(draw, F.lit(one_in)) == 0).select(page.alias("page"), draw.alias("draw"))
-        .orderBy("draw", F.xxhash64("page")).limit(rows).collect()
-    )
+    one_in = max(1, marked.agg(F.count_distinct("draw")).first()[0] // (4 * rows))
+    drawn = marked.where(F.pmod("draw", F.lit(one_in)) == 0).groupBy("draw").agg(F.min("page").alias("page")).orderBy("draw").limit(rows).collect()
     out = []
     for row in drawn:
         blocks = blocks_of(row.page)
@@ -391,11 +402,11 @@ def label_pages(model: BidirectionalLSTM, features: Features, pages: list[list[B
 ADDED = T.StructType([T.StructField("main_text", T.StringType()), T.StructField("n_blocks", T.LongType()), T.StructField("n_content_blocks", T.LongType())])
 
 
-def extract_text(pages: DataFrame, html_column: str = "html", key: list[str] | None = None, model: BidirectionalLSTM | None = None) -> DataFrame:
+def extract_text(pages: DataFrame, html_column: str = "html", model: BidirectionalLSTM | None = None) -> DataFrame:
     """Add main_text and block counts to every page; without a model one is fitted on these pages."""
     if model is None:
-        sample = labelled_sample(pages, html_column, key or [html_column])
-        model = fit(sample + framed(sample))
+        sample = labelled_sample(pages, html_column)
+        model = fit(sample + framed(sample) if any(any(labels) for _, labels in sample) else prior_pages())
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -419,5 +430,5 @@ def extract_text(pages: DataFrame, html_column: str = "html", key: list[str] | N
 def main_text_report(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_column: str = "html") -> DataFrame:
     """The main text of every page and its length in code points."""
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html_column).alias("html"))
-    found = extract_text(source, "html", ["page_id", "url"])
+    found = extract_text(source, "html")
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))

@@ -60,3 +60,22 @@ def test_pages_of_a_table(spark):
         expected = "" if row.page_id in (61, 62) else wanted(1 if row.page_id is None else row.page_id)
         assert (row.text, row.n_chars) == (expected, len(expected))
     assert hb.main_text_report(pages.where("false")).collect() == []
+
+
+def test_sample_is_thinned_by_marked_pages(spark):
+    bare = [(None, f"<p>Page {i}</p>") for i in range(400)]
+    # Copies and equal keys are no reason to draw fewer.
+    rows = bare + [(None, page(i % 20)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    sample = hb.labelled_sample(pages, "html", rows=10)
+    assert len(sample) == 10 and len({tuple(b.text for b in blocks) for blocks, _ in sample}) == 10
+    assert len(hb.labelled_sample(pages, "html", rows=30)) == 20
+
+
+def test_table_without_marked_pages(spark):
+    with pytest.raises(ValueError):
+        hb.fit([])
+    body = "".join(f"<p>Sentence {k} of this page, with some words in it.</p>" for k in range(4))
+    rows = [(1, f"<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='content'>{body}</div><footer><p>Legal</p></footer></body></html>")]
+    got = hb.extract_text(spark.createDataFrame(rows, "page_id long, html string")).first()
+    assert got.main_text == " ".join(f"Sentence {k} of this page, with some words in it." for k in range(4))
