@@ -43,7 +43,12 @@ EPOCHS = 30
 BLOCKS_AT_ONCE = 16_384
 
 # Elements of HTML by how they take part in text.
-DROPPED = "script style noscript template title textarea select button iframe object svg math canvas audio video".split()
+# Raw text up to the end tag, and elements whose blocks are dropped while they are open.
+RAW = "script style title textarea iframe xmp noembed noframes".split()
+UNREAD = frozenset("noscript template select button object svg math canvas audio video".split())
+# Tags that end an open svg or math element, except inside elements that hold HTML.
+BREAKS_OUT = frozenset("article section main div p h1 h2 h3 h4 h5 h6 ul ol dl li table blockquote pre".split())
+HOLDS_HTML = frozenset("foreignobject desc annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSED_BY_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -55,7 +60,7 @@ FRAME_NAMES = frozenset(
 CONTENT_TAGS = frozenset(["article", "main"])
 
 _TAG = re.compile(
-    r"<!--(?:.*?-->|.*)|<(" + "|".join(DROPPED) + r")\b(?:.*?</\1\s*+(?:>|\Z)|.*)"
+    r"<!--(?:.*?-->|.*)|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+(?<!/)>(?:.*?</\1(?=[\s/>]|\Z)[^>]*+(?:>|\Z)|.*)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|</[^>]*+(?:>|\Z)",
     re.S | re.I,
 )
@@ -95,6 +100,8 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def read(raw: str) -> None:
         nonlocal path, linked
+        if any(tag in UNREAD for tag, _ in stack):
+            return
         text = html.unescape(raw) if "&" in raw else raw
         if text.strip():
             if not any(p.strip() for p in parts):
@@ -124,6 +131,13 @@ def blocks_of(page: str | None) -> list[Block]:
                     del stack[i:]
                     break
         elif tag not in VOID:
+            if tag in BREAKS_OUT:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in HOLDS_HTML:
+                        break
+                    if stack[i][0] in ("svg", "math"):
+                        del stack[i:]
+                        break
             closes = CLOSED_BY_ITSELF.get(tag)
             if closes:
                 for i in range(len(stack) - 1, -1, -1):

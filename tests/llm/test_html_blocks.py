@@ -79,3 +79,12 @@ def test_table_without_marked_pages(spark):
     rows = [(1, f"<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='content'>{body}</div><footer><p>Legal</p></footer></body></html>")]
     got = hb.extract_text(spark.createDataFrame(rows, "page_id long, html string")).first()
     assert got.main_text == " ".join(f"Sentence {k} of this page, with some words in it." for k in range(4))
+
+
+@pytest.mark.parametrize("odd", [
+    "<svg width='1'/>", "<math/>", "<iframe src='x' />", "<script src='x'/>", "<svg width='1'>", "<video-player></video-player>", "<template-x></template-x>", "<style-guide>", "<button-group>",
+    "<div><button>no</div>", "<div><select><option>no</div>", "<div><object>no</div>", "<p><video>no</p>", "<svg><foreignObject><p>no</p></foreignObject></svg>",
+    "<button><b>no</b></button>", "<SCRIPT a='>'>no</b></SCRIPT >", "<noscript><p>no</p></noscript>", "<textarea><p>no</textarea>", "<iframe>no<p>no</iframe>",
+])
+def test_text_after_odd_elements_stays(odd):
+    assert [b.text for b in hb.blocks_of(f"<article><p>A</p>{odd}<p>B</p></article><p>C</p>")] == ["A", "B", "C"]
