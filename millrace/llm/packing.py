@@ -90,7 +90,7 @@ class WordCache:
         split = []
         for i, line in enumerate(lines):
             words = line.split()
-            if len(words) != line.count(" ") + 1:
+            if not words or " ".join(words) != line:
                 if line or 0 < i < len(lines) - 1:
                     return None
                 words = [""]
@@ -151,10 +151,7 @@ def _cache(path: str) -> WordCache:
 
 
 def tokenised(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Rows (doc_id, row, piece, start, length, ids_crc32[, ids]): the pieces of every document.
-
-    ``row`` tells rows with equal ids apart.
-    """
+    """Rows (doc_id, piece, start, length, ids_crc32[, ids]): the pieces of every document."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     key = source.schema["doc_id"]
     fields = [T.StructField("doc_id", key.dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
