@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import archives, decontaminate, html_blocks, licenses, lm_score, packing, quality, sanitise, simhash, suffix_dedup
+from millrace.llm import archives, decontaminate, fill_in_middle, html_blocks, licenses, lm_score, packing, quality, sanitise, simhash, suffix_dedup
 from millrace.session import prepare_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,4 +220,36 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
 
 
+MIDDLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS draw
+  FROM documents),
+drawn AS (
+  SELECT *, len(tokens) AS n, ('0x' || draw[1:8])::BIGINT AS h1, ('0x' || draw[9:16])::BIGINT AS h2,
+         ('0x' || draw[17:24])::BIGINT AS h3, ('0x' || draw[25:32])::BIGINT AS h4
+  FROM d),
+formed AS (
+  SELECT doc_id, n, text,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(tokens[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+         array_to_string(tokens[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle,
+         array_to_string(tokens[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS suffix
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM formed
+"""
+
+
+@registered("op11_fill_in_middle", MIDDLE_SQL)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.middle_report(table(spark, sf_dir, "documents"))
+
+
 registered("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
