@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import archives, decontaminate, fill_in_middle, html_blocks, licenses, lm_score, packing, quality, sanitise, simhash, suffix_dedup
+from millrace.llm import archives, decontaminate, fill_in_middle, html_blocks, licenses, lm_score, multiset_hash, packing, quality, sanitise, simhash, suffix_dedup
 from millrace.session import prepare_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,4 +252,51 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.middle_report(table(spark, sf_dir, "documents"))
 
 
+# Sums over the paragraphs of a body of what their SHA-256 says: four 64-bit words, and 256 bits as 1 or -1.
+MULTISET_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+followed AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS following FROM d),
+changed AS (SELECT *, substr(text, 1, length(text) - length(text) // 4) || substr(following, 1, length(text) // 4) AS after FROM followed),
+bodies AS (SELECT doc_id, false AS edited, text AS body FROM changed UNION ALL SELECT doc_id, true, after FROM changed),
+hashed AS (
+  SELECT doc_id, edited, sha256(unnest(string_split(replace(body, '. ', '. ' || chr(10)), chr(10)))) AS h FROM bodies WHERE body <> ''),
+words AS (
+  SELECT doc_id, edited, string_agg(lpad(lower(to_hex(v::UBIGINT)), 16, '0'), '' ORDER BY k) AS words
+  FROM (SELECT doc_id, edited, k, sum(('0x' || h[16 * k + 1:16 * k + 16])::UBIGINT::HUGEINT) % 18446744073709551616::HUGEINT AS v
+        FROM hashed, range(4) AS r(k) GROUP BY ALL)
+  GROUP BY ALL),
+digits AS (
+  SELECT doc_id, edited, k, count(*) AS n, sum(v >> 3) AS b0, sum((v >> 2) & 1) AS b1, sum((v >> 1) & 1) AS b2, sum(v & 1) AS b3
+  FROM (SELECT doc_id, edited, k, strpos('0123456789abcdef', h[k + 1:k + 1]) - 1 AS v FROM hashed, range(64) AS r(k)) GROUP BY ALL),
+signs AS (
+  SELECT doc_id, edited, flatten(list(list_transform([b0, b1, b2, b3], lambda b: ((2 * b - n + 32768) % 65536 + 65536)::BIGINT % 65536 - 32768) ORDER BY k)) AS signs
+  FROM digits GROUP BY ALL),
+prints AS (
+  SELECT doc_id, edited, coalesce(signs, list_transform(range(256), lambda i: 0)) AS signs,
+         coalesce(words, repeat('0', 64)) || coalesce(array_to_string(list_transform(signs, lambda s: lpad(lower(to_hex((s + 65536) % 65536)), 4, '0')), ''), repeat('0', 1024)) AS print
+  FROM bodies LEFT JOIN words USING (doc_id, edited) LEFT JOIN signs USING (doc_id, edited)),
+own AS (
+  SELECT *, coalesce(lead(signs) OVER (ORDER BY doc_id), first_value(signs) OVER (ORDER BY doc_id)) AS next_signs,
+         coalesce(lead(print) OVER (ORDER BY doc_id), first_value(print) OVER (ORDER BY doc_id)) AS next_print
+  FROM prints WHERE NOT edited),
+sides AS (
+  SELECT doc_id, own.print AS fingerprint, own.signs AS a, own.next_signs AS b, own.next_print, e.print AS edited_fingerprint, e.signs AS c
+  FROM own JOIN (SELECT * FROM prints WHERE edited) e USING (doc_id)),
+energies AS (
+  SELECT *, list_sum(list_transform(a, lambda x: x * x)) AS ea, list_sum(list_transform(b, lambda x: x * x)) AS eb, list_sum(list_transform(c, lambda x: x * x)) AS ec,
+         list_sum(list_transform(range(256), lambda i: pow(((a[i + 1] - b[i + 1] + 98304) % 65536) - 32768, 2)::BIGINT)) AS ab,
+         list_sum(list_transform(range(256), lambda i: pow(((a[i + 1] - c[i + 1] + 98304) % 65536) - 32768, 2)::BIGINT)) AS ac
+  FROM sides)
+SELECT doc_id, length(text) AS n_chars, sha256(after) AS edited_sha256, fingerprint, edited_fingerprint,
+       CASE WHEN fingerprint = edited_fingerprint THEN 1.0 WHEN ea + ec = 0 THEN 0.0 ELSE greatest(0.0, 1.0::DOUBLE - ac::DOUBLE / (ea + ec)::DOUBLE) END::DOUBLE AS near_edited,
+       CASE WHEN fingerprint = next_print THEN 1.0 WHEN ea + eb = 0 THEN 0.0 ELSE greatest(0.0, 1.0::DOUBLE - ab::DOUBLE / (ea + eb)::DOUBLE) END::DOUBLE AS near_next
+FROM changed JOIN energies USING (doc_id)
+"""
+
+
+@registered("op13_multiset_fingerprints", MULTISET_SQL)
+def op13_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.edited_with_next(table(spark, sf_dir, "documents"))
+
+
 registered("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
