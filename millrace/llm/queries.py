@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import archives, decontaminate, fill_in_middle, html_blocks, licenses, lm_score, multiset_hash, packing, quality, sanitise, simhash, suffix_dedup
+from millrace.llm import archives, decontaminate, fill_in_middle, html_blocks, licenses, lm_score, multiset_hash, packing, quality, sanitise, simhash, spelling, suffix_dedup
 from millrace.session import prepare_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -299,4 +299,53 @@ def op13_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.edited_with_next(table(spark, sf_dir, "documents"))
 
 
+def _crc_table() -> list[int]:
+    """CRC-32 of every byte, from its polynomial."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+# Letters beyond ASCII as other single bytes, for an edit distance that counts bytes.
+_ACCENTED = "".join(map(chr, range(0xC0, 0x100)))
+_SINGLE = "".join(c for c in map(chr, range(33, 127)) if c not in "'" and not c.islower())[:64]
+
+SPELLING_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS w FROM documents) GROUP BY ALL),
+coded AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS h FROM runs),
+summed AS (
+  SELECT w, c, xor(4294967295::BIGINT, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+           lambda a, b: xor(a >> 8, {_crc_table()}[(xor(a, b) & 255) + 1]))) AS crc
+  FROM coded),
+lossy AS (SELECT CASE WHEN crc % 97 = 0 THEN left(w, crc % length(w)) || substr(w, crc % length(w) + 2) ELSE w END AS w, c FROM summed),
+words AS MATERIALIZED (
+  SELECT w, sum(c)::BIGINT AS n, translate(w, '{_ACCENTED}', '{_SINGLE}') AS b FROM lossy WHERE length(w) >= 5 GROUP BY w HAVING sum(c) >= 3),
+pairs AS MATERIALIZED (
+  SELECT x.w, x.n, y.w AS other, y.n AS m FROM words x JOIN words y ON left(x.b, 2) = left(y.b, 2) WHERE abs(length(x.b) - length(y.b)) <= 1 AND levenshtein(x.b, y.b) = 1
+  UNION
+  SELECT x.w, x.n, y.w, y.n FROM words x JOIN words y ON right(x.b, 2) = right(y.b, 2) WHERE abs(length(x.b) - length(y.b)) <= 1 AND levenshtein(x.b, y.b) = 1),
+best AS (
+  SELECT w, any_value(n) AS n, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS other, max(m) AS m FROM pairs GROUP BY w),
+forms AS MATERIALIZED (SELECT w, other AS form, m AS form_n FROM best WHERE m >= 2 * n),
+walk AS (
+  SELECT w, form AS here FROM forms
+  UNION ALL
+  SELECT walk.w, forms.form FROM walk JOIN forms ON walk.here = forms.w),
+roots AS (SELECT w, here AS root FROM walk WHERE here NOT IN (SELECT w FROM forms))
+SELECT words.w AS word, form, coalesce(root, words.w) AS root, words.n, coalesce(n_near, 0) AS n_near, form_n
+FROM words LEFT JOIN best USING (w) LEFT JOIN forms USING (w) LEFT JOIN roots USING (w)
+"""
+
+
+@registered("op12_spelling_variants", SPELLING_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_report(table(spark, sf_dir, "documents"))
+
+
 registered("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
