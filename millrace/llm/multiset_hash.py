@@ -50,7 +50,7 @@ from millrace.llm.text import ROWS_AT_ONCE, add_columns
 
 WORDS, SIGNS = 4, 256
 # Bytes of text of a range of ids, and ranges at most (beyond, ranges hold more).
-RANGE_BYTES = 24_000_000
+RANGE_BYTES = 4_000_000
 MOST_RANGES = 100_000
 # Paragraphs of a document whose bits are spread out together.
 _AT_ONCE = 4096
