@@ -9,7 +9,7 @@ from millrace.operators.calibration import calibrate, ensemble, ensemble_weights
 from millrace.operators.channels import STATISTICS, VALUE_STATISTICS, class_channels, with_channel
 from millrace.operators.context import encode_contexts
 from millrace.operators.explain import prediction_records
-from millrace.operators.features import window_features
+from millrace.operators.features import long, window_features
 from millrace.operators.forest import draw_samples, fit_forest, isolation_scores
 from millrace.operators.metrics import by_detector
 from millrace.operators.ranks import exact_quantiles
@@ -29,7 +29,7 @@ from millrace.operators.windows import WindowPlan
 from millrace.plans.detector import Options, fit_model, predict
 from millrace.plans.registry import registered
 from millrace.plans.views import SCORED, TELEMETRY, VECTORS, rounded, scored_windows, shaped, sql_rounded, table, telemetry, vectors, with_sql
-from millrace.plans.window_queries import CHANNELS, DEFAULTS, KNOWN, channel_sql
+from millrace.plans.window_queries import CHANNELS, COMPLETE, DEFAULTS, KNOWN, channel_sql
 from millrace.session import scratch_path, settle
 from millrace.streaming.silence import silent_assets
 from millrace.streaming.windows import closed_windows, fresh_observations, run_available
@@ -382,33 +382,28 @@ def contextual_end_to_end(spark, sf):
 
 
 DAILY_CLOSED = with_sql(
-    [
-        TELEMETRY,
-        "bound AS (SELECT max(us) - 3600000000 AS watermark FROM telemetry)",
-        "days AS (SELECT *, us // 86400000000 * 86400000000 AS window_start FROM telemetry)",
-    ],
-    f"""SELECT run_id, asset_id, channel, window_start, count(*) AS sample_count,
-  {sql_rounded("avg(value) FILTER (WHERE quality IS NULL OR quality <> 'bad')")} AS mean,
-  {sql_rounded("median(value) FILTER (WHERE quality IS NULL OR quality <> 'bad')")} AS median
-FROM days, bound WHERE window_start + 86400000000 <= watermark // 1000 * 1000 GROUP BY ALL""",
+    [*channel_sql(COMPLETE), "bound AS (SELECT (max(us) - 3600000000) // 1000 * 1000 AS watermark FROM telemetry)"],
+    "SELECT run_id, asset_id, window_start, window_end, channel, "
+    + ", ".join(f"{sql_rounded(s + '::DOUBLE', 8 if s == 'slope' else 6)} AS {s}" for s in STATISTICS)
+    + " FROM stats, bound WHERE window_end <= watermark",
 )
 
 
 def event_stream(spark, sf):
     batch = table(spark, sf, "events")
     raw = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return shaped(raw).select("run_id", "asset_id", "timestamp", "tag_id", "signal_class", "value", "quality", "us")
+    return shaped(raw).select("run_id", "asset_id", "timestamp", "tag_id", "signal_class", "value", "quality", "sampling_interval_ms", "us")
 
 
 @registered("stream_closed_windows", DAILY_CLOSED)
 def stream_windows(spark, sf):
-    """The event table as a stream: late and repeated rows dropped, windows emitted once the watermark passes them."""
+    """The event table as a stream: late and repeated rows dropped, windows closed once the watermark and their asset pass them."""
     path = scratch_path(spark, "stream")
-    closed = closed_windows(fresh_observations(event_stream(spark, sf), "1 hour"), PLAN)
+    closed = closed_windows(fresh_observations(event_stream(spark, sf), "1 hour"), COMPLETE, CHANNELS, DEFAULTS)
     run_available(closed, f"{path}/out", f"{path}/state")
-    out = spark.read.parquet(f"{path}/out")
+    out = long(spark.read.parquet(f"{path}/out"))
     return out.select(
-        "run_id", "asset_id", "channel", "window_start", "sample_count", rounded("mean").alias("mean"), rounded("median").alias("median")
+        "run_id", "asset_id", "window_start", "window_end", "channel", *[rounded(s, 8 if s == "slope" else 6).alias(s) for s in STATISTICS]
     )
 
 
