@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,40 @@ BROADCAST_ENTRIES = 16_000_000
 SALT_ROWS = 50_000
 
 
+_reused: list[dict[tuple, tuple]] = []
+
+
+@contextmanager
+def reused_state() -> Iterator[None]:
+    """Keep what fitted tables send to executors while the block runs, and release it at its end.
+
+    Scoring a stream goes through the same tables for every micro-batch; inside
+    the block each is measured, collected and broadcast once. Results that use
+    them must be written before the block ends.
+    """
+    held: dict[tuple, tuple] = {}
+    _reused.append(held)
+    try:
+        yield
+    finally:
+        _reused.remove(held)
+        for _, value in held.values():
+            if isinstance(value, Broadcast):
+                value.destroy()
+
+
+def once(table: DataFrame, name: str, make: Callable[[], object]) -> object:
+    """``make()``, or inside ``reused_state`` what it made first for this table and name."""
+    if not _reused:
+        return make()
+    held = _reused[-1]
+    key = id(table), name
+    if key not in held:
+        # The table is kept with it, so that its id stays taken.
+        held[key] = table, make()
+    return held[key][1]
+
+
 def _entries(models: DataFrame) -> int:
     def leaves(column, kind):
         if isinstance(kind.elementType, T.ArrayType):
@@ -32,6 +68,11 @@ def _entries(models: DataFrame) -> int:
     return int(models.agg(F.coalesce(F.sum(total.cast("bigint")), F.lit(0))).first()[0])
 
 
+def _plain(key):
+    """A key as it came, with every kind of missing as None."""
+    return None if pd.isna(key) else key
+
+
 def _stacked(vectors: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=float) for v in vectors]) if len(vectors) else np.empty((0, 0))
 
@@ -55,16 +96,19 @@ def apply_models(
     makes many groups of about ``salt_rows``, and each group meets its model in a
     cogroup; no task sees a whole key.
     """
-    if _entries(models) <= broadcast_entries:
-        frame = models.toPandas()
-        prepared = {k: prepare(g) for k, g in frame.groupby(key, sort=False)}
-        shared = rows.sparkSession.sparkContext.broadcast(prepared)
+    if once(models, "entries", lambda: _entries(models)) <= broadcast_entries:
+
+        def send() -> Broadcast:
+            frame = models.toPandas()
+            return rows.sparkSession.sparkContext.broadcast({_plain(k): prepare(g) for k, g in frame.groupby(key, sort=False, dropna=False)})
+
+        shared = once(models, f"prepared-{output}", send)
 
         @F.pandas_udf(kind)
         def run(keys: pd.Series, vectors: pd.Series) -> pd.Series:
             out: list = [None] * len(keys)
-            for value, index in keys.groupby(keys, sort=False).indices.items():
-                result = compute(shared.value[value], _stacked(vectors.iloc[index]))
+            for value, index in keys.groupby(keys, sort=False, dropna=False).indices.items():
+                result = compute(shared.value[_plain(value)], _stacked(vectors.iloc[index]))
                 for place, item in zip(index, result):
                     out[place] = item
             return pd.Series(out)

@@ -15,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import run_bucket
+from millrace.operators.bymodel import once
 from millrace.operators.calibration import (
     DEFAULT_THRESHOLD,
+    Curve,
     calibrate,
     calibrated_threshold,
     ensemble,
     ensemble_weights,
+    fit_curve,
     fused,
     normal_only,
     score_summary,
@@ -150,12 +153,20 @@ def raw_scores(vectors: DataFrame, model: Model) -> DataFrame:
     return isolation_scores(rows, t["forest"], "group").withColumnRenamed("isolation", "isolation_raw")
 
 
+def curves(references: DataFrame) -> dict[str, Curve]:
+    """The reference curve of each detector."""
+
+    def fit(detector: str, raw: str) -> Curve:
+        return fit_curve(references.filter(F.col("detector") == detector).select("group", F.col("raw").alias(raw)), ["group"], raw)
+
+    return {d: once(references, f"curve-{d}", lambda: fit(d, raw)) for d, raw in (("autoencoder", "autoencoder_raw"), ("isolation_forest", "isolation_raw"))}
+
+
 def calibrated(raw: DataFrame, references: DataFrame, options: Options) -> DataFrame:
-    """Add the three calibrated scores. ``raw`` should be a written table: it is read more than once."""
-    ae = references.filter(F.col("detector") == "autoencoder").select("group", F.col("raw").alias("autoencoder_raw"))
-    forest = references.filter(F.col("detector") == "isolation_forest").select("group", F.col("raw").alias("isolation_raw"))
-    out = calibrate(raw, ae, ["group"], "autoencoder_raw", "autoencoder")
-    out = calibrate(out, forest, ["group"], "isolation_raw", "isolation_forest")
+    """Add the three calibrated scores."""
+    known = curves(references)
+    out = calibrate(raw, known["autoencoder"], ["group"], "autoencoder_raw", "autoencoder")
+    out = calibrate(out, known["isolation_forest"], ["group"], "isolation_raw", "isolation_forest")
     weights = ensemble_weights(options.autoencoder_weight, options.isolation_weight)
     return out.withColumn("irregularity", ensemble(F.col("autoencoder"), F.col("isolation_forest"), weights))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.calibration import calibrate, normal_only
+from millrace.operators.calibration import calibrate, fit_curve, normal_only
 from millrace.operators.explain import prediction_records
 from millrace.operators.forest import average_path, draw_samples, fit_forest, grow_tree, isolation_scores
 from millrace.operators.reconstruction import apply_tail, fit_subspace, reconstruction_errors, residual_scales
@@ -90,12 +90,31 @@ def test_calibration(spark):
     values = spark.createDataFrame([("a", float(v)) for v in (0, 2, 4)], "g string, raw double")
     got = {r.raw: r.s for r in calibrate(values, ref, ["g"], "raw", "s").collect()}
     assert got == {0.0: 0.0, 2.0: pytest.approx(2 / 3), 4.0: 1.0}
-    with pytest.raises(Exception, match="reference cannot be empty"):
+    with pytest.raises(Exception, match="No calibration reference"):
         calibrate(values, ref.filter("raw > 9"), ["g"], "raw", "s").collect()
     with pytest.raises(ValueError, match="normal window"):
         normal_only(spark.createDataFrame([(True,)], "is_anomaly boolean"))
 
 
+@pytest.mark.parametrize(("curve_points", "range_points", "range_rows"), [(10**6, 10**5, 10**5), (0, 7, 5), (0, 1, 1000)])
+def test_calibration_by_bisection_and_by_ranges(spark, curve_points, range_points, range_rows):
+    rng = np.random.default_rng(3)
+    keys = [("a", 1), ("a", None), (None, 1)]
+    reference = [(*keys[i % 3], float(v)) for i, v in enumerate(rng.integers(0, 40, 200))] + [("a", 1, None)]
+    rows = [(*keys[i % 3], float(v), i) for i, v in enumerate(rng.integers(-5, 50, 300))] + [("a", 1, None, 300)] + [("a", 1, 7.0, i) for i in range(301, 340)]
+    ref = spark.createDataFrame(reference, "g string, h int, raw double")
+    values = spark.createDataFrame(rows, "g string, h int, raw double, id int")
+    curve = fit_curve(ref, ["g", "h"], "raw", curve_points, range_points)
+    assert (curve.points is None) == (curve_points > 0)
+    got = calibrate(values, curve, ["g", "h"], "raw", "s", range_rows)
+    assert got.columns == ["g", "h", "raw", "id", "s"]
+    found = {r.id: r.s for r in got.collect()}
+    assert len(found) == len(rows) == got.count()
+    for g, h, raw, i in rows:
+        known = [v for a, b, v in reference if (a, b) == (g, h) and v is not None]
+        assert found[i] == (None if raw is None else pytest.approx(sum(v <= raw for v in known) / len(known)))
+
+
 def test_regime_centres(spark):
     rows = [("c", "low", [2.0])] * 20 + [("c", "high", [10.0])] * 20
     fit = spark.createDataFrame(rows, "asset_class string, operating_regime string, vector array<double>")
