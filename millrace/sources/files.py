@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,28 +31,110 @@ def content_digests(df: DataFrame, name: str = "name", content: str = "content")
     return df.select(F.col(name).alias("name"), F.sha2(data, 256).alias("sha256"), F.md5(data).alias("md5"))
 
 
+# Files above this many bytes are never one value of a row; a value holds two gigabytes at most.
+CELL_BYTES = 512 * 1024 * 1024
+_MARK = b"\xef\xbb\xbf"
+
+
+def file_digests(spark: SparkSession, path: str, glob: str = "*", cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """SHA-256 and MD5 of every file below a path, of any size.
+
+    Files up to ``cell_bytes`` are digested as one value. Larger ones are read
+    by ranges as lines, and the lines of a file stream in order through one task
+    that holds one at a time. A line must fit a value, and a large file's name
+    must not make Spark decompress it.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    files = reader.load(path)
+    root = path.split("://")[-1].rstrip("/") + "/"
+    name = F.element_at(F.split(F.col("path"), F.lit(root)), -1)
+    small = content_digests(files.filter(F.col("length") <= cell_bytes).select(name.alias("name"), "content"))
+    # Listing reads no contents; there are few files of such a size.
+    large = [r.path for r in files.filter(F.col("length") > cell_bytes).select("path").collect()]
+    if not large:
+        return small
+    lines = spark.read.option("lineSep", "\n").text(large).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("line"),
+    )
+    ordered = lines.repartition("path").sortWithinPartitions("path", "start", "place").select("path", "size", "line")
+    digests = ordered.mapInArrow(_streamed_digests, "path string, sha256 string, md5 string")
+    # Paths of rows are encoded as in a URI, where a plus stands for itself.
+    plain = F.url_decode(F.replace(F.regexp_replace("path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+    return small.unionByName(digests.select(F.element_at(F.split(plain, F.lit(root)), -1).alias("name"), "sha256", "md5"))
+
+
+def _streamed_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of files whose lines come in order; line ends and a byte order mark are put back by the file's size."""
+
+    class Running:
+        def __init__(self, path: str, size: int):
+            self.path, self.size, self.seen, self.held = path, size, 0, None
+            # The reader drops a leading byte order mark; whether there was one shows at the end.
+            self.hashes = [(hashlib.sha256(start), hashlib.md5(start)) for start in (b"", _MARK)]
+
+        def add(self, data: bytes) -> None:
+            for pair in self.hashes:
+                for one in pair:
+                    one.update(data)
+            self.seen += len(data)
+
+        def line(self, data: bytes) -> None:
+            if self.held is not None:
+                self.add(self.held + b"\n")
+            self.held = data
+
+        def row(self) -> pa.RecordBatch:
+            self.add(self.held)
+            left = self.size - self.seen
+            marked = left >= len(_MARK)
+            left -= len(_MARK) if marked else 0
+            if left not in (0, 1):
+                raise ValueError(f"{self.path}: {self.seen} bytes read of {self.size}")
+            self.add(b"\n" * left)
+            sha256, md5 = self.hashes[marked]
+            return pa.RecordBatch.from_pydict({"path": [self.path], "sha256": [sha256.hexdigest()], "md5": [md5.hexdigest()]})
+
+    running: Running | None = None
+    for batch in batches:
+        paths, sizes, lines = batch.columns
+        for i in range(batch.num_rows):
+            path = paths[i].as_py()
+            if running is None or path != running.path:
+                if running is not None:
+                    yield running.row()
+                running = Running(path, sizes[i].as_py())
+            running.line(lines[i].as_py())
+    if running is not None:
+        yield running.row()
+
+
 def digest_mismatches(expected: DataFrame, actual: DataFrame, column: str = "sha256") -> DataFrame:
     """Names whose expected digest is absent or different."""
     return expected.select("name", column).join(actual.select("name", column), ["name", column], "left_anti")
 
 
+_WORDS, _WORD = 4, 1 << 32
+
+
 def fingerprint(digests: DataFrame) -> DataFrame:
     """One digest for a whole set of named contents, independent of their order.
 
-    Names are spread over 4,096 buckets by their own hash; each bucket is sorted
-    and digested, and only those bucket digests meet at the end.
+    Every (name, digest) is hashed to 128 bits, and the sum of all modulo 2^128
+    is the fingerprint. Sums of parts add up, so partial sums are all that is
+    shuffled, and items can be added or taken away later.
     """
-    bucket = F.substring(F.sha2(F.col("name").cast("binary"), 256), 1, 3)
-    line = F.concat_ws(":", F.col("name"), F.col("sha256"))
-    buckets = digests.groupBy(bucket.alias("bucket")).agg(
-        F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(line))).cast("binary"), 256).alias("digest"),
-        F.count("*").alias("items"),
-    )
-    entry = F.concat_ws(":", F.col("bucket"), F.col("digest"))
-    return buckets.agg(
-        F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(entry))).cast("binary"), 256).alias("fingerprint"),
-        F.sum("items").alias("items"),
-    )
+    line = F.sha2(F.concat_ws(":", F.col("name"), F.col("sha256")).cast("binary"), 256)
+    words = digests.select(*[F.conv(F.substring(line, 8 * k + 1, 8), 16, 10).cast("decimal(20,0)").alias(f"w{k}") for k in range(_WORDS)])
+    sums = words.agg(*[F.coalesce(F.sum(f"w{k}"), F.lit(0)).cast("decimal(38,0)").alias(f"w{k}") for k in range(_WORDS)], F.count("*").alias("items"))
+    # Carries go from the last word to the first.
+    for k in reversed(range(_WORDS)):
+        carry = F.call_function("div", F.col(f"w{k}"), F.lit(_WORD)).cast("decimal(38,0)")
+        if k:
+            sums = sums.withColumn(f"w{k - 1}", (F.col(f"w{k - 1}") + carry).cast("decimal(38,0)"))
+        sums = sums.withColumn(f"w{k}", F.col(f"w{k}") % F.lit(_WORD))
+    digits = [F.lpad(F.lower(F.hex(F.col(f"w{k}").cast("bigint"))), 8, "0") for k in range(_WORDS)]
+    return sums.select(F.concat(*digits).alias("fingerprint"), "items")
 
 
 def check_manifest(manifest: DataFrame) -> DataFrame:
@@ -116,7 +200,7 @@ def verified_runs(spark: SparkSession, root: str) -> DataFrame:
     """Runs of a manifest joined to their truth, refusing absent files, wrong digests and wrong run names."""
     runs = manifest_runs(check_manifest(read_manifest(spark, f"{root}/dataset_manifest.json")))
     listed = runs.select("partition", "run_id", "telemetry_sha256")
-    digests = content_digests(file_contents(spark, root, "telemetry.parquet"))
+    digests = file_digests(spark, root, "telemetry.parquet")
     expected = listed.select(
         F.concat_ws("/", "partition", "run_id", F.lit("telemetry.parquet")).alias("name"),
         F.col("telemetry_sha256").alias("sha256"),
