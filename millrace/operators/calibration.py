@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.keys import key_places
 from millrace.operators.ranks import exact_quantiles, running_totals
 from millrace.session import settle
 
@@ -61,33 +62,12 @@ def _by_key(rows: DataFrame, keys: list[str]) -> dict[tuple, tuple[np.ndarray, n
     table = rows.toArrow()
     value, share = (table.column(c).to_numpy() for c in ("value", "share"))
     out = {}
-    for key, places in _places([table.column(k).combine_chunks() for k in keys], table.num_rows):
+    for key, places in key_places([table.column(k).combine_chunks() for k in keys], table.num_rows):
         order = places[np.argsort(value[places])]
         out[key] = value[order], share[order]
     return out
 
 
-def _places(columns: list[pa.Array], rows: int) -> Iterator[tuple[tuple, np.ndarray]]:
-    """Every key that occurs, with the places of its rows."""
-    if not rows:
-        return
-    codes, values = np.zeros(rows, dtype=np.int64), []
-    for column in columns:
-        coded = column.dictionary_encode(null_encoding="encode")
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        values.append(coded.dictionary.to_pylist())
-        codes = codes * len(values[-1]) + coded.indices.to_numpy(zero_copy_only=False)
-    order = np.argsort(codes, kind="stable")
-    cuts = np.flatnonzero(np.diff(codes[order])) + 1
-    for places in np.split(order, cuts):
-        code, key = int(codes[places[0]]), []
-        for known in reversed(values):
-            code, digit = divmod(code, len(known))
-            key.append(known[digit])
-        yield tuple(reversed(key)), places
-
-
 def _looked_up(shared: Broadcast, below: float):
     """A function of keys and raw scores: what the last curve value not above each raw score has."""
 
@@ -95,7 +75,7 @@ def _looked_up(shared: Broadcast, below: float):
     def share(raw: pa.Array, *keys: pa.Array) -> pa.Array:
         value = raw.to_numpy(zero_copy_only=False).astype(np.float64)
         out = np.full(len(value), np.nan)
-        for key, places in _places(list(keys), len(value)):
+        for key, places in key_places(list(keys), len(value)):
             if key not in shared.value:
                 raise ValueError(f"No calibration reference for {key}")
             values, shares = shared.value[key]

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.arrays import array_mean, array_total, largest_items, let
 from millrace.operators.bymodel import apply_models
-from millrace.operators.ranks import exact_quantiles
-from millrace.operators.vectors import CLASS, _packed, exploded
+from millrace.operators.vector_quantiles import vector_quantiles
+from millrace.operators.vectors import CLASS
 
 LATENT = 16
 TOP_K = 4
@@ -102,8 +102,8 @@ def residual_scales(rows: DataFrame, key: str = CLASS, quantile: float = RESIDUA
     """Upper quantile of each entry's error on held-out normal rows, never below the floor."""
     if not 0 < quantile < 1 or not 0 < floor < float("inf"):
         raise ValueError("The residual quantile must lie inside (0, 1) and the floor be positive")
-    found = exact_quantiles(exploded(rows, [key], "errors"), [key, "position"], "x", [quantile], ["scale"])
-    return _packed(found.select(key, "position", F.greatest("scale", F.lit(floor)).alias("scale")), [key], ["scale"])
+    found = vector_quantiles(rows, [key], "errors", [quantile], ["scale"])
+    return found.select(key, F.transform("scale", lambda s: F.greatest(s, F.lit(floor))).alias("scale"))
 
 
 def tail_score(errors: Column, scale: Column, top_k: int = TOP_K) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.arrays import finite
 from millrace.operators.channels import applicable_features
-from millrace.operators.ranks import exact_quantiles
+from millrace.operators.vector_quantiles import vector_quantiles
 
 CLASS = "asset_class"
 
@@ -78,12 +78,11 @@ def fit_scaler(rows: DataFrame, keys: Sequence[str] = (CLASS,), kind: str = "rob
     if kind not in ("robust", "standard"):
         raise ValueError("Scaler must be robust or standard")
     keys = list(keys)
-    entries = exploded(rows, keys, vector)
     if kind == "robust":
-        found = exact_quantiles(entries, [*keys, "position"], "x", [0.25, 0.5, 0.75], ["low", "center", "high"])
-        fitted = found.select(*keys, "position", "center", (F.col("high") - F.col("low")).alias("spread"))
-    else:
-        fitted = entries.groupBy(*keys, "position").agg(F.avg("x").alias("center"), F.stddev_pop("x").alias("spread"))
+        found = vector_quantiles(rows, keys, vector, [0.25, 0.5, 0.75], ["low", "center", "high"])
+        spread = F.zip_with("high", "low", lambda h, l: F.when(h == l, 1.0).otherwise(h - l))
+        return found.select(*keys, "center", spread.alias("spread"))
+    fitted = exploded(rows, keys, vector).groupBy(*keys, "position").agg(F.avg("x").alias("center"), F.stddev_pop("x").alias("spread"))
     safe = fitted.withColumn("spread", F.when(F.col("spread") == 0, 1.0).otherwise(F.col("spread")))
     return _packed(safe, keys, ["center", "spread"])
 
@@ -107,11 +106,9 @@ MIN_REGIME_WINDOWS = 20
 def fit_regimes(fit: DataFrame, keys: Sequence[str] = (CLASS,), vector: str = "vector", least: int = MIN_REGIME_WINDOWS) -> tuple[DataFrame, DataFrame]:
     """Median vector per (key, regime) seen often enough, and per key as the fallback."""
     keys = list(keys)
-    per_regime = exact_quantiles(
-        exploded(fit.filter(F.col(REGIME).isNotNull()), [*keys, REGIME], vector), [*keys, REGIME, "position"], "x", [0.5], ["regime_center"]
-    ).filter(F.col("n") >= least)
-    fallback = exact_quantiles(exploded(fit, keys, vector), [*keys, "position"], "x", [0.5], ["fallback_center"])
-    return _packed(per_regime, [*keys, REGIME], ["regime_center"]), _packed(fallback, keys, ["fallback_center"])
+    per_regime = vector_quantiles(fit.filter(F.col(REGIME).isNotNull()), [*keys, REGIME], vector, [0.5], ["regime_center"])
+    fallback = vector_quantiles(fit, keys, vector, [0.5], ["fallback_center"])
+    return per_regime.filter(F.array_max("counts") >= least).drop("counts"), fallback.drop("counts")
 
 
 def center_by_regime(rows: DataFrame, regimes: DataFrame, fallback: DataFrame, keys: Sequence[str] = (CLASS,), vector: str = "vector") -> DataFrame:
