@@ -126,6 +126,8 @@ class WindowProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         low, high, closed, *contexts = self.asset.get() if self.asset.exists() else (None, None, None, None, None)
+        stored, labels = self._stored()
+        changed, added = set(), set()
         for pdf in rows:
             foreign = sorted(set(pdf["channel"]) - set(self.channels))
             if foreign:
@@ -137,22 +139,24 @@ class WindowProcessor(StatefulProcessor):
             for tag, part in pdf.groupby(["pane", "channel", "signal_class", "tag_id"], sort=False, dropna=False):
                 place = (int(tag[0]), *(None if pd.isna(t) else str(t) for t in tag[1:]))
                 cell = Cell.of(part)
-                if self.cells.containsKey(place):
-                    cell = Cell.stored(self.cells.getValue(place)).merged(cell)
-                self.cells.updateValue(place, cell.row())
+                stored[place] = stored[place].merged(cell) if place in stored else cell
+                changed.add(place)
             for i, name in enumerate(CONTEXTS):
                 if name in self.columns:
                     for value in pdf[name].dropna().unique():
                         contexts[i] = value if contexts[i] in (None, value) else _SEVERAL
             for name in {*CONTEXTS, "is_anomaly"} & self.columns:
                 known = pdf[["pane", name]].dropna().drop_duplicates()
-                for pane, value in zip(known["pane"], known[name], strict=True):
-                    self.labels.updateValue((int(pane), name, str(value)), (1,))
-        yield from self._close(key, low, high, closed, contexts, timerValues)
+                added |= {(int(pane), name, str(value)) for pane, value in zip(known["pane"], known[name], strict=True)} - labels
+        yield from self._close(key, low, high, closed, contexts, timerValues, stored, labels, changed, added)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         low, high, closed, *contexts = self.asset.get()
-        yield from self._close(key, low, high, closed, contexts, timerValues)
+        yield from self._close(key, low, high, closed, contexts, timerValues, *self._stored(), set(), set())
+
+    def _stored(self) -> tuple[dict[tuple, Cell], set[tuple]]:
+        """Cells and labels of the asset's open panes."""
+        return {tuple(place): Cell.stored(value) for place, value in self.cells.iterator()}, {tuple(place) for place, _ in self.labels.iterator()}
 
     def _windows(self, pane: int) -> range:
         """Starts of the windows that hold a pane."""
@@ -160,12 +164,13 @@ class WindowProcessor(StatefulProcessor):
         first = -((plan.size_us - (pane + 1) * plan.pane_us) // plan.stride_us)
         return range(first * plan.stride_us, pane * plan.pane_us + 1, plan.stride_us)
 
-    def _close(self, key, low: int, high: int, closed: int | None, contexts: list, timerValues) -> Iterator[pd.DataFrame]:
+    def _close(self, key, low: int, high: int, closed: int | None, contexts: list, timerValues, stored: dict[tuple, Cell], labels: set[tuple], changed: set[tuple], added: set[tuple]) -> Iterator[pd.DataFrame]:
+        """Give out what is due, then write cells that changed and stay, and remove those that nothing needs."""
         plan = self.plan
         bound = min(high, timerValues.getCurrentWatermarkInMs() * 1000) - plan.size_us
         earliest = low // plan.stride_us * plan.stride_us if closed is None else closed + 1
-        stored = {place: Cell.stored(value) for place, value in self.cells.iterator()}
-        labels = [place for place, _ in self.labels.iterator()]
+        before, known = stored.keys() - changed, set(labels)
+        labels = labels | added
         panes: dict[int, list] = {}
         for place in stored:
             panes.setdefault(place[0], []).append(place)
@@ -175,10 +180,24 @@ class WindowProcessor(StatefulProcessor):
         out = [self._row(key, s, panes, stored, labels, contexts) for s in due]
         if bound >= earliest:
             closed = bound if closed is None else max(closed, bound)
-        for place in [*stored, *labels]:
-            windows = self._windows(place[0])
-            if closed is not None and (not len(windows) or windows[-1] <= closed):
-                (self.cells if place in stored else self.labels).removeKey(place)
+        over = {p for p in {place[0] for place in (*stored, *labels)} if closed is not None and (not len(self._windows(p)) or self._windows(p)[-1] <= closed)}
+        staying = [place for place in stored if place[0] not in over]
+        # Every call on the state is a message, so many cells leave together.
+        anew = 2 * len(staying) < len(stored)
+        if anew:
+            self.cells.clear()
+        for place, cell in stored.items():
+            if place[0] not in over:
+                if anew or place in changed:
+                    self.cells.updateValue(place, cell.row())
+            elif not anew and (place in before or self.cells.containsKey(place)):
+                self.cells.removeKey(place)
+        for place in labels:
+            if place[0] not in over:
+                if place in added:
+                    self.labels.updateValue(place, (1,))
+            elif place in known:
+                self.labels.removeKey(place)
         self.asset.update((low, high, closed, *contexts))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -190,7 +209,7 @@ class WindowProcessor(StatefulProcessor):
     def output_columns(self) -> list[str]:
         return ["run_id", "asset_id", "window_start", *(c for c in (*CONTEXTS, "is_anomaly") if c in self.columns), "values"]
 
-    def _row(self, key, start: int, panes: dict[int, list], stored: dict[tuple, Cell], labels: list, contexts: list) -> list:
+    def _row(self, key, start: int, panes: dict[int, list], stored: dict[tuple, Cell], labels: set[tuple], contexts: list) -> list:
         plan = self.plan
         low, high = start // plan.pane_us, (start + plan.size_us) // plan.pane_us
         by_channel: dict[str, list] = {}
