@@ -5,7 +5,8 @@ context. Everything that can be merged (counts, sums, extremes, first and last,
 regression moments, labels, contexts) is merged from cells to windows, so a
 sliding window with fifteen-fold overlap copies cells, not observations. Median
 and MAD need the values themselves and read them a second time, by blocks of
-neighbouring windows: each value is shuffled at most twice whatever the overlap.
+neighbouring windows: each value is shuffled at most twice whatever the overlap,
+and of large blocks only the values near a window's middle are copied.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from millrace.functions.arrays import finite, median_and_deviation
 from millrace.functions.timeline import SECOND_US, epoch_us
 from millrace.operators.channels import STATISTICS, chosen_statistics, continuous_only, with_channel
-from millrace.operators.ranks import exact_quantiles
+from millrace.operators.ranks import cut_position, running_totals
 from millrace.operators.windows import (
     WindowPlan,
     blocks_to_windows,
@@ -189,26 +190,82 @@ def order_statistics(rows: DataFrame, cells: DataFrame, plan: WindowPlan, limit:
     """Exact median and MAD per (window, channel).
 
     Blocks within ``limit`` are sorted as arrays inside tasks. Larger ones, found
-    from the cell counts, go through range-split ranking instead.
+    from the cell counts, are selected from by value bins instead.
     """
-    block_keys = ["run_id", "asset_id", "block", "channel"]
     keys = [*WINDOW_KEYS, "channel"]
     values = with_pane(rows.filter(F.col("u").isNotNull()), plan).select("run_id", "asset_id", "pane", "channel", "u")
     blocked = panes_to_blocks(values, plan)
-    hot = hot_blocks(cells, plan, limit)
+    hot = settle(hot_blocks(cells, plan, limit), "hot-blocks")
     hot_exists = not hot.isEmpty()
-    cool = blocked.join(hot, block_keys, "left_anti") if hot_exists else blocked
+    cool = blocked.join(hot, BLOCK_KEYS, "left_anti") if hot_exists else blocked
     # Hashing by block keeps all copies of a window in one partition; the expansion follows the shuffle.
-    placed = blocks_to_windows(cool.repartition(*block_keys), plan)
-    gathered = placed.groupBy(*block_keys, "window_start").agg(F.collect_list("u").alias("_values"))
+    placed = blocks_to_windows(cool.repartition(*BLOCK_KEYS), plan)
+    gathered = placed.groupBy(*BLOCK_KEYS, "window_start").agg(F.collect_list("u").alias("_values"))
     small = gathered.select(*keys, median_and_deviation(F.col("_values")).alias("_m")).select(*keys, "_m.*")
     if not hot_exists:
         return small
-    large = blocks_to_windows(blocked.join(hot, block_keys, "left_semi"), plan).select(*keys, "u")
-    medians = exact_quantiles(large, keys, "u", [0.5], ["median"]).drop("n")
-    deviations = large.join(medians, keys).withColumn("_d", F.abs(F.col("u") - F.col("median")))
-    mads = exact_quantiles(deviations, keys, "_d", [0.5], ["mad"]).drop("n")
-    return small.unionByName(medians.join(mads, keys))
+    return small.unionByName(selected_order_statistics(blocked.join(hot, BLOCK_KEYS, "left_semi"), plan))
+
+
+BLOCK_KEYS = ["run_id", "asset_id", "block", "channel"]
+# Value bins of a large block.
+BLOCK_BINS = 512
+
+
+def selected_order_statistics(values: DataFrame, plan: WindowPlan, bins: int = BLOCK_BINS) -> DataFrame:
+    """Exact median and MAD per (window, channel) from rows (block keys, pane, ``u``), by selection.
+
+    Values are cut into bins of about equal weight per block, and only counts by
+    pane and bin are copied to windows. They tell which bins hold a window's
+    middle; the values of those bins alone are copied, after equal ones of a
+    pane became one row. Deviations from the median take the same way: a bin's
+    least and largest value bound its deviations.
+    """
+    keys = [*WINDOW_KEYS, "channel"]
+    hot = settle(values.select(*BLOCK_KEYS, "pane", "u"), "hot-values")
+    edges = hot.groupBy(*BLOCK_KEYS).agg(F.array_distinct(F.percentile_approx("u", [k / bins for k in range(1, bins)], 100 * bins)).alias("_edges"))
+    binned = settle(hot.join(edges, BLOCK_KEYS).withColumn("bin", cut_position(F.col("_edges"), F.col("u"))).drop("_edges"), "hot-bins")
+    cells = binned.groupBy(*BLOCK_KEYS, "pane", "bin").agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high"))
+    of_windows = blocks_to_windows(cells, plan).groupBy(*keys, "block", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    bin_counts = settle(
+        of_windows.withColumn("_total", total).withColumn("_first", F.floor((F.col("_total") - 1) / 2)).withColumn("_second", F.floor(F.col("_total") / 2)),
+        "window-bins",
+    )
+    first, second = F.col("_first"), F.col("_second")
+
+    def picked(needed: DataFrame, value: Column, name: str) -> DataFrame:
+        """The mean of the two middle values, from rows (keys, block, bin, _below, ...) of the bins that hold them."""
+        inside = binned.join(needed.select(*BLOCK_KEYS, "bin").distinct(), [*BLOCK_KEYS, "bin"], "left_semi")
+        merged = inside.groupBy(*BLOCK_KEYS, "pane", "bin", "u").agg(F.count("*").alias("n"))
+        copied = blocks_to_windows(merged, plan).join(needed.drop("n"), [*keys, "block", "bin"]).withColumn("_value", value)
+        order = running_totals(copied, keys, "_value", {"n": F.col("n")}).select(*keys, "_value", "n_upto")
+        ranks = needed.select(*keys, "_below", "_first", "_second").distinct()
+        reached = F.col("n_upto") + F.col("_below")
+        low, high = (F.min(F.when(reached > at, F.col("_value"))) for at in (first, second))
+        return order.join(ranks, keys).groupBy(*keys).agg(((low + high) / F.lit(2.0)).alias(name))
+
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))
+    middle = bin_counts.withColumn("_upto", upto).where((F.col("_upto") > first) & (F.col("_upto") - F.col("n") <= second))
+    least = F.min(F.col("_upto") - F.col("n")).over(Window.partitionBy(*keys))
+    medians = settle(picked(settle(middle.withColumn("_below", least).drop("_upto", "low", "high"), "middle-bins"), F.col("u"), "median"), "hot-medians")
+
+    m = F.col("median")
+    one, other = F.abs(F.col("low") - m), F.abs(F.col("high") - m)
+    nearest = F.when((F.col("low") <= m) & (F.col("high") >= m), F.lit(0.0)).otherwise(F.least(one, other))
+    apart = bin_counts.join(medians, keys).withColumn("_near", nearest).withColumn("_far", F.greatest(one, other))
+    by_far, by_near = (F.sum("n").over(Window.partitionBy(*keys).orderBy(c)) for c in ("_far", "_near"))
+    ordered = apart.withColumn("_by_far", by_far).withColumn("_by_near", by_near)
+    whole = Window.partitionBy(*keys)
+    # No deviation before the first middle one is in a bin that starts above ``_least``, none up to the second beyond ``_most``.
+    bounded = ordered.withColumn("_least", F.min(F.when(F.col("_by_near") > first, F.col("_near"))).over(whole)).withColumn(
+        "_most", F.min(F.when(F.col("_by_far") > second, F.col("_far"))).over(whole)
+    )
+    below = F.coalesce(F.sum(F.when(F.col("_far") < F.col("_least"), F.col("n"))).over(whole), F.lit(0))
+    held = bounded.withColumn("_below", below).where((F.col("_far") >= F.col("_least")) & (F.col("_near") <= F.col("_most")))
+    deviating = settle(held.select(*keys, "block", "bin", "_below", "_first", "_second", "median"), "deviation-bins")
+    mads = picked(deviating, F.abs(F.col("u") - m), "mad")
+    return medians.join(mads, keys)
 
 
 def asset_bounds(cells: DataFrame) -> DataFrame:

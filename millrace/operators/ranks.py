@@ -21,7 +21,7 @@ MAX_CUTS = 1024
 _STRIDE = 32
 
 
-def _cut_position(cuts: Column, value: Column) -> Column:
+def cut_position(cuts: Column, value: Column) -> Column:
     """Number of cuts below the value: a coarse pass over every 32nd cut, then a fine one."""
     coarse = F.size(F.filter(F.filter(cuts, lambda c, i: i % _STRIDE == 0), lambda c: c < value))
     start = F.greatest((coarse - 1) * _STRIDE, F.lit(0))
@@ -76,7 +76,7 @@ def running_totals(
     )
     placed = (
         points.join(cuts, by, "left")
-        .withColumn("_range", F.coalesce(_cut_position(F.col("_cuts"), F.col(order)), F.lit(0)))
+        .withColumn("_range", F.coalesce(cut_position(F.col("_cuts"), F.col(order)), F.lit(0)))
         .drop("_cuts")
     )
     inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -157,3 +157,26 @@ def test_rows_without_a_role_share_a_channel(spark):
     features = window_features(frame(spark, rows, "measurement_role string"), WindowPlan.of("1m", "1m"))
     r = by_start(features, ["inlet", "None"])[0]
     assert (r["inlet_mean"], r["None_mean"], r["None_sample_count"]) == (1.0, 3.0, 2)
+
+
+@pytest.mark.parametrize("bins", [2, 5, 512])
+@pytest.mark.parametrize(("size", "stride"), [("60s", "10s"), ("30s", "30s"), ("20s", "50s")])
+def test_selection_in_large_blocks_equals_sorting(spark, bins, size, stride):
+    from millrace.operators.features import readings, selected_order_statistics
+    from millrace.operators.windows import blocks_to_windows, panes_to_blocks, with_pane
+
+    rng = np.random.default_rng(bins)
+    plan = WindowPlan.of(size, stride)
+    # Normal values, many equal ones, a far one, and two clusters with nothing between.
+    shapes = {"n": lambda: rng.normal(), "e": lambda: float(rng.integers(0, 2)), "f": lambda: 1e12 if rng.random() < 0.01 else rng.random(), "c": lambda: float(rng.choice([-1e6, 1e6])) + rng.random()}
+    rows = [row(s, draw(), name) for name, draw in shapes.items() for s in rng.integers(0, 200, 400).tolist()]
+    values = readings(frame(spark, rows)).select("run_id", "asset_id", "us", "channel", "u")
+    blocked = panes_to_blocks(with_pane(values, plan), plan)
+    got = {(r.window_start, r.channel): (r.median, r.mad) for r in selected_order_statistics(blocked, plan, bins).collect()}
+    want = {}
+    for r in blocks_to_windows(blocked, plan).collect():
+        want.setdefault((r.window_start, r.channel), []).append(r.u)
+    assert got.keys() == want.keys()
+    for key, held in want.items():
+        median = np.median(held)
+        assert got[key] == (median, np.median(np.abs(np.array(held) - median)))
