@@ -11,7 +11,6 @@ from millrace.operators.context import encode_contexts
 from millrace.operators.explain import prediction_records
 from millrace.operators.features import long, window_features
 from millrace.operators.forest import draw_samples, fit_forest, isolation_scores
-from millrace.operators.metrics import by_detector
 from millrace.operators.ranks import exact_quantiles
 from millrace.operators.reconstruction import apply_tail, fit_subspace, reconstruction_errors, residual_scales, row_error
 from millrace.operators.vectors import (
@@ -28,6 +27,7 @@ from millrace.operators.vectors import (
 from millrace.operators.windows import WindowPlan
 from millrace.plans.detector import Options, fit_model, predict
 from millrace.plans.registry import registered
+from millrace.plans.variants import Representation, frozen_cuts, long_scores, represented, score_representations, with_frozen_supplement
 from millrace.plans.views import SCORED, TELEMETRY, VECTORS, rounded, scored_windows, shaped, sql_rounded, table, telemetry, vectors, with_sql
 from millrace.plans.window_queries import CHANNELS, COMPLETE, DEFAULTS, KNOWN, channel_sql
 from millrace.session import scratch_path, settle
@@ -121,23 +121,96 @@ def tail_contributions(spark, sf):
     return out.select("vec_id", F.col("position").cast("bigint").alias("position"), rounded("_c").alias("contribution"))
 
 
-VARIANTS = f"""mean_rows AS (SELECT asset_class, run_id, vec_id, avg(e) AS score FROM residual GROUP BY ALL),
-variants AS (SELECT asset_class, vec_id, {bucket_sql(2)} = 0 AS held, 'mean' AS detector, score FROM mean_rows UNION ALL SELECT asset_class, vec_id, {bucket_sql(2)} = 0, 'tail', score FROM tails),
-calibrated AS (SELECT v.*, (SELECT count(*) FROM variants r WHERE r.asset_class = v.asset_class AND r.detector = v.detector AND r.held AND round(r.score, 9) <= round(v.score, 9))
-  / (SELECT count(*) FROM variants r WHERE r.asset_class = v.asset_class AND r.detector = v.detector AND r.held) AS cdf FROM variants v)"""
+# Every second entry stands for the compact features, every third for those that describe values.
+REPRESENTATIONS = [
+    Representation("pooled_robust_all", False, "robust"),
+    Representation("pooled_standard_compact", False, "standard", lambda i: i % 2 == 0),
+    Representation("class_robust_all", True, "robust"),
+    Representation("class_robust_compact", True, "robust", lambda i: i % 2 == 0),
+    Representation("class_standard_compact", True, "standard", lambda i: i % 2 == 0),
+]
+PHYSICAL = Representation("class_robust_physical", True, "robust", lambda i: i % 3 == 0)
+
+
+def represented_sql(rows: str) -> list[str]:
+    return [
+        VECTORS,
+        f"kinds AS (SELECT * FROM (VALUES {rows}) v(representation, by_class, scaler, every))",
+        f"""laid AS (SELECT representation, CASE WHEN by_class THEN representation || '/' || asset_class ELSE representation END AS unit, scaler, vec_id, position, x,
+  {bucket_sql(5)} <> 0 AS fit, {bucket_sql(2)} = 0 AS reference FROM entries, kinds WHERE position % every = 0)""",
+        """centres AS (SELECT unit, position, CASE any_value(scaler) WHEN 'robust' THEN median(x) ELSE avg(x) END AS center,
+  CASE any_value(scaler) WHEN 'robust' THEN quantile_cont(x, 0.75) - quantile_cont(x, 0.25) ELSE stddev_pop(x) END AS spread FROM laid WHERE fit GROUP BY ALL)""",
+        "z AS (SELECT l.*, (x - center) / CASE WHEN spread = 0 THEN 1.0 ELSE spread END AS z FROM laid l JOIN centres USING (unit, position))",
+        "limits AS (SELECT unit, position, greatest(quantile_cont(z * z, 0.95), 1e-8) AS scale FROM z WHERE NOT fit GROUP BY ALL)",
+        "ratios AS (SELECT z.*, z * z / scale AS ratio FROM z JOIN limits USING (unit, position))",
+        "top AS (SELECT *, row_number() OVER (PARTITION BY unit, vec_id ORDER BY ratio DESC, position DESC) AS rn FROM ratios)",
+        """raws AS (SELECT representation, unit, vec_id, reference, round(avg(z * z), 9) AS mean_ae, round(sum(ratio) FILTER (WHERE rn <= 4) / 4, 9) AS tail_ae,
+  round(max(abs(z)), 9) AS isolation FROM top GROUP BY ALL)""",
+        "raw AS (UNPIVOT raws ON mean_ae, tail_ae, isolation INTO NAME detector VALUE score)",
+        """cdfs AS (SELECT r.*, (SELECT count(*) FROM raw o WHERE o.reference AND o.unit = r.unit AND o.detector = r.detector AND o.score <= r.score)
+  / (SELECT count(*) FROM raw o WHERE o.reference AND o.unit = r.unit AND o.detector = r.detector) AS cdf FROM raw r)""",
+        """wide AS (SELECT representation, vec_id, reference, max(CASE detector WHEN 'mean_ae' THEN cdf END) AS mean_ae, max(CASE detector WHEN 'tail_ae' THEN cdf END) AS tail_ae,
+  max(CASE detector WHEN 'isolation' THEN cdf END) AS isolation FROM cdfs GROUP BY ALL)""",
+        "scores AS (SELECT *, 0.5::DOUBLE * mean_ae + 0.5::DOUBLE * isolation AS mean_ensemble, 0.5::DOUBLE * tail_ae + 0.5::DOUBLE * isolation AS tail_ensemble FROM wide)",
+    ]
+
+
+FIVE = ", ".join(f"('{r.name}', {r.by_class}, '{r.scaler}', {2 if r.keep else 1})" for r in REPRESENTATIONS)
+
+
+def variant_scores(spark, sf, representations):
+    """Squared scaled entries and the largest one stand in for the two detectors, so that SQL can follow."""
+
+    def detectors(rows):
+        return rows.withColumn("errors", F.transform("vector", lambda z: z * z)).withColumn("isolation_raw", F.array_max(F.transform("vector", F.abs)))
+
+    early = run_bucket("run_id", 5) == 0
+    rows = represented(vectors(spark, sf), representations)
+    return score_representations(rows, ["vec_id"], ~early, early, run_bucket("run_id", 2) == 0, detectors=detectors, digits=9)
 
 
 @registered(
     "score_variants_calibrated",
-    with_sql([VECTORS, ROBUST, FIT_STOP, VARIANTS], f"SELECT vec_id, detector, {sql_rounded('cdf')} AS cdf FROM calibrated"),
+    with_sql(
+        [*represented_sql(FIVE), "long AS (UNPIVOT scores ON mean_ae, tail_ae, isolation, mean_ensemble, tail_ensemble INTO NAME score_name VALUE score)"],
+        f"SELECT vec_id, representation, score_name, {sql_rounded('score')} AS score FROM long",
+    ),
 )
 def variants(spark, sf):
-    rows = tail_rows(spark, sf).select(
-        "asset_class", "run_id", "vec_id", F.round(row_error(F.col("errors")), 9).alias("mean"), F.round("tail.score", 9).alias("tail")
-    )
-    long = settle(by_detector(rows, ["mean", "tail"]), "variants")
-    out = calibrate(long, long.filter(run_bucket("run_id", 2) == 0), ["asset_class", "detector"], "score", "cdf")
-    return out.select("vec_id", "detector", rounded("cdf").alias("cdf"))
+    long_form = long_scores(variant_scores(spark, sf, REPRESENTATIONS), ["vec_id"])
+    return long_form.select("vec_id", "representation", "score_name", rounded("score").alias("score"))
+
+
+@registered(
+    "variant_cuts",
+    with_sql(
+        [
+            *represented_sql(FIVE),
+            "long AS (UNPIVOT scores ON mean_ae, tail_ae, isolation, mean_ensemble, tail_ensemble INTO NAME score_name VALUE score)",
+            """placed AS (SELECT *, row_number() OVER (PARTITION BY representation, score_name ORDER BY score) - 1 AS place,
+  count(*) OVER (PARTITION BY representation, score_name) AS n FROM long WHERE reference)""",
+        ],
+        f"SELECT representation, score_name, max(n) AS n, {sql_rounded('min(score) FILTER (WHERE place = ceil(0.995::DOUBLE * (n - 1)))')} AS cut FROM placed GROUP BY ALL",
+    ),
+)
+def variant_cuts(spark, sf):
+    cut = frozen_cuts(long_scores(variant_scores(spark, sf, REPRESENTATIONS), ["vec_id"]))
+    return cut.select("representation", "score_name", "n", rounded("cut").alias("cut"))
+
+
+@registered(
+    "frozen_supplement",
+    with_sql(
+        represented_sql("('class_robust_all', true, 'robust', 1), ('class_robust_physical', true, 'robust', 3)"),
+        f"""SELECT vec_id, {sql_rounded('m.tail_ensemble')} AS main, {sql_rounded('s.tail_ae')} AS supplement, {sql_rounded('greatest(m.tail_ensemble, s.tail_ae)')} AS fused
+FROM scores m JOIN scores s USING (vec_id) WHERE m.representation = 'class_robust_all' AND s.representation = 'class_robust_physical'""",
+    ),
+)
+def supplement(spark, sf):
+    """A second model per class on other entries, with references of its own, raises the main score where it is larger."""
+    scored = variant_scores(spark, sf, [REPRESENTATIONS[2], PHYSICAL])
+    out = with_frozen_supplement(scored, ["vec_id"], ("class_robust_all", "tail_ensemble"), ("class_robust_physical", "tail_ae"))
+    return out.select("vec_id", *[rounded(c).alias(c) for c in ("main", "supplement", "fused")])
 
 
 CDF = """cdf AS (SELECT s.*, (SELECT count(*) FROM scored r WHERE r.asset_class = s.asset_class AND NOT r.is_anomaly AND r.autoencoder <= s.autoencoder)
