@@ -44,13 +44,23 @@ PHRASES = (
     Template("gpl", "general public license"),
 )
 
-# Grants and notices. The wordings are those of the public license texts.
+# Fixed wordings: grants, notices and whole texts as their publishers have them.
 TEMPLATES = (
     Template("apache-2.0-notice", "licensed under the apache license [[,]] version 2.0 [[the license]]"),
     Template("mit-notice", "{{released|licensed|distributed|available}} under the [[terms of the]] mit license"),
-    Template("gpl-3.0-notice", "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] {{version|v}} 3 [[or any later version]]"),
-    Template("cc-by-nc-4.0-notice", "licensed under [[a|the]] {{cc by nc|creative commons attribution noncommercial}} 4.0 [[international license]]"),
-    Template("cc-by-4.0-notice", "licensed under {{cc by|creative commons attribution}} 4.0 [[international license]]"),
+    Template(
+        "gpl-3.0-notice",
+        """under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]]
+        {{version|v}} 3 [[of the license]] [[or [[at your option]] any later version]]""",
+    ),
+    Template(
+        "lgpl-notice",
+        """under the [[terms of the]] gnu {{lesser|library}} general public license [[as published by the free software foundation]]
+        [[either]] {{version|v}} {{2|2.1|3}} [[of the license]] [[or [[at your option]] any later version]]""",
+    ),
+    Template("mpl-2.0-notice", "this source code form is subject to the terms of the mozilla public license v 2.0"),
+    Template("cc-by-nc-4.0-notice", "licensed under [[{{a|the}}]] {{cc by nc|creative commons attribution noncommercial}} 4.0 [[international license]]"),
+    Template("cc-by-4.0-notice", "licensed under [[{{a|the}}]] {{cc by|creative commons attribution}} 4.0 [[international license]]"),
     Template(
         "mit-text",
         """[[mit license]] [[copyright [[c]] {{*12}}]] permission is hereby granted free of charge to any person obtaining a copy of this
@@ -60,12 +70,40 @@ TEMPLATES = (
         permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software
         the software is provided as is without warranty of any kind""",
     ),
+    Template(
+        "mit-file",
+        """[[the]] {{mit license|mit license mit}} [[copyright [[c]] {{*12}}]] permission is hereby granted free of charge to any
+        person obtaining a copy of this software and associated documentation files the software to deal in the software without
+        restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies
+        of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above
+        copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial
+        portions of the software the software is provided as is without warranty of any kind express or implied including but not
+        limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors
+        or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise
+        arising from out of or in connection with the software or the use or other dealings in the software""",
+        whole=True,
+    ),
     Template(
         "bsd-conditions",
         """redistribution and use in source and binary forms with or without modification are permitted provided that the following
         conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and
         the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice""",
     ),
+    Template(
+        "bsd-text",
+        """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+        conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and
+        the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions
+        and the following disclaimer in the documentation and or other materials provided with the distribution [[[[3]] neither the name
+        of {{*12}} nor the names of its contributors may be used to endorse or promote products derived from this software without
+        specific prior written permission]] this software is provided by the {{copyright holders|authors|regents}} and contributors as is
+        and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a
+        particular purpose are disclaimed in no event shall the {{copyright holder|copyright owner|copyright holders|authors|regents}} or contributors be liable
+        for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of
+        substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability
+        whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software
+        even if advised of the possibility of such damage""",
+    ),
     Template(
         "isc-text",
         """permission to use copy modify and {{or|and or}} distribute this software for any purpose with or without fee is hereby
@@ -124,6 +162,8 @@ class Automaton:
                 for wording in part[2:-2].split("|"):
                     self.states[self._words(wording, at)].free.add(joint)
                 at = joint
+            elif "|" in part:
+                raise ValueError(f"Template {self.template.label} has alternatives outside of braces")
             else:
                 at = self._words(part, at)
         if opened:

@@ -110,25 +110,56 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def template_regex(markup: str) -> str:
-    """A template as a regular expression over words that each have a space after them."""
-
-    def worded(text: str) -> str:
-        return "".join(w + " " for w in re.findall(r"[a-z0-9]+", text.lower()))
-
-    out = ""
-    for part in re.split(r"(\[\[|\]\]|\{\{.*?\}\})", markup, flags=re.S):
-        if part == "[[":
-            out += "(?:"
-        elif part == "]]":
-            out += ")?"
-        elif part.startswith("{{*"):
-            out += f"(?:[^ ]+ ){{0,{part[3:-2]}}}"
-        elif part.startswith("{{"):
-            out += "(?:" + "|".join(worded(w) for w in part[2:-2].split("|")) + ")"
-        else:
-            out += worded(part)
-    return out
+# What each template accepts, written from the texts, over words that each have a space after them.
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
+    "copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice "
+    "and this permission notice (including the next paragraph )?shall be included in all copies or substantial portions of the software the software is "
+    "provided as is without warranty of any kind "
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met (1 )?"
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer (2 )?"
+    "redistributions in binary form must reproduce the above copyright notice "
+)
+_LATER = "(as published by the free software foundation )?(either )?(version|v) %s (of the license )?(or (at your option )?any later version )?"
+LICENSE_TEXTS = {
+    "mit": "mit license ",
+    "apache": "apache license ",
+    "gpl": "general public license ",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 (the license )?",
+    "mit-notice": "(released|licensed|distributed|available) under the (terms of the )?mit license ",
+    "gpl-3.0-notice": "under the (terms of the )?gnu general public license " + _LATER % "3",
+    "lgpl-notice": "under the (terms of the )?gnu (lesser|library) general public license " + _LATER % "(2|2 1|3)",
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0 ",
+    "cc-by-nc-4.0-notice": "licensed under (a |the )?(cc by nc|creative commons attribution noncommercial) 4 0 (international license )?",
+    "cc-by-4.0-notice": "licensed under (a |the )?(cc by|creative commons attribution) 4 0 (international license )?",
+    "mit-text": _MIT,
+    "mit-file": "^ (the )?mit license (mit )?(copyright (c )?([^ ]+ ){0,12})?" + _MIT + (
+        "express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event "
+        "shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software $"
+    ),
+    "bsd-conditions": _BSD,
+    "bsd-text": _BSD + (
+        "this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "((3 )?neither the name of ([^ ]+ ){0,12}nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission )?this software is provided by the (copyright holders|authors|regents) and contributors as is and any "
+        "express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are "
+        "disclaimed in no event shall the (copyright holder|copyright owner|copyright holders|authors|regents) or contributors be liable for any direct "
+        "indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use "
+        "data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including "
+        "negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage "
+    ),
+    "isc-text": "permission to use copy modify and (or|and or) distribute this software for any purpose with or without fee is hereby granted provided that "
+    "the above copyright notice and this permission notice appear in all copies ",
+}
+
+
+def license_pattern(label: str) -> str:
+    text = LICENSE_TEXTS[label]
+    return text if text.startswith("^") else " " + text
 
 
 def _phrase_places() -> str:
@@ -140,7 +171,7 @@ def _phrase_places() -> str:
 
 
 def _label_list(templates) -> str:
-    cases = ", ".join(f"CASE WHEN regexp_matches(joined, ' {template_regex(t.markup)}') THEN '{t.label}' END" for t in templates)
+    cases = ", ".join(f"CASE WHEN regexp_matches(joined, '{license_pattern(t.label)}') THEN '{t.label}' END" for t in templates)
     return f"list_sort(list_filter([{cases}], lambda l: l IS NOT NULL))"
 
 

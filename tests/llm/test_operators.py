@@ -44,7 +44,7 @@ def test_license_templates(spark):
 
 
 def test_templates_must_start_with_a_word():
-    for markup in ("[[only]] [[optional]]", "{{*3}} word", "[[open"):
+    for markup in ("[[only]] [[optional]]", "{{*3}} word", "[[open", "under [[a|the]] license"):
         with pytest.raises(ValueError):
             licenses.Automaton(licenses.Template("x", markup))
 
@@ -54,6 +54,50 @@ def test_whole_templates_span_the_text():
     assert [bool(scanner.places(w.encode().split())) for w in ("a c", "a b d e", "a d", "a c f", "z a c")] == [True, True, False, False, False]
 
 
+PUBLIC = {
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+    "Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl,gpl-3.0-notice",
+    "You may use it under the terms of the GNU Lesser General Public License, version 2.1": "gpl,lgpl-notice",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc-4.0-notice",
+    "This work is licensed under the Creative Commons Attribution 4.0 International License.": "cc-by-4.0-notice",
+    "Licensed under CC BY 4.0": "cc-by-4.0-notice",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0-notice",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in "
+    "binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
+    "provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND "
+    "ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+    "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+    "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.": "bsd-conditions,bsd-text",
+}
+MIT_FILE = (
+    "MIT License\n\nCopyright (c) 2024 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+    "following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+    "THE SOFTWARE."
+)
+
+
+def test_public_license_texts(spark):
+    import duckdb
+    from millrace.llm.queries import LICENSE_SQL
+
+    texts = {**PUBLIC, MIT_FILE: "mit,mit-file,mit-text", "see below " + MIT_FILE: "mit,mit-text", MIT_FILE.replace("TORT", "court"): "mit,mit-text"}
+    documents = docs_of(spark, list(texts)).toPandas()  # noqa: F841
+    got = {r.doc_id: r for r in licenses.license_report(docs_of(spark, list(texts))).collect()}
+    assert [got[i].labels for i in range(len(texts))] == list(texts.values())
+    rows = duckdb.sql(LICENSE_SQL + " ORDER BY doc_id")
+    at = rows.columns.index("labels")
+    assert [r[at] for r in rows.fetchall()] == list(texts.values())
+
+
 # Decontamination
 
 
