@@ -21,6 +21,7 @@ other columns are not carried.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 from bisect import bisect_right
@@ -101,23 +102,29 @@ class WordCache:
         if len(self.spaced) > REMEMBERED:
             self.first, self.spaced = {"": b""}, {}
         first, spaced = self.first, self.spaced
-        found: list[list[tuple[list[str], list[bytes | None]]] | None] = []
+        # A line is its ids, or while some of them are to be learnt its words, their ids so far, and the places without.
+        found: list[list[bytes | tuple] | None] = []
         new_first: set[str] = set()
         new_spaced: set[str] = set()
+        joined = b"".join
         for text in texts:
             split = self._split(text)
             if split is None:
                 found.append(None)
                 continue
-            lines = []
+            lines: list[bytes | tuple] = []
             for words in split:
                 ids = list(map(spaced.get, words))
                 ids[0] = first.get(words[0])
-                if ids[0] is None:
-                    new_first.add(words[0])
-                if None in ids:
-                    new_spaced.update([w for w, known in zip(words[1:], ids[1:], strict=True) if known is None])
-                lines.append((words, ids))
+                try:
+                    lines.append(joined(ids))
+                except TypeError:
+                    missing = [k for k, known in enumerate(ids) if known is None]
+                    if missing[0] == 0:
+                        new_first.add(words[0])
+                        del missing[0]
+                    new_spaced.update([words[k] for k in missing])
+                    lines.append((words, ids, missing))
             found.append(lines)
         self._learn(first, new_first, "")
         self._learn(spaced, new_spaced, " ")
@@ -126,11 +133,15 @@ class WordCache:
             if lines is None:
                 out.append(self.direct(text))
                 continue
-            for words, ids in lines:
-                if None in ids:
-                    ids[1:] = map(spaced.__getitem__, words[1:])
-                    ids[0] = first[words[0]]
-            out.append(self.feed.join([b"".join(ids) for _, ids in lines]))
+            for place, line in enumerate(lines):
+                if type(line) is tuple:
+                    words, ids, missing = line
+                    for k in missing:
+                        ids[k] = spaced[words[k]]
+                    if ids[0] is None:
+                        ids[0] = first[words[0]]
+                    lines[place] = joined(ids)
+            out.append(self.feed.join(lines))
         return out
 
 
@@ -164,7 +175,12 @@ def tokenised(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                encoded = cache.encode([t or "" for t in part.column(1).to_pylist()])
+                # Lists of words make no cycles, so looking through them for some is in vain.
+                gc.disable()
+                try:
+                    encoded = cache.encode([t or "" for t in part.column(1).to_pylist()])
+                finally:
+                    gc.enable()
                 owners, pieces, starts, lengths, sums, bodies = [], [], [], [], [], []
                 for owner, ids in enumerate(encoded):
                     ids += end
