@@ -38,8 +38,10 @@ from millrace.session import settle
 
 CAPACITY = 1024
 END_ID = 2
-# Distinct words whose ids a task remembers.
-REMEMBERED = 1_500_000
+# Distinct words whose ids a task remembers, some 200 bytes each.
+REMEMBERED = 800_000
+# Texts that are taken apart together.
+TEXTS_TOGETHER = 400
 # Pieces that are numbered together in one task.
 NUMBERED_TOGETHER = 200_000
 
@@ -173,8 +175,8 @@ def tokenised(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(tokenizer)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for low in range(0, batch.num_rows, TEXTS_TOGETHER):
+                part = batch.slice(low, TEXTS_TOGETHER)
                 # Lists of words make no cycles, so looking through them for some is in vain.
                 gc.disable()
                 try:
