@@ -30,7 +30,7 @@ def duration_us(text: object, marker: int = 2) -> int:
         raise ValueError(f"Duration {text!r} needs a unit: s, m, min or h")
     span = float(found["amount"]) * _UNIT_US[found["unit"]]
     if not math.isfinite(span) or span < 1:
-        raise ValueError(f"Duration {text!r} must be finite and at least one microsecond")
+        raise ValueError(f"Duration {text!r} is not a finite span of a microsecond or more")
     if marker == 1:
         return max(1, int(span / MINUTE_US)) * MINUTE_US
     return int(round(span))

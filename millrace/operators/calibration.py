@@ -153,7 +153,7 @@ def calibrated_threshold(scores: DataFrame, score: str, quantile: float = 0.99)
         raise ValueError("No calibration scores")
     threshold = math.nextafter(row["cut"], math.inf)
     if threshold > 1:
-        raise ValueError("Calibration cannot resolve this quantile without disabling every alert")
+        raise ValueError("At this quantile no score could ever alert; use a lower one")
     return threshold
 
 

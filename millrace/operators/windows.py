@@ -23,7 +23,7 @@ class WindowPlan:
 
     def __post_init__(self) -> None:
         if self.size_us < 1 or self.stride_us < 1:
-            raise ValueError("Window size and stride must be at least one microsecond")
+            raise ValueError("A window of less than a microsecond, in size or stride, is none")
         if self.tail not in TAILS:
             raise ValueError(f"tail must be one of {TAILS}")
 
