@@ -8,6 +8,7 @@ from millrace.functions.timeline import HOUR_US
 from millrace.operators.bootstrap import count_change_interval, draw_runs, event_rate_interval, window_metric_intervals
 from millrace.operators.calibration import score_summary
 from millrace.operators.intervals import (
+    PHYSICAL_FAMILIES,
     annotate,
     event_details,
     event_summary,
@@ -399,6 +400,32 @@ def bootstrap_events(spark, sf):
     return out.select("replicates", rounded("lower").alias("lower"), rounded("upper").alias("upper"))
 
 
+@registered(
+    "bootstrap_physical_event_rate",
+    with_sql(
+        [
+            TELEMETRY,
+            SCORED,
+            INTERVALS,
+            *draws_sql(repeats=EVENT_REPEATS),
+            f"""outcome AS (SELECT i.run_id, i.event_id, coalesce(bool_or(s.autoencoder >= 0.6), false) AS a, coalesce(bool_or(s.isolation >= 0.5), false) AS b
+  FROM intervals i LEFT JOIN scored s ON {OVERLAP} WHERE i.family IN ('cavitation', 'bearing_degradation', 'cooling_degradation', 'mechanical_overload') GROUP BY ALL)""",
+            "per_run AS (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE a) AS a, count(*) FILTER (WHERE b) AS b FROM outcome GROUP BY ALL)",
+            "sums AS (SELECT replicate, sum(n * times) AS n, sum(a * times) AS a, sum(b * times) AS b FROM draws JOIN per_run USING (run_id) GROUP BY ALL)",
+        ],
+        f"""SELECT count(*) AS replicates, {sql_rounded('quantile_cont(b / n - a / n, 0.025)')} AS lower, {sql_rounded('quantile_cont(b / n - a / n, 0.975)')} AS upper FROM sums WHERE n > 0""",
+    ),
+)
+def bootstrap_physical(spark, sf):
+    """The change in event rate over physical families alone; runs are drawn from all runs either way."""
+    w = scored_windows(spark, sf)
+    arms = details(spark, sf).withColumn("arm", F.lit("baseline")).unionByName(
+        details(spark, sf, "isolation", 0.5).withColumn("arm", F.lit("candidate"))
+    )
+    out = event_rate_interval(arms, draw_runs(w, EVENT_REPEATS), w, subset=F.col("family").isin(*PHYSICAL_FAMILIES))
+    return out.select("replicates", rounded("lower").alias("lower"), rounded("upper").alias("upper"))
+
+
 @registered(
     "bootstrap_false_alert_change",
     with_sql(

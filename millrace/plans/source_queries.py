@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import run_bucket
+from millrace.functions.timeline import duration_us, floor_to
 from millrace.operators.joins import truth_for_runs
+from millrace.operators.reshape import common_tags, unpivot_signals
 from millrace.plans.registry import registered
 from millrace.plans.views import INTERVALS, SCORED, TELEMETRY, intervals, rounded, scored_windows, sql_rounded, table, telemetry, with_sql
 from millrace.session import scratch_path
@@ -19,7 +21,15 @@ from millrace.sources.sinks import (
     write_predictions,
     write_scored,
 )
-from millrace.sources.telemetry import contract_report, duplicate_observations, has_column, load_telemetry
+from millrace.sources.telemetry import (
+    contract_report,
+    duplicate_observations,
+    guard_partition,
+    has_column,
+    load_telemetry,
+    read_wide,
+    require_columns,
+)
 
 BASIC = ["run_id", "asset_id", "timestamp", "tag_id", "signal_class", "value", "quality", "is_anomaly"]
 
@@ -253,3 +263,83 @@ def evaluated_truth(spark, sf):
         truths, "run_id", "left_semi"
     )
     return truth_for_runs(truths, evaluated)
+
+
+def refused(problem, action) -> bool:
+    """Whether an action is refused with the given error."""
+    try:
+        action()
+    except problem:
+        return True
+    return False
+
+
+@registered(
+    "guarded_partition_read",
+    with_sql([TELEMETRY], f"SELECT asset_class, count(*) AS rows, {sql_rounded('sum(value)', 4)} AS total FROM telemetry GROUP BY ALL"),
+)
+def guarded_read(spark, sf):
+    """A guarded partition is read only when asked for, and not without its required columns."""
+    path = f"{scratch_path(spark, 'guarded')}/Challenge"
+    telemetry(spark, sf).select(*BASIC, "asset_class").write.parquet(path)
+    if not refused(PermissionError, lambda: load_telemetry(spark, path)):
+        raise ValueError("A guarded partition was read")
+    back = load_telemetry(spark, guard_partition(path, True), allow_challenge=True, validate=False)
+    if not refused(ValueError, lambda: require_columns(back.drop("tag_id"))):
+        raise ValueError("A required column went missing unseen")
+    return require_columns(back).groupBy("asset_class").agg(F.count("*").alias("rows"), rounded(F.sum("value"), 4).alias("total"))
+
+
+# Which quantity each tag of a wide instance stands for; files need not have all tags.
+WIDE_TAGS = {"l_quantity": "flow", "l_extendedprice": "pressure", "l_discount": "valve", "l_tax": "temperature", "l_depth": "depth"}
+
+
+@registered(
+    "wide_instances",
+    f"""SELECT l_returnflag, tag_id, count(*) AS rows, {sql_rounded('sum(value)', 2)} AS total, min(us) AS low, max(us) AS high FROM (
+  UNPIVOT (SELECT l_returnflag, epoch_us(l_shipdate) AS us, l_quantity, l_extendedprice, CASE WHEN l_discount <> 0 THEN l_discount END AS l_discount, l_tax FROM lineitem)
+  ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME tag_id VALUE value) GROUP BY ALL""",
+)
+def wide_instances(spark, sf):
+    """Wide instances, partly CSV with empty fields and partly Parquet, read as one relation of the tags they share."""
+    instances = table(spark, sf, "lineitem").select(
+        "l_returnflag", F.col("l_shipdate").cast("timestamp").alias("timestamp"), "l_linenumber",
+        "l_quantity", "l_extendedprice", F.nullif("l_discount", F.lit(0.0)).alias("l_discount"), "l_tax",
+    )
+    root, odd = scratch_path(spark, "wide"), F.col("l_linenumber") % 2 != 0
+    instances.filter(~odd).write.parquet(f"{root}/typed")
+    text = instances.filter(odd).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    text.write.option("header", "true").option("emptyValue", "").csv(f"{root}/text")
+    wide = read_wide(spark, root, list(WIDE_TAGS))
+    tags = common_tags(wide.columns, WIDE_TAGS)
+    long = unpivot_signals(wide, ["l_returnflag", "timestamp"], tags)
+    us = F.unix_micros("timestamp")
+    return long.groupBy("l_returnflag", "tag_id").agg(
+        F.count("*").alias("rows"), rounded(F.sum("value"), 2).alias("total"), F.min(us).alias("low"), F.max(us).alias("high")
+    )
+
+
+# Texts, the marker they are read with, and the microseconds the SQL expects.
+DURATIONS = [
+    ("1h", 2, 3_600_000_000), ("1.5h", 2, 5_400_000_000), ("90min", 2, 5_400_000_000), ("90.75m", 2, 5_445_000_000),
+    ("5400s", 2, 5_400_000_000), ("36s", 2, 36_000_000), ("36s", 1, 60_000_000), ("90.75m", 1, 5_400_000_000),
+]
+
+
+@registered(
+    "windows_by_duration_text",
+    with_sql(
+        [TELEMETRY, "sizes(duration, marker, us) AS (VALUES " + ", ".join(f"('{d}', {m}, {us})" for d, m, us in DURATIONS) + ")"],
+        """SELECT duration, marker, size_us, count(*) AS windows, max(rows) AS fullest FROM (
+  SELECT duration, marker, s.us AS size_us, run_id, t.us // s.us AS w, count(*) AS rows FROM telemetry t, sizes s GROUP BY ALL) GROUP BY ALL""",
+    ),
+)
+def duration_windows(spark, sf):
+    """Windows with observations for sizes given as text, in the present and the older reading of durations."""
+    sizes = F.array(*[
+        F.struct(F.lit(text).alias("duration"), F.lit(marker).alias("marker"), F.lit(duration_us(text, marker)).cast("bigint").alias("size_us"),
+                 floor_to("us", duration_us(text, marker)).alias("start"))
+        for text, marker, _ in DURATIONS
+    ])
+    members = telemetry(spark, sf).select("run_id", F.explode(sizes).alias("_s")).groupBy("_s.duration", "_s.marker", "_s.size_us", "run_id", "_s.start").agg(F.count("*").alias("rows"))
+    return members.groupBy("duration", "marker", "size_us").agg(F.count("*").alias("windows"), F.max("rows").alias("fullest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.channels import STATISTICS, chosen_statistics
+from millrace.operators.channels import STATISTICS, channel_of, check_feature_schema, chosen_statistics, feature_names
 from millrace.operators.context import context_vocabulary, encode_contexts, vocabulary_lists
 from millrace.operators.features import long, order_statistics, pane_cells, readings, wide, window_features
 from millrace.operators.joins import unmatched_rows
@@ -130,6 +130,33 @@ def wide_families(spark, sf):
     return out.select(*keys, *[rounded(c, 8 if c.endswith("_slope") else 6).alias(c) for c in out.columns if c not in keys])
 
 
+@registered(
+    "features_of_a_trained_schema",
+    with_sql(
+        channel_sql(DAILY),
+        """SELECT channel, count(*) * %d AS cells, %s AS above_one FROM stats WHERE channel IN (%s) GROUP BY ALL"""
+        % (len(WIDE_STATS), " + ".join(f"count(*) FILTER (WHERE {s} > 1)" for s in WIDE_STATS), ", ".join(f"'{c}'" for c in CHANNELS)),
+    ),
+)
+def trained_schema(spark, sf):
+    """Features told from identity by name, held against a trained schema, and their values above one counted per channel of the name."""
+    out = wide(window_features(unlabelled(spark, sf), DAILY, CHANNELS, DEFAULTS, {"quality": False, "sampling": False}), CHANNELS)
+    trained = [f"{c}_{s}" for c in CHANNELS for s in WIDE_STATS]
+    check_feature_schema(out.columns, trained)
+    try:
+        check_feature_schema([*out.columns, "depth_mean"], trained[1:])
+    except ValueError:
+        pass
+    else:
+        raise ValueError("Another schema was taken for the trained one")
+    by_channel = {}
+    for name in feature_names(out.columns):
+        by_channel.setdefault(channel_of(name), []).append(name)
+    counts = out.agg(*[sum((F.count_if(F.col(n) > 1) for n in names), F.lit(0).cast("bigint")).alias(c) for c, names in by_channel.items()], F.count("*").alias("_rows"))
+    sizes = F.array(*[F.struct(F.lit(c).alias("channel"), (F.col("_rows") * len(names)).alias("cells"), F.col(c).alias("above_one")) for c, names in by_channel.items()])
+    return counts.select(F.inline(sizes))
+
+
 LABEL_SQL = [
     *member_sql(SLIDING),
     """per_event AS (SELECT run_id, asset_id, window_start, event_id, coalesce(min(event_start_us), min(us)) AS start

@@ -208,3 +208,23 @@ def load_telemetry(spark: SparkSession, path: str, allow_challenge: bool = False
     """Read, type and check a telemetry directory or file."""
     df = typed(read_raw(spark, guard_partition(path, allow_challenge)))
     return checked(df) if validate else df
+
+
+def read_wide(spark: SparkSession, path: str, tags: Sequence[str], time: str = "timestamp") -> DataFrame:
+    """Wide instance files, one column per tag, as CSV, Parquet or both.
+
+    Empty text is null, the time becomes a timestamp and tags that a file has
+    become numbers; text that does not parse fails the query. Other columns stay
+    as they were read, and tags of no file stay absent.
+    """
+    df = require_columns(read_raw(spark, path), [time])
+    columns = []
+    for field in df.schema.fields:
+        text = isinstance(field.dataType, T.StringType)
+        column = F.nullif(F.col(f"`{field.name}`"), F.lit("")) if text else F.col(f"`{field.name}`")
+        if field.name == time:
+            column = column.cast("timestamp")
+        elif field.name in tags:
+            column = column.cast("double")
+        columns.append(column.alias(field.name))
+    return df.select(*columns)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import intervals as I
-from millrace.operators.bootstrap import draw_runs, event_rate_interval, interval, window_metric_intervals
+from millrace.operators.bootstrap import draw_runs, event_rate_interval, interval, resampled_precision, window_metric_intervals
 from millrace.operators.intervals import annotate, event_details, event_summary, family_summary, label_windows, owned_intervals, refuse_bad_intervals
 from millrace.operators.joins import complete_lookup, same_rows
 from millrace.operators.metrics import evaluate_windows
@@ -137,6 +137,33 @@ def test_bootstrap_is_paired_and_counts_copies(spark):
     assert interval(spark.createDataFrame([(float(i),) for i in range(101)], "x double"), "x").first().upper == pytest.approx(97.5)
 
 
+@pytest.mark.parametrize("range_cells", [9, 10**6])
+def test_precision_of_replicates_over_ranges(spark, range_cells):
+    rng = np.random.default_rng(8)
+    n = 300
+    pdf = pd.DataFrame({"run_id": rng.choice([f"r{i}" for i in range(7)], n, p=[0.4] + [0.1] * 6), "is_anomaly": (rng.random(n) < 0.2).astype(object), "x": np.round(rng.random(n), 1), "y": rng.random(n)})
+    pdf.loc[pdf.run_id == "r1", "is_anomaly"] = None
+    pdf.loc[::17, "y"] = None
+    w = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "run_id string, is_anomaly boolean, x double, y double")
+    draws = draw_runs(w, 30)
+    times = {(r.replicate, r.run_id): r.times for r in draws.collect()}
+    got = {(r.replicate, r.arm): r.pr_auc for r in resampled_precision(w, draws, ["x", "y"], range_cells=range_cells).collect()}
+    assert len(got) == 60
+    for (replicate, arm), value in got.items():
+        known = pdf[pdf[arm].notna()]
+        weight = np.array([times.get((replicate, r), 0) for r in known.run_id])
+        positive = np.array([v is True or v == True for v in known.is_anomaly]) * weight  # noqa: E712
+        want = 0.0
+        for score in sorted(set(known[arm]), reverse=True):
+            level, upto = (known[arm] == score).to_numpy(), (known[arm] >= score).to_numpy()
+            if weight[upto].sum():
+                want += positive[level].sum() / positive.sum() * positive[upto].sum() / weight[upto].sum()
+        assert value == pytest.approx(want)
+    none = resampled_precision(w.withColumn("is_anomaly", F.lit(False)), draws, ["x"]).collect()
+    assert len(none) == 30 and {r.pr_auc for r in none} == {None}
+    assert resampled_precision(w.where("false"), draws, ["x"]).collect() == []
+
+
 def test_minutes_must_be_tiled_exactly(spark):
     half = 30_000_000
     starts = [0, half, MINUTE, 2 * MINUTE, 2 * MINUTE + half, 2 * MINUTE + half]
