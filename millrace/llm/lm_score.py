@@ -10,13 +10,16 @@ block in the same order. Per n-gram a block sends one entry however often the
 n-gram occurs, so a frequent n-gram is no hot key.
 
 Counts leave the scored document out, else every n-gram would be known: with
-counts c' over all other documents and N' words in them, a word scores
+counts c' over all other documents and N' words in them, a word w after u v
+scores in a model of order 3
 
-    c'(v w) / c'(v)        if v w occurs elsewhere,
-    BACKOFF * c'(w) / N'   else if w does, and BACKOFF^2 / N' else,
+    c'(u v w) / c'(u v)       if u v w occurs elsewhere,
+    BACKOFF * c'(v w) / c'(v) else if v w does,
+    BACKOFF^2 * c'(w) / N'    else if w does, and BACKOFF^3 / N' else,
 
-and the first word starts at the second line. N-grams are told apart by 64-bit
-hashes.
+and likewise for every other order, one step for each word of context. A
+document's first words have less context and start further down. N-grams are
+told apart by 64-bit hashes.
 
 Defined results: null and empty texts have no words and a null score; a corpus
 of one document has N' = 1; equal rows count as documents of their own; null
@@ -38,8 +41,10 @@ from pyspark.sql import types as T
 from millrace.llm.text import alnum_words
 
 BACKOFF = 0.4
+# Words of the longest n-grams.
+ORDER = 3
 BLOCK_BYTES = 8_000_000
-PART_BYTES = 6_000_000
+PART_BYTES = 4_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 # The entry that counts words; no n-gram hash is let be 0.
 _TOTAL = np.uint64(0)
@@ -73,9 +78,9 @@ def from_planes(data: bytes) -> np.ndarray:
 
 
 class Block:
-    """The n-grams of a block's documents: distinct ones in hash order, and where each word's are."""
+    """The n-grams of a block's documents: distinct ones in hash order, and where those that end at each word are."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], order: int = ORDER):
         numbers: dict[bytes, int] = {}
         sizes, ids = [], []
         for text in texts:
@@ -86,36 +91,42 @@ class Block:
         word = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         self.document = np.repeat(np.arange(len(sizes)), self.sizes)
         word_hash = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), dtype=np.uint64, count=len(numbers))
-        single = _mixed(word_hash + _MIX)[word] if len(word) else np.zeros(0, np.uint64)
-        self.has_previous = np.zeros(len(word), dtype=bool)
-        self.has_previous[1:] = self.document[1:] == self.document[:-1]
-        second = np.flatnonzero(self.has_previous)
-        pair = _mixed(word_hash[word[second - 1]] * _MIX + word_hash[word[second]]) if len(second) else np.zeros(0, np.uint64)
-        every = np.concatenate([np.array([_TOTAL]), single, pair])
-        self.hashes, place, counts = np.unique(every, return_inverse=True, return_counts=True)
+        hashed = word_hash[word] if len(word) else np.zeros(0, np.uint64)
+        within = np.arange(len(word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        # For each order the words at which an n-gram ends, and its hash: that of one word less before, carried on.
+        self.ends, grams, chain = [], [], hashed
+        for k in range(1, order + 1):
+            ends = np.flatnonzero(within >= k - 1)
+            if k > 1:
+                chain = chain * _MIX
+                chain[1:] = chain[:-1] + hashed[1:]
+            self.ends.append(ends)
+            grams.append(_mixed(chain[ends] + _MIX * np.uint64(k)))
+        self.hashes, place, counts = np.unique(np.concatenate([np.array([_TOTAL]), *grams]), return_inverse=True, return_counts=True)
         self.counts = counts.astype(np.int64)
         self.counts[place[0]] = len(word)
         self.total_place = int(place[0])
-        self.single = place[1 : 1 + len(word)]
-        self.pair = np.full(len(word), -1, dtype=np.int64)
-        self.pair[second] = place[1 + len(word) :]
+        self.places = np.split(place[1:], np.cumsum([len(e) for e in self.ends])[:-1])
 
-    def own_counts(self, places: np.ndarray) -> np.ndarray:
-        """How often each word's n-gram comes up in its own document."""
-        key = self.document * np.int64(len(self.hashes)) + places
-        _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
-        return counts[back]
+    def counts_elsewhere(self, k: int, totals: np.ndarray) -> np.ndarray:
+        """For each word how often the n-gram of ``k`` words that ends there comes up in other documents; 0 if none ends."""
+        ends, places = self.ends[k - 1], self.places[k - 1]
+        _, back, own = np.unique(self.document[ends] * np.int64(len(self.hashes)) + places, return_inverse=True, return_counts=True)
+        out = np.zeros(len(self.document), dtype=np.int64)
+        out[ends] = totals[places] - own[back]
+        return out
 
     def scores(self, totals: np.ndarray, backoff: float) -> list[float | None]:
         """Mean log10 score of a word for each document, from corpus counts in the order of ``hashes``."""
-        others = np.maximum(1, totals[self.total_place] - self.sizes)[self.document].astype(np.float64)
-        single = totals[self.single] - self.own_counts(self.single)
-        score = np.where(single > 0, backoff * np.maximum(single, 1) / others, backoff * backoff / others)
-        follows = np.flatnonzero(self.has_previous)
-        pair = np.zeros(len(single), dtype=np.int64)
-        pair[follows] = (totals[self.pair] - self.own_counts(self.pair))[follows]
-        seen = np.flatnonzero(pair > 0)
-        score[seen] = pair[seen] / single[seen - 1]
+        order = len(self.ends)
+        context = np.maximum(1, totals[self.total_place] - self.sizes)[self.document]
+        score = backoff**order / context
+        for k in range(1, order + 1):
+            here = self.counts_elsewhere(k, totals)
+            seen = np.flatnonzero(here)
+            # A longer n-gram that occurs elsewhere replaces what the shorter ones say.
+            score[seen] = backoff ** (order - k) * here[seen] / context[seen]
+            context = np.concatenate([context[:1], here[:-1]])
         sums = np.bincount(self.document, weights=np.log10(score), minlength=len(self.sizes))
         return [float(s) / n if n else None for s, n in zip(sums.tolist(), self.sizes.tolist(), strict=True)]
 
@@ -125,8 +136,10 @@ def _parts(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Rows (doc_id, n_words, score): mean log10 stupid-backoff score of a word of each document."""
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", backoff: float = BACKOFF, order: int = ORDER, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Rows (doc_id, n_words, score): mean log10 stupid-backoff score of a word of each document under n-grams of up to ``order`` words."""
+    if order < 1:
+        raise ValueError("order must be 1 or more")
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, parts = max(1, math.ceil(size / block_bytes)), max(1, math.ceil(size / part_bytes))
@@ -134,7 +147,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long")).repartition("block")
 
     def explode(key: tuple, table: pa.Table) -> pa.Table:
-        block = Block(table.column("text").to_pylist())
+        block = Block(table.column("text").to_pylist(), order)
         cuts = np.searchsorted(_parts(block.hashes, parts), np.arange(parts + 1))
         rows = [(p, packed(block.hashes[a:b]), planes(block.counts[a:b])) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if b > a]
         part, hashes, counts = zip(*rows, strict=True)
@@ -150,10 +163,10 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table({"part": pa.array([key[0].as_py()] * len(out), pa.int64()), "block": table.column("block").combine_chunks(), "totals": pa.array(out, pa.binary())})
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left.column("text").to_pylist())
-        order = np.argsort(np.array(right.column("part").to_pylist()))
+        block = Block(left.column("text").to_pylist(), order)
+        by_part = np.argsort(np.array(right.column("part").to_pylist()))
         given = right.column("totals").to_pylist()
-        totals = np.concatenate([from_planes(given[i]) for i in order.tolist()])
+        totals = np.concatenate([from_planes(given[i]) for i in by_part.tolist()])
         return pa.table({"doc_id": left.column("doc_id").combine_chunks(), "n_words": pa.array(block.sizes, pa.int64()), "score": pa.array(block.scores(totals, backoff), pa.float64())})
 
     grams = dealt.groupBy("block").applyInArrow(explode, "part long, block long, hashes binary, counts binary")

@@ -223,17 +223,22 @@ def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LM_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {ALNUM_WORDS} AS words FROM documents),
-tokens AS (SELECT r, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS v, len(words) AS n
+tokens AS (SELECT r, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS v, CASE WHEN i > 2 THEN words[i - 2] END AS u, len(words) AS n
            FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM d)),
 total AS (SELECT count(*) AS n FROM tokens),
 singles AS (SELECT r, w, count(*) AS own, sum(count(*)) OVER (PARTITION BY w) AS c FROM tokens GROUP BY r, w),
 pairs AS (SELECT r, v, w, count(*) AS own, sum(count(*)) OVER (PARTITION BY v, w) AS c FROM tokens WHERE v IS NOT NULL GROUP BY r, v, w),
+triples AS (SELECT r, u, v, w, count(*) AS own, sum(count(*)) OVER (PARTITION BY u, v, w) AS c FROM tokens WHERE u IS NOT NULL GROUP BY r, u, v, w),
 counted AS (
-  SELECT t.r, t.n, s.c - s.own AS single, coalesce(p.c - p.own, 0) AS pair, b.c - b.own AS before, greatest(1, total.n - t.n) AS others
+  SELECT t.r, t.n, s.c - s.own AS single, coalesce(p.c - p.own, 0) AS pair, coalesce(x.c - x.own, 0) AS triple,
+         b.c - b.own AS before, bb.c - bb.own AS before_two, greatest(1, total.n - t.n) AS others
   FROM tokens t CROSS JOIN total JOIN singles s ON s.r = t.r AND s.w = t.w
-  LEFT JOIN singles b ON b.r = t.r AND b.w = t.v LEFT JOIN pairs p ON p.r = t.r AND p.v = t.v AND p.w = t.w),
+  LEFT JOIN singles b ON b.r = t.r AND b.w = t.v LEFT JOIN pairs p ON p.r = t.r AND p.v = t.v AND p.w = t.w
+  LEFT JOIN pairs bb ON bb.r = t.r AND bb.v = t.u AND bb.w = t.v
+  LEFT JOIN triples x ON x.r = t.r AND x.u = t.u AND x.v = t.v AND x.w = t.w),
 scored AS (
-  SELECT r, log10(CASE WHEN pair > 0 THEN pair::DOUBLE / before::DOUBLE WHEN single > 0 THEN 0.4::DOUBLE * single::DOUBLE / others ELSE 0.4::DOUBLE * 0.4::DOUBLE / others END) AS s
+  SELECT r, log10(CASE WHEN triple > 0 THEN triple::DOUBLE / before_two::DOUBLE WHEN pair > 0 THEN 0.4::DOUBLE * pair::DOUBLE / before::DOUBLE
+    WHEN single > 0 THEN pow(0.4::DOUBLE, 2) * single::DOUBLE / others ELSE pow(0.4::DOUBLE, 3) / others END) AS s
   FROM counted)
 SELECT d.doc_id, len(d.words) AS n_words, round(sum(s) / len(d.words), 6) AS score
 FROM d LEFT JOIN scored ON scored.r = d.r GROUP BY d.r, d.doc_id, d.words

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -225,7 +226,7 @@ def test_one_document_of_each_group_stays(spark):
 
 def test_scores_survive_odd_texts(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (None, "b a"), (4, "q")], "doc_id long, text string")
-    got = {r.doc_id: (r.n_words, r.score) for r in lm_score.score_documents(docs, block_bytes=3, part_bytes=2).collect()}
+    got = {r.doc_id: (r.n_words, r.score) for r in lm_score.score_documents(docs, order=2, block_bytes=3, part_bytes=2).collect()}
     # Elsewhere "a" and "b" come up once each among three words, and "b a" once.
     a, pair, back = 0.4 * 1 / 3, 1 / 1, 0.4 * 1 / 3
     assert got[1] == (3, pytest.approx((np.log10(a) + np.log10(back) + np.log10(pair)) / 3))
@@ -234,6 +235,36 @@ def test_scores_survive_odd_texts(spark):
     assert lm_score.score_documents(docs.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_scores_of_every_order(spark, order):
+    rng = random.Random(order)
+    texts = [" ".join(rng.choices("abcd", k=rng.randrange(0, 30))) for _ in range(25)]
+    texts += [texts[3]] * 2 + ["a", None, "zz unseen words", " ".join("ab" * 40)]
+    words = [(t or "").split() for t in texts]
+
+    def grams(ws):
+        return Counter(tuple(ws[i : i + k]) for k in range(1, order + 1) for i in range(len(ws) - k + 1))
+
+    own = [grams(ws) for ws in words]
+    total = sum(own, Counter())
+    n = sum(map(len, words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.score) for r in lm_score.score_documents(docs, order=order, block_bytes=100, part_bytes=90).collect()}
+    assert len(got) == len(texts)
+    for d, ws in enumerate(words):
+        logs = []
+        for i in range(len(ws)):
+            value, steps = None, order
+            for k in range(min(order, i + 1), 0, -1):
+                gram = tuple(ws[i - k + 1 : i + 1])
+                if total[gram] > own[d][gram]:
+                    below = total[gram[:-1]] - own[d][gram[:-1]] if k > 1 else max(1, n - len(ws))
+                    value, steps = (total[gram] - own[d][gram]) / below, order - k
+                    break
+            logs.append(np.log10(0.4**steps * (1 / max(1, n - len(ws)) if value is None else value)))
+        assert got[d] == (len(ws), pytest.approx(np.mean(logs)) if ws else None)
+
+
 # Packing
 
 
