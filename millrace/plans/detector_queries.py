@@ -318,6 +318,22 @@ def sample_sizes(spark, sf):
     return drawn.groupBy("asset_class", "tree").agg(F.count("*").alias("rows"), F.count_distinct("vec_id").alias("distinct_rows"))
 
 
+@registered(
+    "forest_of_large_samples",
+    with_sql(
+        [VECTORS, "counts AS (SELECT asset_class, count(*) AS n FROM vectors GROUP BY ALL)"],
+        """SELECT asset_class, tree::INTEGER AS tree, greatest(1, floor(n * 0.5::DOUBLE))::BIGINT AS sample, 1::BIGINT AS leaves_above_splits
+  FROM counts, range(20) r(tree)""",
+    ),
+)
+def large_samples(spark, sf):
+    """Samples of half a class, grown by levels until a node has 64 rows."""
+    rows = settle(vectors(spark, sf), "vectors")
+    trees = fit_forest(rows, ["vec_id"], trees=20, sample=0.5, task_rows=64)
+    splits = F.size(F.filter("feature", lambda f: f >= 0))
+    return trees.select("asset_class", "tree", "sample", (F.size("feature") - 2 * splits).cast("long").alias("leaves_above_splits"))
+
+
 PLAN = WindowPlan.of("24h", "24h")
 KNOWN_REGIMES = {"asset_class": KNOWN["asset_class"], "operating_regime": ["steady", "mixed"]}
 CONTEXT_SQL = """contexts AS (SELECT run_id, asset_id, window_start, coalesce(max(constant), CASE count(DISTINCT operating_regime) WHEN 0 THEN 'unknown' WHEN 1 THEN min(operating_regime) ELSE 'mixed' END) AS regime

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators.calibration import calibrate, fit_curve, normal_only
 from millrace.operators.explain import prediction_records
-from millrace.operators.forest import average_path, draw_samples, fit_forest, grow_tree, isolation_scores
+from millrace.operators import forest as forest_module
+from millrace.operators.forest import average_path, draw_samples, fit_forest, grow_tree, isolation_scores, sampling_plan
 from millrace.operators.reconstruction import apply_tail, fit_subspace, reconstruction_errors, residual_scales
 from millrace.operators.vectors import apply_scaler, center_by_regime, fit_regimes, fit_scaler, non_finite_vectors
 from millrace.plans.detector import Options, evaluate_against_events, fit_model, load_model, predict, save_model, score, with_supplement
@@ -85,6 +86,51 @@ def test_forest(spark):
     assert max(tree["feature"]) <= 2 and len(tree["feature"]) == 2 * sum(f < 0 for f in tree["feature"]) - 1
 
 
+@pytest.mark.parametrize("sample", [0.5, 90])
+def test_forest_of_samples_beyond_one_task(spark, monkeypatch, sample):
+    """Every leaf of every tree holds the sampled rows that its stored path says."""
+    monkeypatch.setattr(forest_module, "RANGE_ROWS", 16)
+    monkeypatch.setattr(forest_module, "HELD_ENTRIES", 20)
+    rng = np.random.default_rng(5)
+    same = np.tile([[1.0, 2.0, 3.0]], (60, 1))
+    arrays = {"a": np.vstack([rng.normal(size=(190, 3)), same]), "b": rng.normal(size=(24, 3)), "c": same}
+    df = vectors(spark, arrays)
+    drawn = draw_samples(df, ["i"], trees=6, sample=sample).collect()
+    forest = {(r.asset_class, r.tree): r for r in fit_forest(df, ["i"], trees=6, sample=sample, max_features=0.7, task_rows=20).collect()}
+    again = {(r.asset_class, r.tree): r for r in fit_forest(df.repartition(5), ["i"], trees=6, sample=sample, max_features=0.7, task_rows=20).collect()}
+    assert forest == again and set(forest) == {(g, t) for g in arrays for t in range(6)}
+    for (group, number), tree in forest.items():
+        members = [r for r in drawn if (r.asset_class, r.tree) == (group, number)]
+        n = len(arrays[group])
+        assert len({r.i for r in members}) == len(members) == tree.sample == (n // 2 if sample == 0.5 else min(n, 90))
+        reached, depths = {}, {0: 0}
+        for at, feature in enumerate(tree.feature):
+            if feature >= 0:
+                depths[tree.left[at]] = depths[tree.right[at]] = depths[at] + 1
+        for r in members:
+            at = 0
+            while tree.feature[at] >= 0:
+                at = tree.left[at] if r.vector[tree.feature[at]] <= tree.threshold[at] else tree.right[at]
+            reached.setdefault(at, []).append(tuple(r.vector))
+        assert set(reached) == {at for at, f in enumerate(tree.feature) if f < 0}
+        assert len(tree.feature) == 2 * len(reached) - 1 and len(set(tree.feature) - {-1}) <= 2
+        limit = int(np.ceil(np.log2(len(members))))
+        usable = set(tree.feature) - {-1}
+        for at, held in reached.items():
+            assert tree.path[at] == pytest.approx(depths[at] + float(average_path(len(held))))
+            assert len(held) == 1 or depths[at] == limit or all(len({h[f] for h in held}) == 1 for f in usable)
+
+
+def test_samples_of_a_front_that_is_too_short(spark):
+    """The whole hash order is ranked when the counted front lacks rows."""
+    df = vectors(spark, {"a": np.arange(200.0).reshape(100, 2)})
+    plan = sampling_plan(df, trees=3, sample=20)
+    got = draw_samples(df, ["i"], trees=3, sample=20, plan=settle(plan.withColumn("_front", plan["_front"] * 0.05), "short"))
+    assert sorted(r["count"] for r in got.groupBy("tree").count().collect()) == [20, 20, 20]
+    whole = draw_samples(df, ["i"], trees=3, sample=20)
+    assert got.exceptAll(whole).isEmpty()
+
+
 def test_calibration(spark):
     ref = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3)], "g string, raw double")
     values = spark.createDataFrame([("a", float(v)) for v in (0, 2, 4)], "g string, raw double")
