@@ -7,14 +7,16 @@ record ids from what identifies the capture, timestamps from 12- or 14-digit
 dates, types from the content, and SHA-1 digests of payload and block.
 
 Archives are written by Spark's text writer as binary-safe lines, so they go
-to any shared store under its commit protocol, and are read as whole files of
-bounded record count. Which record of equal payloads is the response is found
+to any shared store under its commit protocol, and are read as whole files. An
+archive is closed once it holds ``ARCHIVE_BYTES`` or ``RECORDS_PER_ARCHIVE``,
+so it is larger than the first by one record at most. Which record of equal payloads is the response is found
 on (digest, id) alone; payloads are never grouped.
 
 Defined results: null payloads and URLs are empty; null ids are the smallest;
 of equal ids one record is the response and the rest revisit it; an empty
 table makes archives without records; other columns are not carried. A record
-with fewer bytes than declared is marked as truncated.
+with fewer bytes than declared is marked as truncated. Ids are integers: others
+fail the writing job, and in archives from elsewhere they read as null.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ from pyspark.sql import functions as F
 from millrace.session import scratch_path, settle
 
 RECORDS_PER_ARCHIVE = 5000
+ARCHIVE_BYTES = 64_000_000
+# Values given to the writer for an archive, and the bytes from which one is given on.
+_LINES = 64
+_LINE_BYTES = ARCHIVE_BYTES // _LINES
 CRAWL_DATE = "20240102030405"
 # The version blocks of the two ARC versions, and WARC's names.
 ARC_FIELDS = {
@@ -71,35 +77,78 @@ def _http(page_id, payload: bytes) -> bytes:
     return "\r\n".join([*lines, "", ""]).encode() + payload
 
 
-def _save(lines: DataFrame, path: str, records: int) -> str:
-    """Write binary ``line`` values, each of which gives up its last line feed to the writer."""
+class ArchiveLines:
+    """Turns records into the values of which the writer makes archives of bounded size.
+
+    The writer starts a file every ``_LINES`` values. A value holds records of
+    ``_LINE_BYTES`` or more together; an archive that is full before it has all
+    its values gets blank lines, which both formats allow between records.
+    """
+
+    def __init__(self, archive_bytes: int = ARCHIVE_BYTES, records: int = RECORDS_PER_ARCHIVE):
+        self.archive_bytes, self.records = archive_bytes, records
+        self.held: list[bytes] = []
+        self.held_bytes = self.lines = self.bytes = self.count = 0
+
+    @property
+    def fresh(self) -> bool:
+        """Whether the next record starts an archive."""
+        return not self.count
+
+    def add(self, record: bytes) -> Iterator[pa.RecordBatch]:
+        self.held.append(record)
+        self.held_bytes += len(record)
+        self.bytes += len(record)
+        self.count += 1
+        full = self.bytes >= self.archive_bytes or self.count >= self.records
+        if full or self.held_bytes >= _LINE_BYTES:
+            yield from self.give()
+        if full or self.lines == _LINES:
+            if self.lines < _LINES:
+                yield pa.RecordBatch.from_arrays([pa.array([b""] * (_LINES - self.lines), pa.binary())], names=["line"])
+            self.lines = self.bytes = self.count = 0
+
+    def give(self) -> Iterator[pa.RecordBatch]:
+        """What is held, as one value; the writer adds the line feed that ends it."""
+        if self.held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(self.held)[:-1]], pa.binary())], names=["line"])
+            self.held, self.held_bytes, self.lines = [], 0, self.lines + 1
+
+
+def _save(lines: DataFrame, path: str) -> str:
     (
         lines.select(F.col("line").cast("string").alias("value"))
-        .write.mode("errorifexists").option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", records).text(path)
+        .write.mode("errorifexists").option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", _LINES).text(path)
     )
     return path
 
 
-def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = CRAWL_DATE, records: int = RECORDS_PER_ARCHIVE) -> str:
+def write_arc(
+    pages: DataFrame,
+    path: str,
+    page_id: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    date: str = CRAWL_DATE,
+    records: int = RECORDS_PER_ARCHIVE,
+    archive_bytes: int = ARCHIVE_BYTES,
+) -> str:
     """Save pages as ARC files, versions 1 and 2 in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        written = 0
-        version = 1
+        lines, version, made = ArchiveLines(archive_bytes, records), 1, 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                lines = []
-                for owner, address, body in zip(*(c.to_pylist() for c in batch.slice(low, 500).columns), strict=True):
-                    if written % records == 0:
-                        version = 1 + written // records % 2
-                        lines.append(version_block(f"pages-{written // records}.arc", version, date)[:-1])
-                    content = _http(owner, (body or "").encode())
-                    lines.append(arc_record(_one_line(address), content, version, date)[:-1])
-                    written += 1
-                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["line"])
+            for i in range(batch.num_rows):
+                owner, address, body = (c[i].as_py() for c in batch.columns)
+                block = b""
+                if lines.fresh:
+                    version, made = 1 + made % 2, made + 1
+                    block = version_block(f"pages-{made - 1}.arc", version, date)
+                yield from lines.add(block + arc_record(_one_line(address), _http(owner, (body or "").encode()), version, date))
+        yield from lines.give()
 
-    source = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    return _save(source.mapInArrow(run, "line binary"), path, records + 1)
+    source = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    return _save(source.mapInArrow(run, "line binary"), path)
 
 
 @dataclass(frozen=True)
@@ -156,6 +205,11 @@ def http_field(head: bytes, name: str) -> str | None:
     return found.group(1).decode("utf-8", "replace") if found else None
 
 
+def _number(owner: str | None) -> int | None:
+    number = int(owner) if owner and re.fullmatch(r"-?[0-9]{1,19}", owner) else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
+
+
 def warc_date(date: str) -> str:
     """ISO time of a 12- or 14-digit ARC date."""
     d = date.ljust(14, "0")
@@ -209,7 +263,7 @@ def arc_index(spark: SparkSession, path: str) -> DataFrame:
                     owner, digest = http_field(head, PAGE_HEADER), base32_sha1(payload)
                     url, date = record.fields["URL"], record.fields["Archive-date"]
                     at = f"{place.rsplit('/', 1)[-1]}:{record.offset}"
-                    rows.append((place, record.offset, int(owner) if owner else None, bool(head), url, warc_date(date), digest, record_id(url, date, digest, owner, at)))
+                    rows.append((place, record.offset, _number(owner), bool(head), url, warc_date(date), digest, record_id(url, date, digest, owner, at)))
                 columns = list(zip(*rows, strict=True)) or [()] * 8
                 types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "offset", "page_id", "http", "url", "date", "digest", "id"])
@@ -217,7 +271,7 @@ def arc_index(spark: SparkSession, path: str) -> DataFrame:
     return _archives(spark, path).mapInArrow(run, "path string, offset long, page_id long, http boolean, url string, date string, digest string, id string")
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str) -> str:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, records: int = RECORDS_PER_ARCHIVE, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Save the WARC form of ARC files: of equal HTTP payloads one response, the rest revisits."""
     index = settle(arc_index(spark, arc_path).where("http"), "arc-index")
     original = index.groupBy("digest").agg(F.max(F.struct("page_id", "path", "offset", "url", "date", "id")).alias("original"), F.count(F.lit(1)).alias("n"))
@@ -228,20 +282,19 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> str:
     work = _archives(spark, arc_path).join(plan.withColumnRenamed("path", "planned"), F.col("path") == F.col("planned"), "left").select("path", "content", "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = ArchiveLines(archive_bytes, records)
+        info = warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", ""), ("WARC-Date", warc_date(CRAWL_DATE)), ("Content-Type", "application/warc-fields")], b"software: millrace\r\nformat: WARC File Format 1.1\r\n")
         for batch in batches:
             for i in range(batch.num_rows):
                 place = batch.column(0)[i].as_py()
                 refers = {r["offset"]: r for r in batch.column(2)[i].as_py() or []}
-                info = warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(place, CRAWL_DATE, "", None, "")), ("WARC-Date", warc_date(CRAWL_DATE)), ("Content-Type", "application/warc-fields")], b"software: millrace\r\nformat: WARC File Format 1.1\r\n")
-                lines = [info[:-1]]
                 for record in parse_arc(batch.column(1)[i].as_py()):
-                    lines.append(_converted(record, f"{place.rsplit('/', 1)[-1]}:{record.offset}", refers.get(record.offset))[:-1])
-                    if len(lines) >= 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["line"])
-                        lines = []
-                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["line"])
+                    at = f"{place.rsplit('/', 1)[-1]}:{record.offset}"
+                    head = info.replace(b"WARC-Record-ID: ", b"WARC-Record-ID: " + record_id(at, CRAWL_DATE, "", None, "").encode()) if lines.fresh else b""
+                    yield from lines.add(head + _converted(record, at, refers.get(record.offset)))
+        yield from lines.give()
 
-    return _save(work.mapInArrow(run, "line binary"), warc_path, RECORDS_PER_ARCHIVE + 1)
+    return _save(work.mapInArrow(run, "line binary"), warc_path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -280,7 +333,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                     elif base32_sha1(payload) != declared:
                         raise ValueError(f"payload of {headers['warc-record-id']} is not what its digest says")
                     owner = http_field(head, PAGE_HEADER)
-                    rows.append((int(owner) if owner else None, headers["warc-record-id"], kind, headers["warc-target-uri"], headers["warc-date"], headers.get("warc-refers-to"), size, declared, payload if with_payload else None))
+                    rows.append((_number(owner), headers["warc-record-id"], kind, headers["warc-target-uri"], headers["warc-date"], headers.get("warc-refers-to"), size, declared, payload if with_payload else None))
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
