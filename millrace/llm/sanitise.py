@@ -42,6 +42,8 @@ PATTERNS = {
 }
 # Texts without these have none of the kind.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
+# Matches or spans that are put together at once.
+STEP = 128
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 _FOUND = "array<struct<start:int,end:int,value:string>>"
@@ -49,7 +51,11 @@ SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as (start, end, value), in code points."""
+    """Leftmost non-overlapping matches as (start, end, value), in code points.
+
+    Matches are placed within blocks of ``STEP`` and the blocks then moved, so
+    the work grows with the number of matches and not with its square.
+    """
 
     def placed(pieces: Column, matches: Column) -> Column:
         def add(state: Column, i: Column) -> Column:
@@ -59,8 +65,21 @@ def located(text: Column, pattern: str) -> Column:
             found = F.struct(start.alias("start"), end.alias("end"), match.alias("value"))
             return F.struct(end.alias("at"), F.concat(state["found"], F.array(found)).cast(_FOUND).alias("found"))
 
-        nothing = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("found"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), nothing, add, lambda state: state["found"])
+        def block(b: Column) -> Column:
+            nothing = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("found"))
+            return F.aggregate(F.sequence(b * STEP, F.least(F.size(matches), (b + 1) * STEP) - 1), nothing, add)
+
+        def moved(blocks: Column) -> Column:
+            def pushed(found: Column, by: Column) -> Column:
+                return F.transform(found, lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["value"].alias("value")))
+
+            begins = F.aggregate(
+                blocks, F.array(F.lit(0)).cast("array<int>"), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x["at"])).cast("array<int>")
+            )
+            return let(begins, lambda begin: F.flatten(F.transform(blocks, lambda x, b: pushed(x["found"], F.get(begin, b)))))
+
+        several = let(F.transform(F.sequence(F.lit(0), ((F.size(matches) - 1) / STEP).cast("int")), block), moved)
+        return F.when(F.size(matches) <= STEP, block(F.lit(0))["found"]).otherwise(several).cast(_FOUND)
 
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(
@@ -109,30 +128,32 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def _mentions(scanned: DataFrame) -> DataFrame:
-    """Rows (row, line, line_hash, entity, term, start, end): terms that share a line with an entity, outside of spans."""
-
-    def bounds(span: Column) -> Column:
-        before = F.substring_index(F.substring(F.col("text"), F.lit(1), span["start"]), "\n", -1)
-        after = F.substring_index(F.substring(F.col("text"), span["end"] + 1, F.length("text")), "\n", 1)
-        return F.struct((span["start"] - F.length(before)).alias("start"), (span["end"] + F.length(after)).alias("end"))
+def _mentions(scanned: DataFrame, min_contexts: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, line, line_hash, entity, term), terms that share a line with an entity, and (row, line, term, start, end), where they stand.
 
-    spread = scanned.where(F.size("spans") > 0).select("row", "text", "spans", F.explode(F.array_distinct(F.transform("spans", bounds))).alias("held"))
-    lines = spread.select(
-        "row", F.col("held.start").alias("line"),
-        F.substring(F.col("text"), F.col("held.start") + 1, F.col("held.end") - F.col("held.start")).alias("words"),
-        F.filter("spans", lambda s: (s["start"] >= F.col("held.start")) & (s["start"] < F.col("held.end"))).alias("spans"),
-    )
-    # The terms of a line are found once, whatever number of entities it has.
-    terms = lines.select(
-        "row", "line", F.xxhash64("words").alias("line_hash"), "spans",
-        F.array_distinct(F.transform("spans", _entity)).alias("entities"), F.explode(located(F.col("words"), TERM)).alias("t"),
-    ).select(
-        "row", "line", "line_hash", "spans", "entities", F.lower("t.value").alias("term"),
-        (F.col("line") + F.col("t.start")).alias("start"), (F.col("line") + F.col("t.end")).alias("end"),
+    Entities with fewer than ``min_contexts`` different lines have no pair that
+    counts and are left out before terms are sought.
+    """
+    # No span crosses a line, so the spans of a line are found in the line alone.
+    lines = scanned.where(F.size("spans") > 0).select("row", F.explode(located(F.col("text"), r"[^\n]+")).alias("held"))
+    lines = lines.where(F.rlike("held.value", F.lit("|".join(HINTS.values()))))
+    lines = lines.select("row", F.col("held.start").alias("line"), F.col("held.value").alias("words"), entity_spans(F.col("held.value")).alias("spans"))
+    lines = lines.where(F.size("spans") > 0).withColumn("line_hash", F.xxhash64("words"))
+    lines = settle(lines.withColumn("entities", F.array_distinct(F.transform("spans", _entity))), "entity-lines")
+    each = lines.select("row", "line", "line_hash", F.explode("entities").alias("entity"))
+    known = settle(each.groupBy("entity").agg(F.countDistinct("line_hash").alias("n")).where(F.col("n") >= min_contexts).select("entity"), "known-entities")
+    # One item for each entity of a line.
+    kept = each.join(known, "entity").groupBy("row", "line").agg(F.collect_list("entity").alias("entities"))
+    # The terms of a line are found once, whatever number of entities it has, and paired once, however often they stand there.
+    terms = lines.drop("entities").join(kept.select("row", "line"), ["row", "line"]).select("row", "line", "spans", F.explode(located(F.col("words"), TERM)).alias("t"))
+    outside = terms.where(~F.exists("spans", lambda s: (s["start"] < F.col("t.end")) & (F.col("t.start") < s["end"])))
+    places = settle(
+        outside.select("row", "line", F.lower("t.value").alias("term"), (F.col("line") + F.col("t.start")).alias("start"), (F.col("line") + F.col("t.end")).alias("end")),
+        "term-places",
     )
-    outside = terms.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
-    return outside.select("row", "line", "line_hash", F.explode("entities").alias("entity"), "term", "start", "end")
+    owners = lines.select("row", "line", "line_hash").join(kept, ["row", "line"])
+    pairs = places.select("row", "line", "term").distinct().join(owners, ["row", "line"])
+    return settle(pairs.select("row", "line", "line_hash", F.explode("entities").alias("entity"), "term"), "mentions"), places
 
 
 def corpus_lines(docs: DataFrame, text: str) -> DataFrame:
@@ -171,13 +192,14 @@ def find_spans(docs: DataFrame, text: str = "text", generalise_at: float = GENER
     marked = docs.select(F.monotonically_increasing_id().alias(row), *[F.col(f"`{c}`") for c in kept], entity_spans(F.coalesce(F.col(text), F.lit(""))).alias(spans))
     marked = settle(marked, "entity-spans")
     scanned = marked.select(F.col(row).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(spans).alias("spans"))
-    mentions = settle(_mentions(scanned), "mentions")
+    mentions, places = _mentions(scanned, min_contexts)
     disclosing = disclosing_terms(marked, text, mentions, min_contexts, generalise_at)
     action = F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise")
     # Several entities of a line may ask for one term; "remove" is the larger word and wins.
     terms = (
         mentions.join(disclosing, ["term", "entity"])
-        .groupBy("row", "start", "end").agg(F.max(action).alias("value"))
+        .groupBy("row", "line", "term").agg(F.max(action).alias("value"))
+        .join(places, ["row", "line", "term"])
         .groupBy("row").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.lit("term").alias("kind"), F.col("value"))).cast(SPANS).alias(added))
         .withColumnRenamed("row", row).withColumnRenamed(added, fresh_name(marked.schema, added))
     )
@@ -187,8 +209,7 @@ def find_spans(docs: DataFrame, text: str = "text", generalise_at: float = GENER
     return joined.select(*[F.col(f"`{c}`") for c in kept], every.alias(spans))
 
 
-def _stand_in(span: Column, whole: Column) -> Column:
-    value = F.substring(whole, span["start"] + 1, span["end"] - span["start"])
+def _stand_in(span: Column, value: Column) -> Column:
     term_class = F.when(F.rlike(value, F.lit("^[0-9]+$")), "[NUMBER]").when(F.rlike(value, F.lit(r"^\p{Lu}")), "[NAME]").otherwise("[TERM]")
     label = F.when(span["value"] == "remove", "").otherwise(term_class)
     for kind in KINDS:
@@ -197,16 +218,40 @@ def _stand_in(span: Column, whole: Column) -> Column:
 
 
 def sanitised_text(text: Column, spans: Column) -> Column:
-    """The text with every span replaced; spans that overlap are replaced as one, by the first's stand-in."""
+    """The text with every span replaced; spans that overlap are replaced as one, by the first's stand-in.
+
+    Spans are taken in blocks of ``STEP``, each with its own stretch of the text.
+    """
+
+    def block(b: Column, ends: Column) -> Column:
+        own = F.slice(spans, b * STEP + 1, STEP)
+
+        def within(bounds: Column) -> Column:
+            def cut(stretch: Column) -> Column:
+                def part(start: Column, end: Column) -> Column:
+                    return F.substring(stretch, start - bounds["low"] + 1, end - start)
+
+                def add(state: Column, span: Column) -> Column:
+                    fresh = span["start"] >= state["at"]
+                    both = F.array(part(state["at"], span["start"]), _stand_in(span, part(span["start"], span["end"])))
+                    parts = F.when(fresh, F.concat(state["parts"], both)).otherwise(state["parts"]).cast("array<string>")
+                    return F.struct(F.greatest(state["at"], span["end"]).alias("at"), parts.alias("parts"))
+
+                nothing = F.struct(bounds["low"].alias("at"), F.array().cast("array<string>").alias("parts"))
+                return F.aggregate(own, nothing, add, lambda s: F.array_join(s["parts"], ""))
+
+            return let(F.substring(text, bounds["low"] + 1, bounds["high"] - bounds["low"]), cut)
+
+        low = F.coalesce(F.array_max(F.slice(ends, F.lit(1), b)), F.lit(0))
+        return let(F.struct(low.alias("low"), F.greatest(low, F.get(ends, b)).alias("high")), within)
 
-    def add(state: Column, span: Column) -> Column:
-        fresh = span["start"] >= state["at"]
-        parts = F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, span["start"] - state["at"]), _stand_in(span, text)))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(fresh, parts).otherwise(state["parts"]).cast("array<string>").alias("parts"))
+    def whole(ends: Column) -> Column:
+        blocks = F.transform(ends, lambda _, b: block(b, ends))
+        return F.concat(F.array_join(blocks, ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
 
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    cut = F.aggregate(spans, nothing, add, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, cut).otherwise(text)
+    numbers = F.sequence(F.lit(0), ((F.size(spans) - 1) / STEP).cast("int"))
+    ends = F.transform(numbers, lambda b: F.array_max(F.transform(F.slice(spans, b * STEP + 1, STEP), lambda s: s["end"])))
+    return F.when(F.size(spans) > 0, let(ends, whole)).otherwise(text)
 
 
 def sanitise(docs: DataFrame, text: str = "text", **thresholds) -> DataFrame:

@@ -120,3 +120,26 @@ def test_clashing_columns_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "me@x.org", 7, 8, 9)], "doc_id long, text string, row int, term_spans int, pii_spans int")
     assert sanitise.sanitise(docs).collect() == [(1, "[EMAIL]", 7, 8, 9)]
     assert sanitise.sanitise(docs.where(F.lit(False))).collect() == []
+
+
+@pytest.mark.parametrize("step", [1, 3, 128])
+def test_lines_of_many_blocks_of_matches(spark, monkeypatch, step):
+    """Spans and texts do not depend on how many matches are put together at once."""
+    monkeypatch.setattr(sanitise, "STEP", step)
+    words = [f"w{i % 40}" if i % 9 else f"é{i}@m{i % 5}.org" if i % 2 else "+4111111111111111" for i in range(400)]
+    texts = [" ".join(words), "x " + " ".join(words) + "\nlast w1", "\n\na@b.cd", "+4111111111111111 x@1.2.3.4 y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in sanitise.private_report(docs).collect():
+        assert [s for s in row.spans.split(",") if not s.startswith("term")] == [f"{k}:{a}:{b}" for a, _, b, k in entities(texts[row.doc_id])]
+    found = {r.doc_id: r.pii_spans for r in sanitise.find_spans(docs, generalise_at=0.3, remove_at=0.6).collect()}
+    out = {r.doc_id: r.text for r in sanitise.sanitise(docs, generalise_at=0.3, remove_at=0.6).collect()}
+    for d, text in enumerate(texts):
+        at, parts = 0, []
+        for s in found[d]:
+            if s.start >= at:
+                value = text[s.start : s.end]
+                word = "[NUMBER]" if re.fullmatch("[0-9]+", value) else "[NAME]" if value[0].isupper() else "[TERM]"
+                label = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}.get(s.kind, "" if s.value == "remove" else word)
+                parts += [text[at : s.start], label]
+            at = max(at, s.end)
+        assert out[d] == "".join(parts) + text[at:]
