@@ -33,7 +33,8 @@ def number_segments(
     prior_label = F.coalesce(F.lag(label).over(inside), F.col("_tail.label"))
     breaks = prior_ms.isNotNull() & ((prior_label != F.col(label)) | (F.col("_ms") - prior_ms > gap_ms))
     flagged = joined.withColumn("_break", F.when(breaks, 1).otherwise(0)).drop("_tail")
-    running = F.sum("_break").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    # Rows of equal time and label take one number, whichever of them comes first and holds the break.
+    running = F.sum("_break").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     local = flagged.withColumn("_in", running)
     offsets = earlier_blocks(flagged, source, "_block", {"_before": F.sum("_break")})
     numbered = local.join(offsets, [*source, "_block"]).withColumn(

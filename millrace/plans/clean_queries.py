@@ -193,7 +193,7 @@ GAP_DAYS = 60
 SEGMENTS = f"""history AS (SELECT o_custkey AS source, epoch_us(o_orderdate) AS us, (o_orderstatus = 'F')::INTEGER AS label FROM orders WHERE o_orderstatus <> 'P'),
 flagged AS (SELECT *, CASE WHEN lag(us) OVER w IS NOT NULL AND (lag(label) OVER w <> label
     OR us // 1000 - lag(us) OVER w // 1000 > {GAP_DAYS * 86_400_000}) THEN 1 ELSE 0 END AS brk FROM history WINDOW w AS (PARTITION BY source ORDER BY us, label)),
-numbered AS (SELECT *, sum(brk) OVER (PARTITION BY source ORDER BY us, label ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM flagged)"""
+numbered AS (SELECT *, sum(brk) OVER (PARTITION BY source ORDER BY us, label RANGE UNBOUNDED PRECEDING)::BIGINT AS segment FROM flagged)"""
 
 
 def segmented(spark, sf):
