@@ -7,6 +7,7 @@ its end. The result has the rows and columns of ``window_features(tail="complete
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -23,8 +24,9 @@ from millrace.sources.telemetry import OBSERVATION_KEY
 from millrace.streaming.silence import enable_state_store
 
 GOOD, UNCERTAIN, BAD, OTHER = range(4)
-CELL_KEY = "pane bigint, channel string, signal_class string, tag_id string"
-CELL = "good bigint, uncertain bigint, bad bigint, other bigint, opened bigint, interval_ms double, times binary, readings binary"
+# Bytes of readings after which a pack of cells ends, and packs of an asset that become one.
+PACK_BYTES = 16_000_000
+PACKS = 16
 ASSET = "low bigint, high bigint, closed bigint, asset_class string, operating_regime string"
 # A context that had more than one value so far.
 _SEVERAL = "\0several"
@@ -48,15 +50,11 @@ class Cell:
         self.counts, self.opened, self.interval, self.times, self.readings = counts, opened, interval, times, readings
 
     @classmethod
-    def of(cls, rows: pd.DataFrame) -> Cell:
-        us = rows["us"].to_numpy(np.int64)
+    def of(cls, us: np.ndarray, u: np.ndarray, kind: np.ndarray, interval: np.ndarray) -> Cell:
+        """The cell of these rows; NaN where there is no usable value or no interval."""
         first = int(us.argmin())
-        usable = rows["u"].notna().to_numpy()
-        interval = rows["interval_ms"].iloc[first]
-        return cls(
-            np.bincount(rows["kind"].to_numpy(np.int64), minlength=4), int(us[first]), None if pd.isna(interval) else float(interval),
-            us[usable], rows["u"].to_numpy(np.float64)[usable],
-        )
+        usable = ~np.isnan(u)
+        return cls(np.bincount(kind, minlength=4), int(us[first]), None if np.isnan(interval[first]) else float(interval[first]), us[usable], u[usable])
 
     @classmethod
     def stored(cls, value: tuple) -> Cell:
@@ -66,11 +64,14 @@ class Cell:
     def row(self) -> tuple:
         return (*map(int, self.counts), self.opened, self.interval, self.times.tobytes(), self.readings.tobytes())
 
-    def merged(self, other: Cell) -> Cell:
-        early = self if self.opened <= other.opened else other
+    def merged(self, *others: Cell) -> Cell:
+        if not others:
+            return self
+        cells = (self, *others)
+        early = min(cells, key=lambda cell: cell.opened)
         return Cell(
-            self.counts + other.counts, early.opened, early.interval,
-            np.concatenate([self.times, other.times]), np.concatenate([self.readings, other.readings]),
+            sum(cell.counts for cell in cells), early.opened, early.interval,
+            np.concatenate([cell.times for cell in cells]), np.concatenate([cell.readings for cell in cells]),
         )
 
 
@@ -79,6 +80,12 @@ def silent_statistics(plan: WindowPlan, default_ms: float | None) -> dict[str, f
     return {**dict.fromkeys(STATISTICS, 0.0), "bad_ratio": 1.0, "missing": 1.0, "expected_sample_count": expected}
 
 
+def middle(ordered: np.ndarray) -> float:
+    """The median of sorted values."""
+    n = len(ordered)
+    return float((ordered[(n - 1) // 2] + ordered[n // 2]) / 2.0)
+
+
 def channel_statistics(cells: list[tuple[tuple, Cell]], plan: WindowPlan, has_interval: bool, default_ms: float | None) -> dict[str, float]:
     """The statistics of a channel from its cells in a window, each with (signal class, tag) for equal times."""
     counts = sum(cell.counts for _, cell in cells)
@@ -99,16 +106,20 @@ def channel_statistics(cells: list[tuple[tuple, Cell]], plan: WindowPlan, has_in
     opens = min(used, key=lambda item: (int(item[1].times.min()), *item[0]))[1]
     ends = max(used, key=lambda item: (int(item[1].times.max()), *item[0]))[1]
     first, last = float(opens.readings[opens.times.argmin()]), float(ends.readings[ends.times.argmax()])
-    median = float(np.median(u))
+    if len(u) == 1:
+        return out | dict.fromkeys(("mean", "median", "min", "max", "last"), last)
+    ordered = np.sort(u)
+    median, mean = middle(ordered), np.add.reduce(u) / len(u)
+    apart = u - mean
     out |= {
-        "mean": float(u.mean()), "median": median, "min": float(u.min()), "max": float(u.max()), "range": float(u.max() - u.min()),
-        "std": float(u.std()), "mad": float(np.median(np.abs(u - median))), "last": last, "delta": last - first,
+        "mean": float(mean), "median": median, "min": float(ordered[0]), "max": float(ordered[-1]), "range": float(ordered[-1] - ordered[0]),
+        "std": float(np.sqrt(np.add.reduce(apart * apart) / len(u))), "mad": middle(np.sort(np.abs(u - median))), "last": last, "delta": last - first,
     }
     # Times from the earliest one: epoch microseconds would lose digits in the squares.
     t = (us - us.min()) / float(SECOND_US)
-    dt = t - t.mean()
-    if len(u) > 1 and t.max() > 0:
-        out["slope"] = float(dt @ (u - u.mean()) / (dt @ dt))
+    dt = t - np.add.reduce(t) / len(t)
+    if t.max() > 0:
+        out["slope"] = float(dt @ apart / (dt @ dt))
     return out
 
 
@@ -121,13 +132,14 @@ class WindowProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.asset = handle.getValueState("asset", ASSET)
-        self.cells = handle.getMapState("cells", CELL_KEY, CELL)
-        self.labels = handle.getMapState("labels", "pane bigint, name string, value string", "rows bigint")
+        # Every call on the state is a message, so cells and labels travel in packs: new ones are appended, and merge when read.
+        self.packs = handle.getListState("packs", "data binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         low, high, closed, *contexts = self.asset.get() if self.asset.exists() else (None, None, None, None, None)
-        stored, labels = self._stored()
-        changed, added = set(), set()
+        stored, labels, packs = self._stored()
+        fresh: dict[tuple, Cell] = {}
+        added = set()
         for pdf in rows:
             foreign = sorted(set(pdf["channel"]) - set(self.channels))
             if foreign:
@@ -135,12 +147,17 @@ class WindowProcessor(StatefulProcessor):
             us = pdf["us"].to_numpy(np.int64)
             low = int(us.min()) if low is None else min(low, int(us.min()))
             high = int(us.max()) if high is None else max(high, int(us.max()))
-            pdf = pdf.assign(pane=us // self.plan.pane_us)
-            for tag, part in pdf.groupby(["pane", "channel", "signal_class", "tag_id"], sort=False, dropna=False):
-                place = (int(tag[0]), *(None if pd.isna(t) else str(t) for t in tag[1:]))
-                cell = Cell.of(part)
-                stored[place] = stored[place].merged(cell) if place in stored else cell
-                changed.add(place)
+            panes = us // self.plan.pane_us
+            u, interval = (pdf[c].to_numpy(np.float64, na_value=np.nan) for c in ("u", "interval_ms"))
+            kind = pdf["kind"].to_numpy(np.int64)
+            tags = ([None if pd.isna(t) else str(t) for t in pdf[c]] for c in ("channel", "signal_class", "tag_id"))
+            places: dict[tuple, list[int]] = {}
+            for i, place in enumerate(zip(panes.tolist(), *tags, strict=True)):
+                places.setdefault(place, []).append(i)
+            for place, at in places.items():
+                cell = Cell.of(us[at], u[at], kind[at], interval[at])
+                fresh[place] = fresh[place].merged(cell) if place in fresh else cell
+            pdf = pdf.assign(pane=panes)
             for i, name in enumerate(CONTEXTS):
                 if name in self.columns:
                     for value in pdf[name].dropna().unique():
@@ -148,15 +165,37 @@ class WindowProcessor(StatefulProcessor):
             for name in {*CONTEXTS, "is_anomaly"} & self.columns:
                 known = pdf[["pane", name]].dropna().drop_duplicates()
                 added |= {(int(pane), name, str(value)) for pane, value in zip(known["pane"], known[name], strict=True)} - labels
-        yield from self._close(key, low, high, closed, contexts, timerValues, stored, labels, changed, added)
+        yield from self._close(key, low, high, closed, contexts, timerValues, stored, labels, packs, fresh, added)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         low, high, closed, *contexts = self.asset.get()
-        yield from self._close(key, low, high, closed, contexts, timerValues, *self._stored(), set(), set())
-
-    def _stored(self) -> tuple[dict[tuple, Cell], set[tuple]]:
-        """Cells and labels of the asset's open panes."""
-        return {tuple(place): Cell.stored(value) for place, value in self.cells.iterator()}, {tuple(place) for place, _ in self.labels.iterator()}
+        yield from self._close(key, low, high, closed, contexts, timerValues, *self._stored(), {}, set())
+
+    def _stored(self) -> tuple[dict[tuple, Cell], set[tuple], int]:
+        """Cells and labels of the asset's open panes, and the packs that hold them."""
+        parts: dict[tuple, list[Cell]] = {}
+        labels: set[tuple] = set()
+        packs = 0
+        if self.packs.exists():
+            for (data,) in self.packs.get():
+                cells, named = pickle.loads(data)
+                for place, value in cells:
+                    parts.setdefault(place, []).append(Cell.stored(value))
+                labels.update(named)
+                packs += 1
+        return {place: Cell.merged(*cells) for place, cells in parts.items()}, labels, packs
+
+    @staticmethod
+    def _packed(cells: Mapping[tuple, Cell], labels: set[tuple]) -> list[tuple]:
+        """Packs of about ``PACK_BYTES``, at least one cell each; the labels go with the first."""
+        groups, size = [[]], 0
+        for place, cell in cells.items():
+            if size > PACK_BYTES:
+                groups.append([])
+                size = 0
+            groups[-1].append((place, cell.row()))
+            size += 16 * len(cell.times)
+        return [(pickle.dumps((group, () if k else tuple(labels)), 5),) for k, group in enumerate(groups)]
 
     def _windows(self, pane: int) -> range:
         """Starts of the windows that hold a pane."""
@@ -164,12 +203,13 @@ class WindowProcessor(StatefulProcessor):
         first = -((plan.size_us - (pane + 1) * plan.pane_us) // plan.stride_us)
         return range(first * plan.stride_us, pane * plan.pane_us + 1, plan.stride_us)
 
-    def _close(self, key, low: int, high: int, closed: int | None, contexts: list, timerValues, stored: dict[tuple, Cell], labels: set[tuple], changed: set[tuple], added: set[tuple]) -> Iterator[pd.DataFrame]:
-        """Give out what is due, then write cells that changed and stay, and remove those that nothing needs."""
+    def _close(self, key, low: int, high: int, closed: int | None, contexts: list, timerValues, stored: dict[tuple, Cell], labels: set[tuple], packs: int, fresh: dict[tuple, Cell], added: set[tuple]) -> Iterator[pd.DataFrame]:
+        """Give out what is due, then append new cells, or write what stays where some leave."""
         plan = self.plan
         bound = min(high, timerValues.getCurrentWatermarkInMs() * 1000) - plan.size_us
         earliest = low // plan.stride_us * plan.stride_us if closed is None else closed + 1
-        before, known = stored.keys() - changed, set(labels)
+        for place, cell in fresh.items():
+            stored[place] = stored[place].merged(cell) if place in stored else cell
         labels = labels | added
         panes: dict[int, list] = {}
         for place in stored:
@@ -181,23 +221,15 @@ class WindowProcessor(StatefulProcessor):
         if bound >= earliest:
             closed = bound if closed is None else max(closed, bound)
         over = {p for p in {place[0] for place in (*stored, *labels)} if closed is not None and (not len(self._windows(p)) or self._windows(p)[-1] <= closed)}
-        staying = [place for place in stored if place[0] not in over]
-        # Every call on the state is a message, so many cells leave together.
-        anew = 2 * len(staying) < len(stored)
-        if anew:
-            self.cells.clear()
-        for place, cell in stored.items():
-            if place[0] not in over:
-                if anew or place in changed:
-                    self.cells.updateValue(place, cell.row())
-            elif not anew and (place in before or self.cells.containsKey(place)):
-                self.cells.removeKey(place)
-        for place in labels:
-            if place[0] not in over:
-                if place in added:
-                    self.labels.updateValue(place, (1,))
-            elif place in known:
-                self.labels.removeKey(place)
+        if over or packs > PACKS:
+            staying = {place: cell for place, cell in stored.items() if place[0] not in over}
+            named = {label for label in labels if label[0] not in over}
+            if staying or named:
+                self.packs.put(self._packed(staying, named))
+            elif packs:
+                self.packs.clear()
+        elif fresh or added:
+            self.packs.appendList(self._packed(fresh, added))
         self.asset.update((low, high, closed, *contexts))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
