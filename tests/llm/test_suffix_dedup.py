@@ -93,3 +93,30 @@ def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op7_repeated_passages"](spark, DATA).collect()]
     assert sorted(got, key=str) == brute(rows)
+
+
+def test_only_different_texts_of_an_anchor_travel_as_bytes():
+    """A passage in very many blocks is settled by digests; of different texts around one anchor, each is asked for once."""
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    blocks = []
+    for k in range(100):
+        before, after = ("".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(2))
+        blocks.append(sd.Block([2 * k, 2 * k + 1], [before + passage + after, passage], sd.WINDOW, sd.GRAM))
+    found = [sd.Stretches(b, {0: np.ones(len(b.anchors()[0]), np.uint8).tobytes()}, 1) for b in blocks]
+    judged = sd.judge(np.concatenate([f.anchor for f in found]), np.concatenate([f.digest for f in found]), [o for f in found for o in f.owner], 1000)
+    judged = np.split(judged, np.cumsum([len(f.anchor) for f in found])[:-1])
+    # All stretches inside the passage are alike, and the smallest id is that of the first block.
+    inside = [set(f.anchor[j == sd.REPEATED].tolist()) for f, j in zip(found, judged, strict=True)]
+    assert not inside[0] and min(len(i) for i in inside[1:]) > 10
+    asked = [sum(sd.Stretches.asked(f, j, 1)[2].tolist()) for f, j in zip(found, judged, strict=True)]
+    assert sum(asked) < 100 * 150 < 100 * len(passage)
+
+
+def test_stretches_of_equal_bytes_have_equal_digests():
+    rng = random.Random(6)
+    text = "".join(rng.choice("ab") for _ in range(700))
+    block = sd.Block([1, 2], [text, "b" * 61 + text], sd.WINDOW, sd.GRAM, chunk=100)
+    digests = block.digests(block.first, block.count).tolist()
+    bodies = [block.data[a : a + n + 49] for a, n in zip(block.first.tolist(), block.count.tolist(), strict=True)]
+    assert len(set(bodies)) == len(set(digests)) == len(set(zip(bodies, digests, strict=True))) < len(bodies)
