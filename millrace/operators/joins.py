@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Whole rows of two relations that a task compares.
+TASK_ROWS = 200_000
+
 
 def restrict(df: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is on the grid."""
@@ -51,8 +55,14 @@ def same_rows(left: DataFrame, right: DataFrame, columns: Sequence[str] | None =
     return unmatched_rows(left, right, columns).limit(1).isEmpty()
 
 
-def unmatched_rows(left: DataFrame, right: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows of one side without a partner on the other. One grouping serves both directions."""
+def unmatched_rows(left: DataFrame, right: DataFrame, columns: Sequence[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Rows of one side without a partner on the other. One grouping serves both directions.
+
+    ``rows`` bounds the rows of a side where that is known. They are then dealt
+    out ``TASK_ROWS`` to a task; else a task groups what its partition holds.
+    """
     names = list(columns or left.columns)
     tagged = left.select(*names, F.lit(1).alias("_side")).unionByName(right.select(*names, F.lit(-1).alias("_side")))
+    if rows is not None:
+        tagged = tagged.repartition(max(1, math.ceil(2 * rows / TASK_ROWS)), *names)
     return tagged.groupBy(*names).agg(F.sum("_side").alias("surplus")).filter(F.col("surplus") != 0)

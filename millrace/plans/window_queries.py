@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.channels import STATISTICS, channel_of, check_feature_schema, chosen_statistics, feature_names
 from millrace.operators.context import context_vocabulary, encode_contexts, vocabulary_lists
-from millrace.operators.features import long, order_statistics, pane_cells, readings, wide, window_features
+from millrace.operators.features import SORTED_CELLS, long, order_statistics, pane_cells, readings, wide, window_features
 from millrace.operators.joins import unmatched_rows
 from millrace.operators.windows import WindowPlan, window_membership
 from millrace.functions.hashing import short_sha1
@@ -278,9 +278,13 @@ def tail_equality(spark, sf):
     plain = unlabelled(spark, sf)
     families = {"statistical": False, "slopes": False}
     generated = long(window_features(plain, COMPLETE, CHANNELS, DEFAULTS, families))
+    observations = plain.count()
     bounds = plain.groupBy("run_id", "asset_id").agg(F.max("us").alias("_high"))
+    if observations > SORTED_CELLS:
+        bounds = bounds.hint("shuffle_hash")
     legacy = long(window_features(plain, DAILY, CHANNELS, DEFAULTS, families))
     filtered = legacy.join(bounds, ["run_id", "asset_id"]).filter(F.col("window_end") <= F.col("_high")).drop("_high")
-    different = unmatched_rows(generated, filtered).agg(F.count("*").alias("unmatched"))
+    # A daily window that is emitted holds an observation, and has a row for each channel.
+    different = unmatched_rows(generated, filtered, rows=len(CHANNELS) * observations).agg(F.count("*").alias("unmatched"))
     counted = generated.filter(F.col("channel") == CHANNELS[0]).agg(F.count("*").alias("complete_windows"))
     return counted.withColumn("_row", F.lit(0)).join(different.withColumn("_row", F.lit(0)), "_row").drop("_row")
