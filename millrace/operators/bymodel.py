@@ -7,11 +7,15 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from millrace.functions.keys import key_places
 from millrace.session import settle
 
 # Fitted state up to this many array entries (8 bytes each) is sent to every executor.
@@ -77,6 +81,22 @@ def _stacked(vectors: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=float) for v in vectors]) if len(vectors) else np.empty((0, 0))
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one width as a matrix; missing entries are NaN."""
+    widths = vectors.value_lengths()
+    if vectors.null_count or pc.min(widths) != pc.max(widths):
+        raise ValueError("The vectors of a key must have one width")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(vectors), widths[0].as_py())
+
+
+def _column(result: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """One item per row: numbers, or the rows of a matrix as arrays."""
+    if result.ndim == 1:
+        return pa.array(result, kind)
+    ends = np.arange(len(result) + 1, dtype=np.int32) * np.int32(result.shape[1])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(result.ravel())).cast(kind)
+
+
 def apply_models(
     rows: DataFrame,
     models: DataFrame,
@@ -104,14 +124,21 @@ def apply_models(
 
         shared = once(models, f"prepared-{output}", send)
 
-        @F.pandas_udf(kind)
-        def run(keys: pd.Series, vectors: pd.Series) -> pd.Series:
-            out: list = [None] * len(keys)
-            for value, index in keys.groupby(keys, sort=False, dropna=False).indices.items():
-                result = compute(shared.value[_plain(value)], _stacked(vectors.iloc[index]))
-                for place, item in zip(index, result):
-                    out[place] = item
-            return pd.Series(out)
+        arrow_kind = to_arrow_type(T._parse_datatype_string(kind))
+
+        @F.arrow_udf(kind)
+        def run(keys: pa.Array, vectors: pa.Array) -> pa.Array:
+            found, order = [], []
+            for (value,), places in key_places([keys], len(keys)):
+                whole = len(places) == len(keys)
+                x = _matrix(vectors if whole else vectors.take(pa.array(places)))
+                found.append(_column(compute(shared.value[_plain(value)], x), arrow_kind))
+                order.append(places)
+            if len(found) < 2:
+                return found[0] if found else pa.array([], arrow_kind)
+            back = np.empty(len(keys), dtype=np.int64)
+            back[np.concatenate(order)] = np.arange(len(keys))
+            return pa.concat_arrays(found).take(pa.array(back))
 
         return rows.withColumn(output, run(F.col(key), F.col(vector)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,23 +30,22 @@ def shares(errors: Column) -> Column:
     )
 
 
-def _entries(channels: Column, statistics: list[str], share: Column, vector: Column) -> Column:
-    """Layout of a vector as structs (channel, statistic, share, value); entries beyond the channels are context."""
+def _entries(channels: Column, statistics: list[str], share: Column) -> Column:
+    """Shares of a vector laid out as structs (channel, statistic, share); entries beyond the channels are context."""
     width = len(statistics)
     stats = F.array(*[F.lit(s) for s in statistics])
 
-    def laid(share: Column, vector: Column) -> Column:
+    def laid(share: Column) -> Column:
         return F.transform(
             F.slice(share, 1, F.size(channels) * F.lit(width)),
             lambda s, i: F.struct(
                 F.get(channels, F.floor(i / F.lit(width)).cast("int")).alias("channel"),
                 F.get(stats, (i % F.lit(width)).cast("int")).alias("statistic"),
                 s.alias("share"),
-                F.get(vector, i).alias("value"),
             ),
         )
 
-    return let(share, lambda bound_share: let(vector, lambda bound_vector: laid(bound_share, bound_vector)))
+    return let(share, laid)
 
 
 def channel_shares(entries: Column, channels: Column) -> Column:
@@ -77,27 +78,40 @@ def _deviation(channel: Column) -> Column:
     return tag
 
 
-def observations(alert: Column, entries: Column, ranked: Column, applicable: Column, regime_unknown: Column, regime: Column) -> Column:
-    """Ordered, distinct observation tags of a window."""
-    applies = lambda e: F.array_contains(applicable, e["channel"])
-    loss = F.exists(entries, lambda e: (e["statistic"] == "missing") & applies(e) & (e["value"] > 0))
-    sparse = F.exists(
-        entries, lambda e: (e["statistic"] == "coverage_ratio") & applies(e) & (e["value"] < MIN_COVERAGE)
-    )
-    quality = F.exists(
-        entries, lambda e: e["statistic"].isin("bad_ratio", "uncertain_ratio") & (e["share"] > 0) & (e["value"] > 0)
-    )
+def _any_channel(channels: Column, statistics: list[str], statistic: str, test: Callable[[Column, Column], Column]) -> Column:
+    """Whether ``test`` holds for a channel and the place of its statistic in the vector; places are few, entries are many."""
+    if statistic not in statistics:
+        return F.lit(False)
+    at = F.lit(statistics.index(statistic))
+    return F.exists(F.transform(channels, lambda c, i: test(c, i * F.lit(len(statistics)) + at)), lambda found: found)
+
+
+def observations(
+    alert: Column, channels: Column, statistics: list[str], share: Column, vector: Column, applicable: Column, regime_unknown: Column, regime: Column
+) -> Column:
+    """Ordered, distinct observation tags of a window. Shares are laid out and ranked for alerts only."""
+    loss = _any_channel(channels, statistics, "missing", lambda c, at: F.array_contains(applicable, c) & (F.get(vector, at) > 0))
+    sparse = _any_channel(channels, statistics, "coverage_ratio", lambda c, at: F.array_contains(applicable, c) & (F.get(vector, at) < MIN_COVERAGE))
     always = F.array(
         F.when(regime_unknown & regime.isNotNull(), F.lit("regime_mismatch")),
         F.when(loss, F.lit("signal_loss")),
         F.when(sparse, F.lit("sampling_degradation")),
     )
-    top = F.transform(F.slice(ranked, 1, TOP_CHANNELS), lambda r: _deviation(r["channel"]))
-    on_alert = F.when(alert, F.concat(F.array(F.when(quality, F.lit("quality_degradation"))), top)).otherwise(
-        F.array().cast("array<string>")
+
+    def of_alert(bound: Column) -> Column:
+        poor = [
+            _any_channel(channels, statistics, s, lambda c, at: (F.get(bound, at) > 0) & (F.get(vector, at) > 0))
+            for s in ("bad_ratio", "uncertain_ratio")
+        ]
+        ranked = let(_entries(channels, statistics, bound), lambda entries: channel_shares(entries, channels))
+        top = F.transform(F.slice(ranked, 1, TOP_CHANNELS), lambda r: _deviation(r["channel"]))
+        return F.concat(F.array(F.when(poor[0] | poor[1], F.lit("quality_degradation"))), top)
+
+    on_alert = F.when(alert, let(share, of_alert)).otherwise(F.array().cast("array<string>"))
+    return let(
+        F.array_distinct(F.array_compact(F.concat(always, on_alert))),
+        lambda found: F.when(alert & (F.size(found) == 0), F.array(F.lit("multivariate_novelty"))).otherwise(found),
     )
-    found = F.array_distinct(F.array_compact(F.concat(always, on_alert)))
-    return F.when(alert & (F.size(found) == 0), F.array(F.lit("multivariate_novelty"))).otherwise(found)
 
 
 def prediction_records(
@@ -125,13 +139,7 @@ def prediction_records(
     regime = F.col("operating_regime") if "operating_regime" in scored.columns else F.lit(None).cast("string")
     unknown = F.col("context_regime_unknown") if "context_regime_unknown" in scored.columns else F.lit(False)
     alert = F.col("irregularity") >= F.lit(float(threshold))
-    found = let(
-        _entries(F.col("channels"), statistics, F.col("_share"), F.col(raw_vector)),
-        lambda entries: let(
-            channel_shares(entries, F.col("channels")),
-            lambda ranked: observations(alert, entries, ranked, F.col("applicable"), unknown, regime),
-        ),
-    )
+    found = observations(alert, F.col("channels"), list(statistics), F.col("_share"), F.col(raw_vector), F.col("applicable"), unknown, regime)
     return rows.select(
         "run_id",
         "asset_id",

@@ -4,7 +4,8 @@ A quantile lies between two order statistics. Each is bracketed by counting:
 
 * tasks keep one histogram per key, entry and order statistic, over bins of
   the bracket, and send only the counts on;
-* the bin that holds the order statistic is the next bracket;
+* the bin that holds the order statistic is the next bracket, cut to the least
+  and largest value found in it, so that equal values close it at once;
 * once few values are left inside the brackets, they alone are sent, with
   their counts, and the order statistic is read off.
 
@@ -29,7 +30,10 @@ from millrace.functions.keys import key_places
 from millrace.operators.ranks import exact_quantiles
 from millrace.session import settle
 
-BINS = 64
+# Bins of a bracket; fewer where there are so many entries that a task would hold more than ``BIN_CELLS`` counts.
+BINS = 128
+LEAST_BINS = 16
+BIN_CELLS = 8_000_000
 STATE_ENTRIES = 2_000_000
 # Values inside all brackets that may be sent on, with their counts.
 SENT_VALUES = 1_000_000
@@ -113,11 +117,12 @@ def _alike(low: np.ndarray, high: np.ndarray) -> list[tuple[int, tuple[int, ...]
 
 
 def _counts(brackets, bins: int, exact: bool):
-    """Per task, counts of the values inside open brackets by bin; a bin is a value itself if ``exact``."""
+    """Per task, counts and bounds of the values inside open brackets by bin; a bin is a value itself if ``exact``."""
+    top, bottom = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = brackets.value
-        held: dict[int, np.ndarray] = {}
+        held: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for key, places in key_places(batch.columns[:-1], batch.num_rows):
                 number, low, high, width = known[key]
@@ -133,24 +138,30 @@ def _counts(brackets, bins: int, exact: bool):
                     if exact:
                         pairs, n = np.unique(np.stack([entry, found]), axis=1, return_counts=True)
                         for each in same:
-                            yield _rows(number, pairs[0], each, pairs[1], n)
+                            yield _rows(number, pairs[0], each, pairs[1], n, pairs[1], pairs[1])
                         continue
                     place = ((found.astype(np.uint64) - lows[column].astype(np.uint64)) // width[r, entry]).astype(np.int64)
-                    counted = held.setdefault((number, same), np.zeros(low.shape[1] * bins, np.int64))
-                    counted += np.bincount(entry * bins + place, minlength=len(counted))
-        for (number, same), counted in held.items():
+                    size = low.shape[1] * bins
+                    if (number, same) not in held:
+                        held[number, same] = np.zeros(size, np.int64), np.full(size, top), np.full(size, bottom)
+                    counted, least, most = held[number, same]
+                    at = entry * bins + place
+                    counted += np.bincount(at, minlength=size)
+                    np.minimum.at(least, at, found)
+                    np.maximum.at(most, at, found)
+        for (number, same), (counted, least, most) in held.items():
             places = np.flatnonzero(counted)
             for each in same:
-                yield _rows(number, places // bins, each, places % bins, counted[places])
+                yield _rows(number, places // bins, each, places % bins, counted[places], least[places], most[places])
 
     return run
 
 
-def _rows(number: int, entry: np.ndarray, r: int, bin_: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _rows(number: int, entry: np.ndarray, r: int, *counted: np.ndarray) -> pa.RecordBatch:
     size = len(entry)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(size, number), pa.int32()), pa.array(entry, pa.int32()), pa.array(np.full(size, r), pa.int32()), pa.array(bin_, pa.int64()), pa.array(n, pa.int64())],
-        names=["key", "position", "r", "bin", "n"],
+        [pa.array(np.full(size, number), pa.int32()), pa.array(entry, pa.int32()), pa.array(np.full(size, r), pa.int32()), *(pa.array(c, pa.int64()) for c in counted)],
+        names=["key", "position", "r", "bin", "n", "low", "high"],
     )
 
 
@@ -168,8 +179,8 @@ def _narrow(source: DataFrame, states: dict[tuple, _State], bins: int, exact: bo
     targets = source.sparkSession.createDataFrame(
         pa.table({n: pa.array(v, t) for n, v, t in zip(("key", "position", "r", "want"), zip(*wanted, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)})
     )
-    counted = source.mapInArrow(_counts(brackets, bins, exact), "key int, position int, r int, bin long, n long")
-    summed = counted.groupBy("key", "position", "r", "bin").agg(F.sum("n").alias("n"))
+    counted = source.mapInArrow(_counts(brackets, bins, exact), "key int, position int, r int, bin long, n long, low long, high long")
+    summed = counted.groupBy("key", "position", "r", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     # A bracket has as many bins as a histogram, or few values.
     upto = F.sum("n").over(Window.partitionBy("key", "position", "r").orderBy("bin"))
     joined = summed.withColumn("upto", upto).join(targets, ["key", "position", "r"])
@@ -180,12 +191,7 @@ def _narrow(source: DataFrame, states: dict[tuple, _State], bins: int, exact: bo
         state, at = states[by_number[row.key]], (row.r, row.position)
         state.below[at] += row.upto - row.n
         state.inside[at] = row.n
-        if exact:
-            state.low[at] = state.high[at] = row.bin
-        else:
-            width = int(widths[by_number[row.key]][at])
-            low = int(state.low[at]) + row.bin * width
-            state.low[at], state.high[at] = low, min(low + width - 1, int(state.high[at]))
+        state.low[at], state.high[at] = row.low, row.high
 
 
 def vector_quantiles(
@@ -212,6 +218,7 @@ def vector_quantiles(
     per_entry = 2 * len(probabilities)
     if merged.count() * per_entry > state_entries:
         return _ranked(source, by, keys, probabilities, names)
+    bins = min(bins, max(LEAST_BINS, BIN_CELLS // max(1, merged.count())))
     states: dict[tuple, _State] = {}
     table = merged.orderBy(*by, "position").toArrow().combine_chunks()
     columns = {c: table.column(c).to_numpy() for c in ("n", "low", "high")}

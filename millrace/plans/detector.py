@@ -29,6 +29,7 @@ from millrace.operators.calibration import (
     score_summary,
 )
 from millrace.operators.channels import (
+    applicable_features,
     channel_intervals,
     chosen_statistics,
     class_channels,
@@ -129,15 +130,23 @@ def build_windows(rows: DataFrame, options: Options, channels=None, intervals=No
 
 
 def vectorise(windows: DataFrame, model: Model) -> DataFrame:
-    """Windows with ``group``, ``vector``, ``names`` and ``channels``."""
+    """Windows with ``group`` and ``vector``, and per-class ``channels``. Names follow in ``named``, so that no table repeats them in every row."""
     statistics = model.options.statistics
     if model.options.family == "contextual":
         out = class_vectors(windows, model.tables["channels"], statistics).withColumn("group", F.col("asset_class"))
     else:
         extra = context_columns(model.vocabulary)
         out = pooled_vectors(windows, model.channels, statistics, extra).withColumn("group", F.lit(POOLED))
-        out = out.withColumn("channels", F.array(*[F.lit(c) for c in model.channels]))
-    return out
+    return out.drop("names")
+
+
+def named(rows: DataFrame, model: Model) -> DataFrame:
+    """Add ``names`` of the vector entries, and ``channels`` if they are the same in every row."""
+    statistics = model.options.statistics
+    if model.options.family == "contextual":
+        return rows.withColumn("names", applicable_features(F.col("channels"), statistics))
+    names = [f"{c}_{s}" for c in model.channels for s in statistics] + context_columns(model.vocabulary)
+    return rows.withColumn("names", F.array(*[F.lit(n) for n in names])).withColumn("channels", F.array(*[F.lit(c) for c in model.channels]))
 
 
 def raw_scores(vectors: DataFrame, model: Model) -> DataFrame:
@@ -218,8 +227,14 @@ def fit_model(train: DataFrame, validation: DataFrame, options: Options) -> Mode
         if "asset_class" not in tr.columns or "is_anomaly" not in va.columns:
             raise ValueError("Contextual fitting needs asset_class and labelled validation windows")
         refuse_unknown_classes(va, model.tables["channels"])
-    train_rows, all_validation = vectorise(tr, model), settle(vectorise(va, model), "validation-vectors")
-    train_rows = settle(train_rows, "train-vectors")
+    described = [*WINDOW_ID, "window_end", "is_anomaly", "event_id", "event_start_us", "group", "vector"]
+
+    def vectors_of(windows: DataFrame, label: str) -> DataFrame:
+        rows = vectorise(windows, model)
+        return settle(rows.select(*[c for c in described if c in rows.columns]), label)
+
+    all_validation = vectors_of(va, "validation-vectors")
+    train_rows = vectors_of(tr, "train-vectors")
     if contextual:
         early = run_bucket("run_id", options.early_stop_modulo)
         held = run_bucket("run_id", options.calibration_modulo)
@@ -246,12 +261,15 @@ def fit_model(train: DataFrame, validation: DataFrame, options: Options) -> Mode
         t["scales"] = settle(
             residual_scales(settle(residuals, "residuals"), "group", options.residual_quantile, options.residual_floor), "scales"
         )
-    reference = settle(raw_scores(calibration, model), "reference")
+    # Every window is scored once, and kept without the arrays that no later step reads.
+    kept = ["group", "autoencoder_raw", "isolation_raw", *[c for c in ("is_anomaly", "event_id", "event_start_us", "window_end") if c in all_validation.columns]]
+    raw = settle(raw_scores(development, model).select(*kept), "raw")
+    reference = settle(raw_scores(calibration, model).select(*kept), "reference") if contextual else normal_only(raw)
     t["references"] = settle(references_of(reference), "references")
     if contextual:
         own = calibrated(reference, t["references"], options)
         model.threshold = calibrated_threshold(own, "irregularity", options.calibration_quantile)
-    scored = settle(calibrated(settle(raw_scores(development, model), "raw"), t["references"], options), "scored")
+    scored = settle(calibrated(raw, t["references"], options), "scored")
     t["summary"] = score_summary(scored, DETECTORS)
     t["raw_p99"] = exact_quantiles(t["references"], ["group", "detector"], "raw", [0.99], ["raw_p99"])
     if "is_anomaly" in scored.columns:
@@ -271,7 +289,7 @@ def score_windows(windows: DataFrame, model: Model) -> DataFrame:
         windows = settle(windows, "windows")
         refuse_unknown_classes(windows, model.tables["channels"])
     raw = settle(raw_scores(vectorise(windows, model), model), "raw")
-    return calibrated(raw, model.tables["references"], model.options)
+    return named(calibrated(raw, model.tables["references"], model.options), model)
 
 
 def with_supplement(scored: DataFrame, supplement: DataFrame, name: str = "fused") -> DataFrame:

@@ -446,11 +446,12 @@ def fitted_and_explained(spark, sf, run_days=None, **chosen):
     """
     t = telemetry(spark, sf)
     part = [F.floor(F.col("us") / F.lit(run_days * 86_400_000_000)).cast("string")] if run_days else []
-    rows = t.withColumn("run_id", F.concat_ws("/", "run_id", "asset_id", *part))
+    # Fitting and scoring go over the rows many times; they are made and matched with the eventful days once.
+    rows = settle(t.withColumn("run_id", F.concat_ws("/", "run_id", "asset_id", *part)), "telemetry")
     day = F.date_trunc("day", "timestamp")
     eventful = settle(rows.filter("is_anomaly").select("run_id", "asset_id", day.alias("day")).distinct(), "eventful-days")
     split = run_bucket("run_id" if run_days else "asset_id", 5)
-    train = rows.withColumn("day", day).join(eventful, ["run_id", "asset_id", "day"], "left_anti").drop("day").filter(split < 3)
+    train = settle(rows.filter(split < 3).withColumn("day", day).join(eventful, ["run_id", "asset_id", "day"], "left_anti").drop("day"), "train")
     validation = rows.filter(split >= 3)
     options = Options(size="24h", stride="24h", exclude_signal_classes=[], early_stop_modulo=2, min_partition_windows=5, **chosen)
     model = fit_model(train, validation, options)
