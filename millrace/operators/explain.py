@@ -30,36 +30,23 @@ def shares(errors: Column) -> Column:
     )
 
 
-def _entries(channels: Column, statistics: list[str], share: Column) -> Column:
-    """Shares of a vector laid out as structs (channel, statistic, share); entries beyond the channels are context."""
-    width = len(statistics)
-    stats = F.array(*[F.lit(s) for s in statistics])
-
-    def laid(share: Column) -> Column:
-        return F.transform(
-            F.slice(share, 1, F.size(channels) * F.lit(width)),
-            lambda s, i: F.struct(
-                F.get(channels, F.floor(i / F.lit(width)).cast("int")).alias("channel"),
-                F.get(stats, (i % F.lit(width)).cast("int")).alias("statistic"),
-                s.alias("share"),
-            ),
-        )
-
-    return let(share, laid)
-
-
-def channel_shares(entries: Column, channels: Column) -> Column:
-    """Summed positive share of value statistics per channel, largest first, earlier channels first on ties."""
-    counted = let(
-        F.filter(entries, lambda e: (e["share"] > 0) & e["statistic"].isin(*VALUE_STATISTICS)),
-        lambda kept: F.transform(
-            channels,
-            lambda c, i: F.struct(
-                (-array_total(F.transform(F.filter(kept, lambda e: e["channel"] == c), lambda e: e["share"]))).alias("negative"),
-                i.alias("place"),
-                c.alias("channel"),
-            ),
-        ),
+def channel_shares(share: Column, channels: Column, statistics: list[str]) -> Column:
+    """Summed positive share of value statistics per channel, largest first, earlier channels first on ties.
+
+    Places in the vector follow from the channel's, so no entry is looked at twice.
+    """
+    places = [i for i, s in enumerate(statistics) if s in VALUE_STATISTICS]
+
+    def total(start: Column) -> Column:
+        out = F.lit(0.0)
+        for place in places:
+            x = F.get(share, start + F.lit(place))
+            out = out + F.when(x > 0, x).otherwise(F.lit(0.0))
+        return out
+
+    counted = F.transform(
+        channels,
+        lambda c, i: F.struct((-total(i * F.lit(len(statistics)))).alias("negative"), i.alias("place"), c.alias("channel")),
     )
     return F.transform(
         F.array_sort(F.filter(counted, lambda t: t["negative"] < 0)),
@@ -89,7 +76,7 @@ def _any_channel(channels: Column, statistics: list[str], statistic: str, test:
 def observations(
     alert: Column, channels: Column, statistics: list[str], share: Column, vector: Column, applicable: Column, regime_unknown: Column, regime: Column
 ) -> Column:
-    """Ordered, distinct observation tags of a window. Shares are laid out and ranked for alerts only."""
+    """Ordered, distinct observation tags of a window. Shares are ranked for alerts only."""
     loss = _any_channel(channels, statistics, "missing", lambda c, at: F.array_contains(applicable, c) & (F.get(vector, at) > 0))
     sparse = _any_channel(channels, statistics, "coverage_ratio", lambda c, at: F.array_contains(applicable, c) & (F.get(vector, at) < MIN_COVERAGE))
     always = F.array(
@@ -103,7 +90,7 @@ def observations(
             _any_channel(channels, statistics, s, lambda c, at: (F.get(bound, at) > 0) & (F.get(vector, at) > 0))
             for s in ("bad_ratio", "uncertain_ratio")
         ]
-        ranked = let(_entries(channels, statistics, bound), lambda entries: channel_shares(entries, channels))
+        ranked = channel_shares(bound, channels, statistics)
         top = F.transform(F.slice(ranked, 1, TOP_CHANNELS), lambda r: _deviation(r["channel"]))
         return F.concat(F.array(F.when(poor[0] | poor[1], F.lit("quality_degradation"))), top)
 

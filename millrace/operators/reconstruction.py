@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.arrays import array_mean, array_total, largest_items, let
+from millrace.functions.arrays import entrywise
 from millrace.operators.bymodel import apply_models
 from millrace.operators.vector_quantiles import vector_quantiles
 from millrace.operators.vectors import CLASS
@@ -95,7 +99,31 @@ def reconstruction_errors(rows: DataFrame, subspaces: DataFrame, key: str = CLAS
 
 def row_error(errors: Column) -> Column:
     """Plain row score: mean error over entries."""
-    return array_mean(errors)
+
+    @F.arrow_udf("double")
+    def mean(errors: pa.Array) -> pa.Array:
+        out, missing = np.zeros(len(errors)), np.ones(len(errors), dtype=bool)
+        for places, x, null in _of_one_width(errors):
+            if x.shape[1]:
+                out[places], missing[places] = _totals(x) / x.shape[1], null.any(axis=1)
+        return pa.array(out, mask=missing)
+
+    return mean(errors.cast("array<double>"))
+
+
+def _of_one_width(rows: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Arrays that are not null, by width: their places, their entries as a matrix, and which entries are null."""
+    widths = rows.value_lengths().fill_null(-1).to_numpy()
+    for width in np.unique(widths[widths >= 0]):
+        places = np.flatnonzero(widths == width)
+        flat = (rows if len(places) == len(rows) else rows.take(pa.array(places))).flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(float, copy=False)
+        yield places, x.reshape(len(places), width), flat.is_null().to_numpy(zero_copy_only=False).reshape(len(places), width)
+
+
+def _totals(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, added from first to last as a fold does."""
+    return np.cumsum(x, axis=1)[:, -1] + 0.0 if x.shape[1] else np.zeros(len(x))
 
 
 def residual_scales(rows: DataFrame, key: str = CLASS, quantile: float = RESIDUAL_QUANTILE, floor: float = RESIDUAL_FLOOR) -> DataFrame:
@@ -107,20 +135,34 @@ def residual_scales(rows: DataFrame, key: str = CLASS, quantile: float = RESIDUA
 
 
 def tail_score(errors: Column, scale: Column, top_k: int = TOP_K) -> Column:
-    """Struct of ``score`` (mean of the largest normalised errors) and additive ``contributions``."""
+    """Struct of ``score`` (mean of the largest normalised errors) and additive ``contributions``; of equal ones the later count."""
     if top_k < 1:
         raise ValueError("top_k must be positive")
 
-    def mark(ratio: Column) -> Column:
-        return let(
-            F.transform(largest_items(ratio, top_k), lambda item: item["position"]),
-            lambda places: F.transform(
-                ratio, lambda v, i: F.when(F.array_contains(places, i), v / F.size(places)).otherwise(F.lit(0.0))
-            ),
-        )
-
-    share = let(F.zip_with(errors, scale, lambda e, s: e / s), mark)
-    return let(share, lambda s: F.struct(array_total(s).alias("score"), s.alias("contributions")))
+    @F.arrow_udf("struct<score:double,contributions:array<double>>")
+    def mark(errors: pa.Array, scale: pa.Array) -> pa.Array:
+        ratios = entrywise(pc.divide, errors, scale)
+        score, missing = np.zeros(len(ratios)), np.ones(len(ratios), dtype=bool)
+        found, order = [], []
+        for places, ratio, null in _of_one_width(ratios):
+            # Missing ratios are below all others.
+            last = np.argsort(np.where(null, -np.inf, ratio), axis=1, kind="stable")[:, -top_k:]
+            kept = np.zeros(ratio.shape, dtype=bool)
+            np.put_along_axis(kept, last, True, axis=1)
+            share = np.where(kept, ratio / max(1, last.shape[1]), 0.0)
+            score[places], missing[places] = _totals(share), (kept & null).any(axis=1)
+            ends = np.arange(len(places) + 1, dtype=np.int32) * np.int32(ratio.shape[1])
+            found.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(share.ravel(), mask=(kept & null).ravel())))
+            order.append(places)
+        back = np.zeros(len(ratios), dtype=np.int64)
+        if order:
+            back[np.concatenate(order)] = np.arange(sum(map(len, order)))
+        absent = ratios.is_null()
+        shares = pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.float64()))
+        shares = shares.take(pa.array(back, mask=absent.to_numpy(zero_copy_only=False)))
+        return pa.StructArray.from_arrays([pa.array(score, mask=missing), shares], ["score", "contributions"])
+
+    return mark(errors.cast("array<double>"), scale.cast("array<double>"))
 
 
 def apply_tail(rows: DataFrame, scales: DataFrame, key: str = CLASS, top_k: int = TOP_K) -> DataFrame:

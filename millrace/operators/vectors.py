@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.arrays import finite
+from millrace.functions.arrays import entrywise, finite, let
 from millrace.operators.channels import applicable_features
 from millrace.operators.vector_quantiles import vector_quantiles
 
@@ -22,7 +24,7 @@ def class_vectors(features: DataFrame, channels: DataFrame, statistics: Sequence
     """
     by_channel = F.transform(
         F.col("channels"),
-        lambda c: F.array(*[F.element_at(F.col("stats"), c)[s] for s in statistics]),
+        lambda c: let(F.element_at(F.col("stats"), c), lambda found: F.array(*[found[s] for s in statistics])),
     )
     keep = [c for c in features.columns if c != "stats"]
     return features.join(channels.select(CLASS, "channels"), CLASS).select(
@@ -87,14 +89,15 @@ def fit_scaler(rows: DataFrame, keys: Sequence[str] = (CLASS,), kind: str = "rob
     return _packed(safe, keys, ["center", "spread"])
 
 
-def scaled(vector: Column, center: Column, spread: Column) -> Column:
-    return F.zip_with(F.zip_with(vector, center, lambda x, c: x - c), spread, lambda d, s: d / s)
-
-
 def apply_scaler(rows: DataFrame, scaler: DataFrame, keys: Sequence[str] = (CLASS,), vector: str = "vector") -> DataFrame:
+    @F.arrow_udf("array<double>")
+    def scaled(vector: pa.Array, center: pa.Array, spread: pa.Array) -> pa.Array:
+        return entrywise(lambda x, c, s: pc.divide(pc.subtract(x, c), s), vector, center, spread)
+
+    doubles = [F.col(c).cast("array<double>") for c in (vector, "center", "spread")]
     return (
         rows.join(scaler.select(*keys, "center", "spread"), list(keys))
-        .withColumn(vector, scaled(F.col(vector), F.col("center"), F.col("spread")))
+        .withColumn(vector, scaled(*doubles))
         .drop("center", "spread")
     )
 
