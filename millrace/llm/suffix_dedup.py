@@ -4,10 +4,11 @@ Every byte under a string of ``WINDOW`` bytes that also starts in a document
 with a smaller id is removed. Sorting all suffixes of a corpus would move many
 times its size, so suffixes are first dealt out, losing none that matter:
 
-1. The anchor of a window is the smallest hash of its ``GRAM``-byte strings.
-   Equal windows have equal anchors, so windows whose anchor comes up in one
-   document alone cannot repeat. Blocks of documents send their distinct
-   anchors to hash partitions, which answer which are shared.
+1. The anchor of a window is the smallest hash of its ``GRAM``-byte strings,
+   mixed once more so that anchors spread evenly over partitions. Equal windows
+   have equal anchors, so windows whose anchor comes up in one document alone
+   cannot repeat. Blocks of documents send their distinct anchors to hash
+   partitions, which answer which are shared.
 2. Of stretches of windows with one shared anchor, 64-bit digests and the
    smallest id go to the partition of that anchor first. A stretch that a
    smaller id has too repeats as a whole; one whose anchor has no other text
@@ -224,7 +225,6 @@ class Block:
     def _chunk(self, at: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data = np.frombuffer(self.data, dtype=np.uint8)[at : at + self.chunk + self.window - 1]
         anchor = _sliding_min(_hashes(data, gram), self.window - gram + 1)
-        anchor &= _ANCHOR_BITS
         inside = np.ones(len(anchor), dtype=bool)
         low, high = np.searchsorted(self.ends, [at, at + len(anchor) + self.window])
         for end in self.ends[low:high].tolist():
@@ -232,7 +232,8 @@ class Block:
         starts = np.flatnonzero(inside)
         anchor = anchor[starts]
         new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (np.diff(starts) != 1)])) if len(starts) else np.zeros(0, np.int64)
-        first, count, anchor = at + starts[new], np.diff(np.append(new, len(starts))), anchor[new]
+        # Smallest hashes crowd at small numbers, so they are mixed again: partitions are ranges of anchors.
+        first, count, anchor = at + starts[new], np.diff(np.append(new, len(starts))), _mixed(anchor[new]) & _ANCHOR_BITS
         if count.max(initial=0) > PIECE:
             of, step = _steps(-(-count // PIECE))
             first, count, anchor = first[of] + PIECE * step, np.minimum(PIECE, count[of] - PIECE * step), anchor[of]

@@ -120,3 +120,16 @@ def test_stretches_of_equal_bytes_have_equal_digests():
     digests = block.digests(block.first, block.count).tolist()
     bodies = [block.data[a : a + n + 49] for a, n in zip(block.first.tolist(), block.count.tolist(), strict=True)]
     assert len(set(bodies)) == len(set(digests)) == len(set(zip(bodies, digests, strict=True))) < len(bodies)
+
+
+def test_anchors_are_dealt_evenly():
+    """Smallest hashes crowd near zero; no partition may get many times the anchors or bytes of another."""
+    rng = random.Random(7)
+    block = sd.Block([1], ["".join(rng.choice("abcdefgh ") for _ in range(300_000))], sd.WINDOW, sd.GRAM)
+    values, _ = block.anchors()
+    part = sd._parts(values, 40)
+    found = sd.Stretches(block, {p: np.ones((part == p).sum(), np.uint8).tobytes() for p in set(part.tolist())}, 40)
+    asked = found.asked(np.full(len(found.anchor), sd.WHOLE, np.uint8), 40)
+    for where in (part, found.part, asked[0]):
+        dealt = np.bincount(where.astype(np.int64), minlength=40)
+        assert dealt.max() < 2 * dealt.mean() and dealt.min() > dealt.mean() / 2
