@@ -9,6 +9,7 @@ residual. State is a set of small tables keyed by ``group``.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,7 @@ from millrace.operators.vectors import (
     refuse_unknown_classes,
 )
 from millrace.operators.windows import WindowPlan
-from millrace.session import settle
+from millrace.session import outliving, scratch_scope, settle
 
 POOLED = "pooled"
 WINDOW_ID = ["run_id", "asset_id", "window_start"]
@@ -149,17 +150,20 @@ def named(rows: DataFrame, model: Model) -> DataFrame:
     return rows.withColumn("names", F.array(*[F.lit(n) for n in names])).withColumn("channels", F.array(*[F.lit(c) for c in model.channels]))
 
 
-def raw_scores(vectors: DataFrame, model: Model) -> DataFrame:
-    """Add ``errors`` (explanation basis), ``autoencoder_raw`` and ``isolation_raw``."""
+def reconstructed(vectors: DataFrame, model: Model) -> DataFrame:
+    """Add ``errors`` (explanation basis) and ``autoencoder_raw``; ``vector`` is scaled, ``raw_vector`` is as it came."""
     t = model.tables
     rows = apply_scaler(vectors.withColumn("raw_vector", F.col("vector")), t["scaler"], ["group"])
     rows = reconstruction_errors(rows, t["subspace"], "group")
     if model.options.family == "contextual":
         rows = apply_tail(rows, t["scales"], "group", model.options.top_k)
-        rows = rows.withColumn("autoencoder_raw", F.col("tail.score")).withColumn("errors", F.col("tail.contributions")).drop("tail")
-    else:
-        rows = rows.withColumn("autoencoder_raw", row_error(F.col("errors")))
-    return isolation_scores(rows, t["forest"], "group").withColumnRenamed("isolation", "isolation_raw")
+        return rows.withColumn("autoencoder_raw", F.col("tail.score")).withColumn("errors", F.col("tail.contributions")).drop("tail")
+    return rows.withColumn("autoencoder_raw", row_error(F.col("errors")))
+
+
+def raw_scores(vectors: DataFrame, model: Model) -> DataFrame:
+    """Add ``errors`` (explanation basis), ``autoencoder_raw`` and ``isolation_raw``."""
+    return isolation_scores(reconstructed(vectors, model), model.tables["forest"], "group").withColumnRenamed("isolation", "isolation_raw")
 
 
 def curves(references: DataFrame) -> dict[str, Curve]:
@@ -213,28 +217,60 @@ def fit_model(train: DataFrame, validation: DataFrame, options: Options) -> Mode
         if "sampling_interval_ms" in prepared.columns
         else {}
     )
-    tr = settle(build_windows(train, options, channels, intervals), "train-windows")
-    va = settle(build_windows(validation, options, channels, intervals), "validation-windows")
-    if "is_anomaly" in tr.columns and contains_anomaly(tr):
-        raise ValueError("The training partition must hold normal windows only")
-    vocabulary = vocabulary_lists(context_vocabulary(tr)) if {"asset_class", "operating_regime"} & set(tr.columns) else {}
-    tr, va = encode_contexts(tr, vocabulary), encode_contexts(va, vocabulary)
-    model = Model(options, channels, intervals, vocabulary, options.decision_threshold, {})
-    if "asset_class" in prepared.columns:
-        model.tables["channels"] = settle(class_channels(prepared), "channels")
-    contextual = options.family == "contextual"
-    if contextual:
-        if "asset_class" not in tr.columns or "is_anomaly" not in va.columns:
-            raise ValueError("Contextual fitting needs asset_class and labelled validation windows")
-        refuse_unknown_classes(va, model.tables["channels"])
-    described = [*WINDOW_ID, "window_end", "is_anomaly", "event_id", "event_start_us", "group", "vector"]
+    spark = train.sparkSession
+    # Tables as large as the windows go as soon as no later step reads them; what is fitted stays.
+    with scratch_scope(spark) as fitting:
+        model, raw, reference = _fitted(train, validation, prepared, channels, intervals, options, fitting)
+    t = model.tables
+    t["references"] = settle(references_of(reference), "references")
+    if options.family == "contextual":
+        own = calibrated(reference, t["references"], options)
+        model.threshold = calibrated_threshold(own, "irregularity", options.calibration_quantile)
+    scored = settle(calibrated(raw, t["references"], options), "scored")
+    t["summary"] = score_summary(scored, DETECTORS)
+    t["raw_p99"] = exact_quantiles(t["references"], ["group", "detector"], "raw", [0.99], ["raw_p99"])
+    if "is_anomaly" in scored.columns:
+        model.metrics = evaluate(scored, model)
+    return model
+
+
+def _settled_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str, outlives: list[str] | None = None) -> DataFrame:
+    """Write what ``make`` returns and remove the tables that it was made from."""
+    with scratch_scope(spark) as steps:
+        made = make()
+        with outliving(steps if outlives is None else outlives):
+            return settle(made, label)
 
-    def vectors_of(windows: DataFrame, label: str) -> DataFrame:
-        rows = vectorise(windows, model)
-        return settle(rows.select(*[c for c in described if c in rows.columns]), label)
 
-    all_validation = vectors_of(va, "validation-vectors")
-    train_rows = vectors_of(tr, "train-vectors")
+def _fitted(
+    train: DataFrame, validation: DataFrame, prepared: DataFrame, channels: list[str], intervals: dict[str, float], options: Options, fitting: list[str]
+) -> tuple[Model, DataFrame, DataFrame]:
+    """A model without references, and the raw scores of development and reference windows; they outlive the scope ``fitting``."""
+    spark = train.sparkSession
+    contextual = options.family == "contextual"
+    with scratch_scope(spark) as building:
+        tr = _settled_alone(spark, lambda: build_windows(train, options, channels, intervals), "train-windows")
+        va = _settled_alone(spark, lambda: build_windows(validation, options, channels, intervals), "validation-windows")
+        if "is_anomaly" in tr.columns and contains_anomaly(tr):
+            raise ValueError("The training partition must hold normal windows only")
+        vocabulary = vocabulary_lists(context_vocabulary(tr)) if {"asset_class", "operating_regime"} & set(tr.columns) else {}
+        tr, va = encode_contexts(tr, vocabulary), encode_contexts(va, vocabulary)
+        model = Model(options, channels, intervals, vocabulary, options.decision_threshold, {})
+        if "asset_class" in prepared.columns:
+            model.tables["channels"] = _settled_alone(spark, lambda: class_channels(prepared), "channels", fitting)
+        if contextual:
+            if "asset_class" not in tr.columns or "is_anomaly" not in va.columns:
+                raise ValueError("Contextual fitting needs asset_class and labelled validation windows")
+            refuse_unknown_classes(va, model.tables["channels"])
+        described = [*WINDOW_ID, "window_end", "is_anomaly", "event_id", "event_start_us", "group", "vector"]
+
+        def vectors_of(windows: DataFrame, label: str) -> DataFrame:
+            rows = vectorise(windows, model)
+            return settle(rows.select(*[c for c in described if c in rows.columns]), label)
+
+        with outliving(building):
+            all_validation = vectors_of(va, "validation-vectors")
+            train_rows = vectors_of(tr, "train-vectors")
     if contextual:
         early = run_bucket("run_id", options.early_stop_modulo)
         held = run_bucket("run_id", options.calibration_modulo)
@@ -250,46 +286,54 @@ def fit_model(train: DataFrame, validation: DataFrame, options: Options) -> Mode
     if not non_finite_vectors(fit).limit(1).isEmpty():
         raise ValueError("Training features must be finite")
     t = model.tables
-    t["scaler"] = settle(fit_scaler(fit, ["group"], options.scaler), "scaler")
-    fit_scaled = settle(apply_scaler(fit, t["scaler"], ["group"]), "fit-scaled")
-    t["subspace"] = settle(fit_subspace(fit_scaled, options.latent, "group"), "subspace")
-    t["forest"] = settle(
-        fit_forest(fit_scaled, WINDOW_ID, "group", options.trees, options.max_samples, options.max_features, options.seed), "forest"
+    t["scaler"] = _settled_alone(spark, lambda: fit_scaler(fit, ["group"], options.scaler), "scaler", fitting)
+    fit_scaled = apply_scaler(fit, t["scaler"], ["group"])
+    t["subspace"] = _settled_alone(spark, lambda: fit_subspace(fit_scaled, options.latent, "group"), "subspace", fitting)
+    t["forest"] = _settled_alone(
+        spark, lambda: fit_forest(fit_scaled, WINDOW_ID, "group", options.trees, options.max_samples, options.max_features, options.seed), "forest", fitting
     )
     if contextual:
         residuals = reconstruction_errors(apply_scaler(stop, t["scaler"], ["group"]), t["subspace"], "group")
-        t["scales"] = settle(
-            residual_scales(settle(residuals, "residuals"), "group", options.residual_quantile, options.residual_floor), "scales"
+        t["scales"] = _settled_alone(
+            spark, lambda: residual_scales(residuals, "group", options.residual_quantile, options.residual_floor), "scales", fitting
         )
     # Every window is scored once, and kept without the arrays that no later step reads.
     kept = ["group", "autoencoder_raw", "isolation_raw", *[c for c in ("is_anomaly", "event_id", "event_start_us", "window_end") if c in all_validation.columns]]
-    raw = settle(raw_scores(development, model).select(*kept), "raw")
-    reference = settle(raw_scores(calibration, model).select(*kept), "reference") if contextual else normal_only(raw)
-    t["references"] = settle(references_of(reference), "references")
-    if contextual:
-        own = calibrated(reference, t["references"], options)
-        model.threshold = calibrated_threshold(own, "irregularity", options.calibration_quantile)
-    scored = settle(calibrated(raw, t["references"], options), "scored")
-    t["summary"] = score_summary(scored, DETECTORS)
-    t["raw_p99"] = exact_quantiles(t["references"], ["group", "detector"], "raw", [0.99], ["raw_p99"])
-    if "is_anomaly" in scored.columns:
-        model.metrics = evaluate(scored, model)
-    return model
+    with outliving(fitting):
+        raw = settle(raw_scores(development, model).select(*kept), "raw")
+        reference = settle(raw_scores(calibration, model).select(*kept), "reference") if contextual else normal_only(raw)
+    return model, raw, reference
 
 
 def score(rows: DataFrame, model: Model, tail: str | None = None) -> DataFrame:
-    """Scored windows of new telemetry, written once to the shared folder."""
+    """Scored windows of new telemetry; settle what is read more than once."""
     options = model.options if tail is None else Options(**{**asdict(model.options), "tail": tail})
     windows = build_windows(rows, options, model.channels, model.intervals, model.vocabulary)
     return score_windows(windows, model)
 
 
 def score_windows(windows: DataFrame, model: Model) -> DataFrame:
-    if model.options.family == "contextual":
+    """Windows with their vectors, errors and scores.
+
+    No table of vectors or errors is written: they are many times as large as
+    the statistics that they are made from. Scored rows stay where they are
+    unless a reference curve is too large to be sent to them; then the numbers
+    of the rows and their raw scores alone go to its ranges.
+    """
+    moved = any(curve.points is not None for curve in curves(model.tables["references"]).values())
+    if moved:
+        windows = windows.withColumn("_window", F.monotonically_increasing_id())
+    if model.options.family == "contextual" or moved:
         windows = settle(windows, "windows")
+    if model.options.family == "contextual":
         refuse_unknown_classes(windows, model.tables["channels"])
-    raw = settle(raw_scores(vectorise(windows, model), model), "raw")
-    return named(calibrated(raw, model.tables["references"], model.options), model)
+    if not moved:
+        return named(calibrated(raw_scores(vectorise(windows, model), model), model.tables["references"], model.options), model)
+    narrow = ["_window", "group", "autoencoder_raw", "isolation_raw"]
+    raw = settle(raw_scores(vectorise(windows, model), model).select(*narrow), "raw")
+    marks = calibrated(raw, model.tables["references"], model.options).drop("group")
+    explained = reconstructed(vectorise(windows, model), model).drop("autoencoder_raw")
+    return named(explained.join(marks, "_window").drop("_window"), model)
 
 
 def with_supplement(scored: DataFrame, supplement: DataFrame, name: str = "fused") -> DataFrame:
