@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
@@ -89,14 +89,44 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(vectors), widths[0].as_py())
 
 
-def _column(result: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """One item per row: numbers, or the rows of a matrix as arrays."""
+def _column(result: np.ndarray | dict[str, np.ndarray], kind: pa.DataType) -> pa.Array:
+    """One item per row: numbers, the rows of a matrix as arrays, or several of these by name."""
+    if isinstance(result, dict):
+        return pa.StructArray.from_arrays([_column(result[field.name], field.type) for field in kind], fields=list(kind))
     if result.ndim == 1:
         return pa.array(result, kind)
     ends = np.arange(len(result) + 1, dtype=np.int32) * np.int32(result.shape[1])
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(result.ravel())).cast(kind)
 
 
+def sendable(models: Sequence[DataFrame], broadcast_entries: int = BROADCAST_ENTRIES) -> bool:
+    """Whether these written tables of fitted state may be sent to every executor together."""
+    return sum(once(m, "entries", lambda m=m: _entries(m)) for m in models) <= broadcast_entries
+
+
+def apply_sent(
+    rows: DataFrame, shared: Broadcast, key: str, compute: Callable[[object, np.ndarray], np.ndarray | dict[str, np.ndarray]], output: str, kind: str, vector: str = "vector"
+) -> DataFrame:
+    """Add ``output`` = ``compute(state of the key, vectors)`` to every row, where the row is; a dict of results makes a struct."""
+    arrow_kind = to_arrow_type(T._parse_datatype_string(kind))
+
+    @F.arrow_udf(kind)
+    def run(keys: pa.Array, vectors: pa.Array) -> pa.Array:
+        found, order = [], []
+        for (value,), places in key_places([keys], len(keys)):
+            whole = len(places) == len(keys)
+            x = _matrix(vectors if whole else vectors.take(pa.array(places)))
+            found.append(_column(compute(shared.value[_plain(value)], x), arrow_kind))
+            order.append(places)
+        if len(found) < 2:
+            return found[0] if found else pa.array([], arrow_kind)
+        back = np.empty(len(keys), dtype=np.int64)
+        back[np.concatenate(order)] = np.arange(len(keys))
+        return pa.concat_arrays(found).take(pa.array(back))
+
+    return rows.withColumn(output, run(F.col(key), F.col(vector)))
+
+
 def apply_models(
     rows: DataFrame,
     models: DataFrame,
@@ -116,31 +146,13 @@ def apply_models(
     makes many groups of about ``salt_rows``, and each group meets its model in a
     cogroup; no task sees a whole key.
     """
-    if once(models, "entries", lambda: _entries(models)) <= broadcast_entries:
+    if sendable([models], broadcast_entries):
 
         def send() -> Broadcast:
             frame = models.toPandas()
             return rows.sparkSession.sparkContext.broadcast({_plain(k): prepare(g) for k, g in frame.groupby(key, sort=False, dropna=False)})
 
-        shared = once(models, f"prepared-{output}", send)
-
-        arrow_kind = to_arrow_type(T._parse_datatype_string(kind))
-
-        @F.arrow_udf(kind)
-        def run(keys: pa.Array, vectors: pa.Array) -> pa.Array:
-            found, order = [], []
-            for (value,), places in key_places([keys], len(keys)):
-                whole = len(places) == len(keys)
-                x = _matrix(vectors if whole else vectors.take(pa.array(places)))
-                found.append(_column(compute(shared.value[_plain(value)], x), arrow_kind))
-                order.append(places)
-            if len(found) < 2:
-                return found[0] if found else pa.array([], arrow_kind)
-            back = np.empty(len(keys), dtype=np.int64)
-            back[np.concatenate(order)] = np.arange(len(keys))
-            return pa.concat_arrays(found).take(pa.array(back))
-
-        return rows.withColumn(output, run(F.col(key), F.col(vector)))
+        return apply_sent(rows, once(models, f"prepared-{output}", send), key, compute, output, kind, vector)
 
     salts = settle(rows.groupBy(key).agg(F.ceil(F.count("*") / F.lit(salt_rows)).cast("int").alias("_salts")), "salts")
     placed = rows.join(salts, key).withColumn(

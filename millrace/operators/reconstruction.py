@@ -85,15 +85,16 @@ def subspace_errors(model: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.n
     return (centred - centred @ basis.T @ basis) ** 2
 
 
-def reconstruction_errors(rows: DataFrame, subspaces: DataFrame, key: str = CLASS, vector: str = "vector", **options) -> DataFrame:
-    """Add ``errors``: squared reconstruction error per entry."""
+def prepared_subspace(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and directions from the row of one key."""
+    row = pdf.iloc[0]
+    return np.asarray(row["mean"], dtype=float), np.vstack([np.asarray(b, dtype=float) for b in row["basis"]])
 
-    def prepare(pdf: pd.DataFrame):
-        row = pdf.iloc[0]
-        return np.asarray(row["mean"], dtype=float), np.vstack([np.asarray(b, dtype=float) for b in row["basis"]])
 
+def reconstruction_errors(rows: DataFrame, subspaces: DataFrame, key: str = CLASS, vector: str = "vector", **options) -> DataFrame:
+    """Add ``errors``: squared reconstruction error per entry."""
     return apply_models(
-        rows, subspaces, key, prepare, subspace_errors, "errors", "array<double>", vector, **options
+        rows, subspaces, key, prepared_subspace, subspace_errors, "errors", "array<double>", vector, **options
     )
 
 
@@ -105,7 +106,7 @@ def row_error(errors: Column) -> Column:
         out, missing = np.zeros(len(errors)), np.ones(len(errors), dtype=bool)
         for places, x, null in _of_one_width(errors):
             if x.shape[1]:
-                out[places], missing[places] = _totals(x) / x.shape[1], null.any(axis=1)
+                out[places], missing[places] = row_totals(x) / x.shape[1], null.any(axis=1)
         return pa.array(out, mask=missing)
 
     return mean(errors.cast("array<double>"))
@@ -121,11 +122,19 @@ def _of_one_width(rows: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield places, x.reshape(len(places), width), flat.is_null().to_numpy(zero_copy_only=False).reshape(len(places), width)
 
 
-def _totals(x: np.ndarray) -> np.ndarray:
+def row_totals(x: np.ndarray) -> np.ndarray:
     """Sums of rows, added from first to last as a fold does."""
     return np.cumsum(x, axis=1)[:, -1] + 0.0 if x.shape[1] else np.zeros(len(x))
 
 
+def tail_shares(order: np.ndarray, ratio: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the ``top_k`` entries of a row that are largest by ``order`` add to its score, else zero, and which they are."""
+    last = np.argsort(order, axis=1, kind="stable")[:, -top_k:]
+    kept = np.zeros(ratio.shape, dtype=bool)
+    np.put_along_axis(kept, last, True, axis=1)
+    return np.where(kept, ratio / max(1, last.shape[1]), 0.0), kept
+
+
 def residual_scales(rows: DataFrame, key: str = CLASS, quantile: float = RESIDUAL_QUANTILE, floor: float = RESIDUAL_FLOOR) -> DataFrame:
     """Upper quantile of each entry's error on held-out normal rows, never below the floor."""
     if not 0 < quantile < 1 or not 0 < floor < float("inf"):
@@ -146,11 +155,8 @@ def tail_score(errors: Column, scale: Column, top_k: int = TOP_K) -> Column:
         found, order = [], []
         for places, ratio, null in _of_one_width(ratios):
             # Missing ratios are below all others.
-            last = np.argsort(np.where(null, -np.inf, ratio), axis=1, kind="stable")[:, -top_k:]
-            kept = np.zeros(ratio.shape, dtype=bool)
-            np.put_along_axis(kept, last, True, axis=1)
-            share = np.where(kept, ratio / max(1, last.shape[1]), 0.0)
-            score[places], missing[places] = _totals(share), (kept & null).any(axis=1)
+            share, kept = tail_shares(np.where(null, -np.inf, ratio), ratio, top_k)
+            score[places], missing[places] = row_totals(share), (kept & null).any(axis=1)
             ends = np.arange(len(places) + 1, dtype=np.int32) * np.int32(ratio.shape[1])
             found.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(share.ravel(), mask=(kept & null).ravel())))
             order.append(places)

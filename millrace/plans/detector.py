@@ -9,14 +9,16 @@ residual. State is a set of small tables keyed by ``group``.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import run_bucket
-from millrace.operators.bymodel import once
+from millrace.operators.bymodel import apply_sent, once, sendable
 from millrace.operators.calibration import (
     DEFAULT_THRESHOLD,
     Curve,
@@ -42,12 +44,22 @@ from millrace.operators.context import context_columns, context_vocabulary, enco
 from millrace.operators.convert import convert_units
 from millrace.operators.explain import prediction_records
 from millrace.operators.features import contains_anomaly, window_features
-from millrace.operators.forest import fit_forest, isolation_scores
+from millrace.operators.forest import fit_forest, isolation, isolation_scores, pack_forest
 from millrace.operators.intervals import event_details, event_summary, label_windows, refuse_bad_intervals
 from millrace.operators.joins import complete_lookup
 from millrace.operators.metrics import by_detector, evaluate_windows
 from millrace.operators.ranks import exact_quantiles
-from millrace.operators.reconstruction import apply_tail, fit_subspace, reconstruction_errors, residual_scales, row_error
+from millrace.operators.reconstruction import (
+    apply_tail,
+    fit_subspace,
+    prepared_subspace,
+    reconstruction_errors,
+    residual_scales,
+    row_error,
+    row_totals,
+    subspace_errors,
+    tail_shares,
+)
 from millrace.operators.selection import refuse_leakage
 from millrace.operators.vectors import (
     apply_scaler,
@@ -161,9 +173,54 @@ def reconstructed(vectors: DataFrame, model: Model) -> DataFrame:
     return rows.withColumn("autoencoder_raw", row_error(F.col("errors")))
 
 
-def raw_scores(vectors: DataFrame, model: Model) -> DataFrame:
-    """Add ``errors`` (explanation basis), ``autoencoder_raw`` and ``isolation_raw``."""
-    return isolation_scores(reconstructed(vectors, model), model.tables["forest"], "group").withColumnRenamed("isolation", "isolation_raw")
+RAW = {"errors": "array<double>", "autoencoder_raw": "double", "isolation_raw": "double"}
+
+
+def raw_scores(vectors: DataFrame, model: Model, wanted: Sequence[str] = tuple(RAW)) -> DataFrame:
+    """Add ``errors`` (explanation basis), ``autoencoder_raw`` and ``isolation_raw``, or those of them that are ``wanted``.
+
+    While the fitted tables are small, one Python worker takes a task's vectors
+    through all steps; step after step, each would have a worker of its own and
+    pass the vectors on.
+    """
+    t, top_k = model.tables, model.options.top_k
+    parts = ["scaler", "subspace", "forest", *(["scales"] if model.options.family == "contextual" else [])]
+    if not sendable([t[p] for p in parts]):
+        return isolation_scores(reconstructed(vectors, model), t["forest"], "group").withColumnRenamed("isolation", "isolation_raw")
+
+    def send() -> Broadcast:
+        frames = {p: dict(list(t[p].toPandas().groupby("group", sort=False))) for p in parts}
+        state = {}
+        for group, scaler in frames["scaler"].items():
+            # A list with gaps becomes an array of objects; as numbers they are NaN.
+            center, spread = (np.array(scaler[c].iloc[0], dtype=float) for c in ("center", "spread"))
+            scale = np.array(frames["scales"][group]["scale"].iloc[0], dtype=float) if "scales" in frames else None
+            state[group] = center, spread, prepared_subspace(frames["subspace"][group]), scale, pack_forest(frames["forest"][group])
+        return vectors.sparkSession.sparkContext.broadcast(state)
+
+    def steps(state: tuple, x: np.ndarray) -> dict[str, np.ndarray]:
+        center, spread, subspace, scale, forest = state
+        scaled = (x - center) / spread
+        found = {}
+        if "errors" in wanted or "autoencoder_raw" in wanted:
+            errors = subspace_errors(subspace, scaled)
+            if scale is None:
+                found = {"errors": errors, "autoencoder_raw": row_totals(errors) / max(1, errors.shape[1])}
+            else:
+                ratio = errors / scale
+                share, _ = tail_shares(ratio, ratio, top_k)
+                found = {"errors": share, "autoencoder_raw": row_totals(share)}
+        if "isolation_raw" in wanted:
+            found["isolation_raw"] = isolation(forest, scaled)
+        return found
+
+    shared = once(t["forest"], f"prepared-{'-'.join(parts)}", send)
+    # Rows of a group without a scaler leave before they are scored; the scaled vector is made where it is read.
+    known = vectors.filter(F.col("group").isin(sorted(shared.value)))
+    rows = apply_scaler(known.withColumn("raw_vector", F.col("vector")), t["scaler"], ["group"])
+    kind = f"struct<{','.join(f'{c}:{RAW[c]}' for c in wanted)}>"
+    out = apply_sent(rows, shared, "group", steps, "_raw", kind, "raw_vector")
+    return out.select("*", "_raw.*").drop("_raw")
 
 
 def curves(references: DataFrame) -> dict[str, Curve]:
@@ -298,10 +355,11 @@ def _fitted(
             spark, lambda: residual_scales(residuals, "group", options.residual_quantile, options.residual_floor), "scales", fitting
         )
     # Every window is scored once, and kept without the arrays that no later step reads.
-    kept = ["group", "autoencoder_raw", "isolation_raw", *[c for c in ("is_anomaly", "event_id", "event_start_us", "window_end") if c in all_validation.columns]]
+    marks = ["autoencoder_raw", "isolation_raw"]
+    kept = ["group", *marks, *[c for c in ("is_anomaly", "event_id", "event_start_us", "window_end") if c in all_validation.columns]]
     with outliving(fitting):
-        raw = settle(raw_scores(development, model).select(*kept), "raw")
-        reference = settle(raw_scores(calibration, model).select(*kept), "reference") if contextual else normal_only(raw)
+        raw = settle(raw_scores(development, model, marks).select(*kept), "raw")
+        reference = settle(raw_scores(calibration, model, marks).select(*kept), "reference") if contextual else normal_only(raw)
     return model, raw, reference
 
 
@@ -329,11 +387,11 @@ def score_windows(windows: DataFrame, model: Model) -> DataFrame:
         refuse_unknown_classes(windows, model.tables["channels"])
     if not moved:
         return named(calibrated(raw_scores(vectorise(windows, model), model), model.tables["references"], model.options), model)
-    narrow = ["_window", "group", "autoencoder_raw", "isolation_raw"]
-    raw = settle(raw_scores(vectorise(windows, model), model).select(*narrow), "raw")
-    marks = calibrated(raw, model.tables["references"], model.options).drop("group")
-    explained = reconstructed(vectorise(windows, model), model).drop("autoencoder_raw")
-    return named(explained.join(marks, "_window").drop("_window"), model)
+    marks = ["autoencoder_raw", "isolation_raw"]
+    raw = settle(raw_scores(vectorise(windows, model), model, marks).select("_window", "group", *marks), "raw")
+    moving = calibrated(raw, model.tables["references"], model.options).drop("group")
+    explained = raw_scores(vectorise(windows, model), model, ["errors"]).drop(*marks)
+    return named(explained.join(moving, "_window").drop("_window"), model)
 
 
 def with_supplement(scored: DataFrame, supplement: DataFrame, name: str = "fused") -> DataFrame:
