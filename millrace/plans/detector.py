@@ -389,9 +389,10 @@ def score_windows(windows: DataFrame, model: Model) -> DataFrame:
         return named(calibrated(raw_scores(vectorise(windows, model), model), model.tables["references"], model.options), model)
     marks = ["autoencoder_raw", "isolation_raw"]
     raw = settle(raw_scores(vectorise(windows, model), model, marks).select("_window", "group", *marks), "raw")
-    moving = calibrated(raw, model.tables["references"], model.options).drop("group")
-    explained = raw_scores(vectorise(windows, model), model, ["errors"]).drop(*marks)
-    return named(explained.join(moving, "_window").drop("_window"), model)
+    moved_back = calibrated(raw, model.tables["references"], model.options).drop("group")
+    # They come back to the statistics, which are small; vectors and errors are made after that.
+    scored = windows.join(moved_back, "_window").drop("_window")
+    return named(raw_scores(vectorise(scored, model), model, ["errors"]), model)
 
 
 def with_supplement(scored: DataFrame, supplement: DataFrame, name: str = "fused") -> DataFrame:
